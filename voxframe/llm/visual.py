@@ -117,7 +117,7 @@ def consistent(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
             if batch.num_rows == 0:
                 continue
             connection.register("batch", pa.Table.from_batches([batch]))
-            got = connection.execute(statement).fetch_arrow_table()
+            got = connection.execute(statement).to_arrow_table()
             connection.unregister("batch")
             got = got.cast(pa.schema([pa.field(got.schema[0].name, batch.schema.field(0).type), pa.field("t", pa.string()), pa.field("f", pa.string())]))
             yield from got.to_batches()
