@@ -18,7 +18,7 @@ What keeps it cheap:
 * candidate pairs are verified on the words themselves.
 
 No bucket is capped and no text is cut.  Defined cases: null texts and texts of fewer words take no part; a repeated key counts
-once (the greatest text, if its deliveries differ); an empty table gives an empty result; further columns are ignored.
+once (if its deliveries differ, each text links it, but never to itself); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,12 +159,10 @@ def near_duplicates(
     """
     p, q = threshold
     made = shared_checkpoint(nodes(responses, key, scope, text, min_words))
-    members = made.groupBy("key").agg(F.max(F.struct("text", "node", "form")).alias("m")).select("key", "m.node", "m.form")
-    members = members.distinct()
-    sets = made.groupBy("node", "words", "sketch_a", "sketch_b", "left", "right").agg(
-        F.min("form").alias("lo"), F.max("form").alias("hi")
-    )
-    within = sets.where("lo <> hi").select(F.col("node").alias("node_a"), F.col("node").alias("node_b"))
+    members = made.select("key", "node", "form").distinct()
+    sets = made.select("node", "words", "sketch_a", "sketch_b", "left", "right").distinct()
+    forms = made.groupBy("node").agg(F.min("form").alias("lo"), F.max("form").alias("hi"))
+    within = forms.where("lo <> hi").select(F.col("node").alias("node_a"), F.col("node").alias("node_b"))
     pairs = _candidates(sets, threshold).unionByName(within)
     classes = made.groupBy("node", "form").agg(F.min("text").alias("text"))
     joined = (
@@ -194,7 +192,9 @@ def near_pairs(responses: DataFrame, key: str = "response_key", **options) -> Da
     return (
         links.join(side("a"), ["node_a", "form_a"])
         .join(side("b"), ["node_b", "form_b"])
+        .where("key_a <> key_b")
         .select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
+        .distinct()
     )
 
 
@@ -223,5 +223,6 @@ def near_groups(responses: DataFrame, key: str = "response_key", **options) -> D
         members.select("key", label.alias("c"))
         .join(state, "c")
         .join(degree, "c", "left")
-        .select(F.col("key").alias(key), F.col("label").alias("group_key"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        .groupBy(F.col("key").alias(key))
+        .agg(F.min("label").alias("group_key"), F.sum(F.coalesce("links", F.lit(0))).cast("long").alias("links"))
     )
