@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -43,3 +44,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share.
+
+    ``spark.checkpoint.dir`` names it on a cluster; only where neither the setting nor the context has one (local tests) is a
+    temporary folder used.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxframe-"))
+    return named or sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh place for a query's own file in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows as a compressed table in the shared folder and read them from there.
+
+    A lost executor loses nothing of it, and later stages read only the columns they need.
+    """
+    place = scratch(df.sparkSession, "rows.parquet")
+    df.write.option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
