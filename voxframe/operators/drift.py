@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import shared_table, ship_package
 
 RESPONDENT = "respondent_id"
 SKETCH = 256
@@ -49,6 +49,9 @@ _DAYS = (
 )
 
 
+_DAY_LIKE = r"^\d{1,4}[-/.][\dA-Za-z]{1,9}[-/.]\d{1,4}|^\d{1,2} [A-Za-z]{3,9} \d{4}$|^[A-Za-z]{3,9} \d{1,2}, \d{4}$"
+
+
 def _value(v: Column) -> Column:
     """Trimmed, blanks joined; null where a cell says nothing."""
     plain = F.trim(F.regexp_replace(v, r"[\s ]+", " "))
@@ -59,22 +62,24 @@ def _days(v: Column) -> list[Column]:
     return [F.when(v.rlike(shape), F.try_to_timestamp(F.regexp_extract(v, part, 1), F.lit(fmt)).cast("date")) for shape, part, fmt in _DAYS]
 
 
-def _meanings(v: Column) -> Column:
+def _meanings(v: Column, days: Column) -> Column:
     """All a value can be read as: text, number, yes/no, day (also as days from 1899-12-30)."""
     low = F.lower(v)
     number = F.when(v.rlike(_NUMBER), F.regexp_replace(v, ",", ".").cast("double"))
     serial = F.when(v.rlike(r"^\d{5}([.,]0+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.substring(v, 1, 5).try_cast("int")))
     answers = F.when(low.isin(*_YES, "1"), "yes").when(low.isin(*_NO, "0"), "no")
-    days = [F.concat(F.lit("d:"), d.cast("string")) for d in [*_days(v), serial]]
-    return F.array_distinct(F.array_compact(F.array(F.concat(F.lit("t:"), low), F.concat(F.lit("n:"), number.cast("string")), F.concat(F.lit("b:"), answers), *days)))
+    plain = F.array_compact(F.array(F.concat(F.lit("t:"), low), F.concat(F.lit("n:"), number.cast("string")), F.concat(F.lit("b:"), answers), F.concat(F.lit("d:"), serial.cast("string"))))
+    as_days = F.transform(F.coalesce(days, F.array().cast("array<date>")), lambda d: F.concat(F.lit("d:"), d.cast("string")))
+    return F.when(v.isNotNull(), F.concat(plain, as_days))
 
 
-def _kind(v: Column) -> Column:
+def _kind(v: Column, days: Column) -> Column:
     return (
-        F.when(v.rlike(_WHOLE), "whole")
+        F.when(v.isNull(), None)
+        .when(v.rlike(_WHOLE), "whole")
         .when(v.rlike(_NUMBER), "decimal")
         .when(F.lower(v).isin(*_YES, *_NO), "yes/no")
-        .when(F.coalesce(*_days(v)).isNotNull(), "date")
+        .when(F.size(days) > 0, "date")
         .otherwise("text")
     )
 
@@ -88,25 +93,26 @@ def _file_pairs(uploads: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def long_cells(wave_rows: DataFrame) -> DataFrame:
-    """One row per cell: dataset_id, upload_id, row_index, respondent, name, value (null where it says nothing)."""
+    """One row per cell: dataset_id, upload_id, row_index, respondent, name, value (null where it says nothing), kind, meanings."""
     rows = wave_rows.select("dataset_id", "upload_id", "row_index", F.from_json("cells", "map<string,string>").alias("m")).where("m IS NOT NULL")
-    return rows.select("dataset_id", "upload_id", "row_index", F.col("m")[RESPONDENT].alias("respondent"), F.explode("m").alias("name", "value")).withColumn(
-        "value", _value(F.col("value"))
-    )
+    long = rows.select("dataset_id", "upload_id", "row_index", F.col("m")[RESPONDENT].alias("respondent"), F.explode("m").alias("name", "value"))
+    said = long.withColumn("value", _value(F.col("value")))
+    v = F.col("value")
+    # days are read only where a value looks like one, and read once
+    read = said.withColumn("days", F.when(v.rlike(_DAY_LIKE), F.array_distinct(F.array_compact(F.array(*_days(v))))))
+    return read.withColumn("kind", _kind(v, F.col("days"))).withColumn("meanings", _meanings(v, F.col("days")))
 
 
 def profiles(cells: DataFrame) -> DataFrame:
     """Per file and column: kind (null without values), number of values, and the value sketch."""
     last = _last_values(cells)
-    sketch = F.transform(
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("rank") <= SKETCH, F.struct("h", "meanings")))), 1, SKETCH), lambda s: s
-    )
+    sketch = F.array_sort(F.collect_list(F.struct("h", "meanings")))
     ranked = last.withColumn("h", F.xxhash64("respondent")).withColumn(
         "rank", F.row_number().over(Window.partitionBy("dataset_id", "upload_id", "name").orderBy("h"))
     )
     sketches = ranked.where(F.col("rank") <= SKETCH).groupBy("dataset_id", "upload_id", "name").agg(sketch.alias("sketch"))
     kinds = cells.groupBy("dataset_id", "upload_id", "name").agg(
-        F.count("value").alias("n"), *[F.count_if(_kind(F.col("value")) == k).alias(k) for k in ("whole", "decimal", "yes/no", "date")]
+        F.count("value").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("whole", "decimal", "yes/no", "date")]
     )
     full = lambda *ks: F.col("n") == sum((F.col(f"`{k}`") for k in ks[1:]), F.col(f"`{ks[0]}`"))
     kind = (
@@ -119,9 +125,7 @@ def profiles(cells: DataFrame) -> DataFrame:
 def _last_values(cells: DataFrame) -> DataFrame:
     """The last value of each respondent in each column of a file, with all its meanings."""
     said = cells.where("value IS NOT NULL AND respondent IS NOT NULL").where(F.col("name") != RESPONDENT)
-    return said.groupBy("dataset_id", "upload_id", "name", "respondent").agg(F.max_by("value", F.struct("row_index", "value")).alias("value")).withColumn(
-        "meanings", _meanings(F.col("value"))
-    )
+    return said.groupBy("dataset_id", "upload_id", "name", "respondent").agg(F.max_by("meanings", F.struct("row_index", "value")).alias("meanings"))
 
 
 def name_similarity(a: str, b: str) -> float:
@@ -188,13 +192,14 @@ class Drift:
 
     def __init__(self, wave_rows: DataFrame, uploads: DataFrame, fingerprints: DataFrame | None = None):
         ship_package(wave_rows.sparkSession)
-        self.cells = long_cells(wave_rows.select("dataset_id", "upload_id", "row_index", "cells").distinct())
+        self.cells = shared_table(long_cells(wave_rows.select("dataset_id", "upload_id", "row_index", "cells").distinct()))
         self.files = _file_pairs(uploads, wave_rows)
         columns = profiles(self.cells)
         if fingerprints is not None:  # a file may leave out the cells of a blank column altogether
             listed = fingerprints.select("dataset_id", "upload_id", F.col("column_name").alias("name")).distinct()
             columns = columns.join(listed, ["dataset_id", "upload_id", "name"], "full")
-        self.columns = columns.where(F.col("name") != RESPONDENT)
+        self.columns = shared_table(columns.where(F.col("name") != RESPONDENT))
+        self._renames: DataFrame | None = None
 
     def compared(self) -> DataFrame:
         """Columns of each file beside those of the file before, by exact name."""
@@ -209,6 +214,8 @@ class Drift:
 
     def renames(self) -> DataFrame:
         """``dataset_id, upload_id, stored_name, file_name`` of every renamed column."""
+        if self._renames is not None:
+            return self._renames
         both = self.compared()
         file = ["dataset_id", "upload_id", "earlier_id"]
         gone = both.where("later IS NULL").select(*file, F.col("name").alias("stored_name"), F.col("earlier.sketch").alias("sketch_a"))
@@ -226,7 +233,9 @@ class Drift:
             .where(F.col("same") >= SAME * F.col("common"))
             .select("dataset_id", "upload_id", "stored_name", "file_name", (F.col("same") / F.col("common")).alias("share"))
         )
-        return checked.groupBy("dataset_id", "upload_id").applyInPandas(_match_file, "dataset_id bigint, upload_id bigint, stored_name string, file_name string")
+        matched = checked.groupBy("dataset_id", "upload_id").applyInPandas(_match_file, "dataset_id bigint, upload_id bigint, stored_name string, file_name string")
+        self._renames = shared_table(matched)
+        return self._renames
 
     def changes(self) -> DataFrame:
         """Every change of a file against the file before: ``dataset_id, upload_id, change_kind, stored_name, file_name``."""
@@ -292,7 +301,7 @@ class Drift:
         v = F.col("value")
         serial = F.when(F.col("as_day") & v.rlike(r"^\d{5}$"), F.date_add(F.lit("1899-12-30").cast("date"), v.try_cast("int")))
         plain = F.coalesce(
-            F.coalesce(*_days(v), serial).cast("string"),
+            F.coalesce(F.get(F.col("days"), F.lit(0)), serial).cast("string"),
             F.when(v.rlike(_NUMBER), F.regexp_replace(v, ",", ".")),
             F.when(F.lower(v).isin(*_YES), "yes").when(F.lower(v).isin(*_NO), "no"),
             v,
