@@ -59,6 +59,8 @@ def sequences() -> dict[str, str]:
         for encoding in WRONG_ENCODINGS[:4]:
             twice = misread(misread(c.encode("utf-8"), encoding).encode("utf-8"), encoding)
             known.setdefault(twice, c)
+    for code in range(0x80, 0xA0):  # a control character is never meant; it is one byte of a character misread twice
+        known.setdefault("Â" + chr(code), chr(code))
     known.setdefault("â€", "”")  # the third byte has no character and was dropped
     for first in ("Â", "Ã", "В", "Г"):
         known.setdefault(first + " ", " " if first in "ÂВ" else "à ")
