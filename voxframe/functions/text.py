@@ -59,7 +59,7 @@ def truncated(c: Column, limit: int) -> Column:
 def verbatim(spans: Column, text: Column) -> Column:
     """PR-14: the spans that occur in the text whatever their case, the first spelling of each, in order."""
     inside = F.filter(spans, lambda s: (F.trim(s) != "") & (F.instr(F.lower(text), F.lower(F.trim(s))) > 0))
-    trimmed = F.transform(inside, F.trim)
+    trimmed = F.transform(inside, lambda s: F.trim(s))
     return F.filter(trimmed, lambda s, i: F.array_position(F.transform(trimmed, F.lower), F.lower(s)) == i + 1)
 
 

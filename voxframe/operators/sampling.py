@@ -103,7 +103,8 @@ def stratified_sample(rows: DataFrame, budget: int, per_stratum: int, seed: int,
 
 def spread_indices(count: int, n: int) -> list[int]:
     """WN-16: up to ``count`` indices spread evenly over ``n``."""
-    return sorted({i * n // count for i in range(min(count, n))}) if count > 0 and n > 0 else []
+    k = min(count, n)
+    return sorted({i * n // k for i in range(k)}) if k > 0 else []
 
 
 def quote_once(picks: list[tuple[str, list[str]]], per_place: int) -> dict[str, list[str]]:
