@@ -113,22 +113,34 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
-def repair(text: str | None, passes: int = 3) -> tuple[bool, str | None]:
-    """Whether the text is garbled, and the text with its garbled spans restored where they can be."""
-    if text is None or text.isascii():
-        return False, text
-    garbled = LOST in text
+def repair_aligned(text: str, passes: int = 3) -> tuple[str, list[int] | None]:
+    """The text with its garbled spans restored, and for each of its positions (and its end) the position in ``text``.
+
+    Null positions mean that nothing was garbled.
+    """
+    if text.isascii():
+        return text, None
+    origin: list[int] | None = None
     for _ in range(passes):
         found = spans(text)
         if not found:
             break
-        garbled = True
-        parts, at = [], 0
+        origin = origin if origin is not None else list(range(len(text) + 1))
+        parts, places, at = [], [], 0
         for begin, end, c in found:
             parts += [text[at:begin], c]
+            places += origin[at:begin] + [origin[begin]] * len(c)
             at = end
-        text = "".join(parts) + text[at:]
-    return garbled, text
+        text, origin = "".join(parts) + text[at:], places + origin[at:]
+    return text, origin
+
+
+def repair(text: str | None, passes: int = 3) -> tuple[bool, str | None]:
+    """Whether the text is garbled, and the text with its garbled spans restored where they can be."""
+    if text is None or text.isascii():
+        return False, text
+    better, origin = repair_aligned(text, passes)
+    return origin is not None or LOST in text, better
 
 
 def repaired(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
