@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import ship_package
+from ..session import shared_table, ship_package
 
 #: A word: an unbroken run of letters, combining marks and digits, of the lower-cased text.
 WORD_PATTERN = r"[\p{L}\p{M}\p{N}]+"
@@ -32,28 +30,8 @@ def squeezed(column):
     return F.regexp_replace(F.lower(column), NON_WORD_PATTERN, "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster; only where neither the setting nor the context has one (local tests) is a
-    temporary folder used.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxframe-"))
-    return named or sc.getCheckpointDir()
-
-
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows as a compressed table in the shared folder and read them from there.
-
-    A lost executor loses nothing of it, and later stages read only the columns they need.
-    """
-    spark = df.sparkSession
-    place = f"{shared_folder(spark).rstrip('/')}/voxframe-{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+#: Cuts the lineage with a table in the folder all executors share.
+shared_checkpoint = shared_table
 
 
 def map_columns(

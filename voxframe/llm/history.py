@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, map_columns
+from .common import WORD_PATTERN, map_columns, shared_checkpoint
 
 PIVOTS = 16
 MIN_WORDS = 12
 THRESHOLD = (3, 4)
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 4_000
 TEXT_FIELDS = ("answer_a", "answer_b")
 
 
@@ -74,41 +74,57 @@ def _cell(words: Column, threshold: tuple[int, int]) -> Column:
     return F.floor(F.log(words.cast("double")) / F.lit(math.log(q / p))).cast("int")
 
 
+def _packed(classes: list[str]) -> Column:
+    """Eight distances in one long, a byte each; capped at 255, which can only bring two rows closer."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(classes):
+        out = out.bitwiseOR(F.shiftleft(F.least(F.col(c), F.lit(255)).cast("long"), 8 * i))
+    return out
+
+
+def _byte(packed: str, i: int) -> Column:
+    return F.shiftrightunsigned(F.col(packed), 8 * i).bitwiseAND(F.lit(255).cast("long"))
+
+
 def near_rows(table: DataFrame, scope: str, key: str, order: str, threshold: tuple[int, int] = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows (``scope``, ``key``) of a pivot table with a near row of lower ``order`` in their scope.
 
-    Near rows of one and the same word set are first reduced to the lowest order each, so copies are not searched one by one.
+    Rows of one and the same word set are a single point (named by a hash of the set), so copies are not searched one by one.  The join
+    carries 40 bytes a point; the words themselves are fetched only for pairs the pivots could not rule out.
     """
     p, q = threshold
     pivots = [f"c{i}" for i in range(PIVOTS)]
-    celled = table.withColumn("cell", _cell(F.col("words"), threshold))
-    known = celled.groupBy(scope, "cell", "words", "hashes", *pivots).agg(F.min(order).alias("since"))
-    blocks = known.groupBy(scope, "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
-    history = known.join(blocks, [scope, "cell"]).withColumn("block", F.pmod(F.xxhash64("hashes"), F.col("blocks")).cast("int"))
-    asked = celled.groupBy(scope, "words", "hashes", *pivots).agg(F.max(order).alias("until")).withColumn(
-        "cell", F.explode(F.sequence(_cell(F.col("words"), threshold) - 1, _cell(F.col("words"), threshold) + 1))
+    points = table.select(
+        scope, key, order, "hashes", F.xxhash64("hashes").alias("point"), "words", _packed(pivots[:8]).alias("p0"), _packed(pivots[8:]).alias("p1"), _cell(F.col("words"), threshold).alias("cell")
     )
-    asked = asked.join(blocks, [scope, "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    once = points.groupBy(scope, "point", "words", "p0", "p1", "cell").agg(F.min(order).alias("since"), F.max(order).alias("until"))
+    blocks = once.groupBy(scope, "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
+    history = once.drop("until").join(blocks, [scope, "cell"]).withColumn("block", F.pmod(F.col("point"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
+    # a row is asked for when its scope has an earlier file at all
+    begun = once.groupBy(scope).agg(F.min("since").alias("begun"))
+    asked = once.drop("since").join(begun, scope).where(F.col("until") > F.col("begun")).drop("begun")
+    asked = asked.withColumn("cell", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)))
+    asked = asked.join(blocks, [scope, "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     a, b = asked.alias("a"), history.alias("b")
     sizes = F.col("a.words") + F.col("b.words")
-    bound = (q - p) * sizes
-    apart = F.abs(F.col("a.words") - F.col("b.words"))
-    classes = None
-    for c in pivots:
-        one = F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))
-        classes = one if classes is None else classes + one
-    shared = F.size(F.array_intersect("a.hashes", "b.hashes"))
-    same = [F.col(f"a.{n}") == F.col(f"b.{n}") for n in (scope, "cell", "block")]
-    matched = (
-        a.join(b, same)
+    apart = None
+    for packed in ("p0", "p1"):
+        for i in range(8):
+            one = F.abs(_byte(f"a.{packed}", i) - _byte(f"b.{packed}", i))
+            apart = one if apart is None else apart + one
+    left = (
+        a.join(b, [F.col(f"a.{n}") == F.col(f"b.{n}") for n in (scope, "cell", "block")])
         .where(F.col("b.since") < F.col("a.until"))
-        .where((p + q) * apart <= bound)
-        .where((p + q) * classes <= bound)
-        .where(q * shared >= p * (sizes - shared))
-        .groupBy(F.col(f"a.{scope}").alias(scope), F.col("a.hashes").alias("hashes"))
-        .agg(F.min("b.since").alias("since"))
+        .where((p + q) * F.abs(F.col("a.words") - F.col("b.words")) <= (q - p) * sizes)
+        .where((p + q) * apart <= (q - p) * sizes)
+        .select(F.col(f"a.{scope}").alias(scope), F.col("a.point").alias("point"), F.col("b.point").alias("other"), F.col("b.since").alias("since"))
     )
-    return table.join(matched, [scope, "hashes"]).where(F.col("since") < F.col(order)).select(scope, key, order)
+    words = points.groupBy(scope, "point").agg(F.first("hashes").alias("hashes"))
+    both = left.join(words, [scope, "point"]).join(words.select(scope, F.col("point").alias("other"), F.col("hashes").alias("others")), [scope, "other"])
+    shared = F.size(F.array_intersect("hashes", "others"))
+    total = F.size("hashes") + F.size("others")
+    matched = both.where(q * shared >= p * (total - shared)).groupBy(scope, "point").agg(F.min("since").alias("since"))
+    return points.select(scope, key, order, "point").join(matched, [scope, "point"]).where(F.col("since") < F.col(order)).select(scope, key, order)
 
 
 def matched_rows(raw_rows: DataFrame, row_hashes: DataFrame, uploads: DataFrame, min_words: int = MIN_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -125,7 +141,7 @@ def matched_rows(raw_rows: DataFrame, row_hashes: DataFrame, uploads: DataFrame,
     placed = rows.select("dataset_id", "row_index", "row_offset").join(hashes, ["dataset_id", "row_index"])
     first = placed.groupBy("dataset_id", "h").agg(F.min("row_offset").alias("since"))
     exact = placed.join(first, ["dataset_id", "h"]).where("row_offset > since").select("dataset_id", "row_index", F.lit("exact").alias("match_kind"))
-    table = pivot_table(rows, ["dataset_id", "row_index", "row_offset"], min_words=min_words)
+    table = shared_checkpoint(pivot_table(rows, ["dataset_id", "row_index", "row_offset"], min_words=min_words))
     near = near_rows(table, "dataset_id", "row_index", "row_offset", threshold).select("dataset_id", "row_index", F.lit("near").alias("match_kind"))
     # exact comes before near, and a row is given once
     return exact.unionByName(near).groupBy("dataset_id", "row_index").agg(F.min("match_kind").alias("match_kind"))
