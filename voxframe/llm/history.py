@@ -14,8 +14,8 @@ ratio ``p/q``, so only neighbouring cells meet), prunes in the join condition, a
 A cell with many rows is cut into blocks of ``BLOCK_ROWS`` rows by a hash, and the new rows of that cell are sent to each block,
 so a dataset that holds a third of all rows is spread over as many tasks as it has blocks.
 
-Defined cases: a row delivered twice counts once; null hashes match nothing; rows of fewer than ``min_words`` words have no near
-rows; an upload without row_offset takes no part; cells that are no JSON object have no words; an empty table gives an empty
+Defined cases: a row delivered twice counts once; null hashes match nothing; rows of fewer than ``min_words`` words (repeated ones
+counted) have no near rows; an upload without row_offset takes no part; cells that are no JSON object have no words; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -51,9 +51,10 @@ def pivot_table(rows: DataFrame, keys: list[str], cells: str = "cells", fields:
         word = regex.compile(WORD_PATTERN)
         out: dict[str, list] = {k: [] for k in keys} | {"words": [], "hashes": []} | {f"c{i}": [] for i in range(PIVOTS)}
         for i, t in enumerate(columns["_text"]):
-            hashes = sorted({xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in word.findall(t.lower())})
-            if len(hashes) < min_words:
+            found = word.findall(t.lower())
+            if len(found) < min_words:
                 continue
+            hashes = sorted({xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in found})
             counts = [0] * PIVOTS
             for h in hashes:
                 counts[h % PIVOTS] += 1
