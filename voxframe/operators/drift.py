@@ -192,17 +192,22 @@ class Drift:
 
     def __init__(self, wave_rows: DataFrame, uploads: DataFrame, fingerprints: DataFrame | None = None):
         ship_package(wave_rows.sparkSession)
-        self.cells = shared_table(long_cells(wave_rows.select("dataset_id", "upload_id", "row_index", "cells").distinct()))
-        self.files = _file_pairs(uploads, wave_rows)
+        delivered = wave_rows.select("dataset_id", "upload_id", "row_index", "cells").distinct()
+        self.rows = delivered.select("dataset_id", "upload_id", "row_index", F.from_json("cells", "map<string,string>")[RESPONDENT].alias("respondent")).distinct()
+        self.cells = shared_table(long_cells(delivered))
+        self.files = shared_table(_file_pairs(uploads, wave_rows))
         columns = profiles(self.cells)
         if fingerprints is not None:  # a file may leave out the cells of a blank column altogether
             listed = fingerprints.select("dataset_id", "upload_id", F.col("column_name").alias("name")).distinct()
             columns = columns.join(listed, ["dataset_id", "upload_id", "name"], "full")
         self.columns = shared_table(columns.where(F.col("name") != RESPONDENT))
         self._renames: DataFrame | None = None
+        self._compared: DataFrame | None = None
 
     def compared(self) -> DataFrame:
         """Columns of each file beside those of the file before, by exact name."""
+        if self._compared is not None:
+            return self._compared
         pairs = self.files.where("earlier_id IS NOT NULL")
         later = self.columns.join(pairs.select("dataset_id", "upload_id", "earlier_id"), ["dataset_id", "upload_id"]).select(
             "dataset_id", "upload_id", "earlier_id", "name", F.struct("kind", "sketch").alias("later")
@@ -210,7 +215,8 @@ class Drift:
         earlier = self.columns.withColumnRenamed("upload_id", "earlier_id").join(
             pairs.select("dataset_id", "upload_id", "earlier_id"), ["dataset_id", "earlier_id"]
         ).select("dataset_id", "upload_id", "earlier_id", "name", F.struct("kind", "sketch").alias("earlier"))
-        return earlier.join(later, ["dataset_id", "upload_id", "earlier_id", "name"], "full")
+        self._compared = shared_table(earlier.join(later, ["dataset_id", "upload_id", "earlier_id", "name"], "full"))
+        return self._compared
 
     def renames(self) -> DataFrame:
         """``dataset_id, upload_id, stored_name, file_name`` of every renamed column."""
@@ -309,7 +315,6 @@ class Drift:
         filled = named.groupBy("dataset_id", "upload_id", "row_index", "respondent").agg(
             F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("unified_name"), plain.alias("value")))))).alias("cells")
         )
-        rows = self.cells.select("dataset_id", "upload_id", "row_index", "respondent").distinct()
-        return rows.join(filled.drop("respondent"), ["dataset_id", "upload_id", "row_index"], "left").select(
+        return self.rows.join(filled.drop("respondent"), ["dataset_id", "upload_id", "row_index"], "left").select(
             "dataset_id", "upload_id", "row_index", F.col("respondent").alias("respondent_id"), F.coalesce("cells", F.lit("{}")).alias("cells")
         )
