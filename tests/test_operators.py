@@ -198,3 +198,14 @@ def test_corpus_helpers(spark):
         reshape.check_selection(["a"], ["a", "b"], [], {"a": 1})
     with pytest.raises(ValueError):
         reshape.check_selection(["a"], ["a"], ["a"], {"a": 1})
+
+
+def test_concept_sweep_misses_nothing_the_patterns_find(spark):
+    from voxframe.functions.text import concept_pattern
+
+    texts = ["Bus lanes", "BUSES", "light   rail", "Light\nRails", "busy", "Biſcuits", "bİke", "Kiosk", "", None, "CAFÉS", "straße"]
+    concepts = {"bus": ["bus"], "rail": ["light rail"], "biscuit": ["biscuit"], "bike": ["bike"], "kiosk": ["kiosk"], "café": ["café"], "street": ["straße", "road"]}
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, response_text string")
+    got = {(r.i, r.concept) for r in tallies.concept_matches(df, concepts).collect()}
+    plain = {(r.i, n) for n, t in concepts.items() for r in df.where(F.col("response_text").rlike(concept_pattern(t))).collect()}
+    assert got == plain and (3, "rail") in got
