@@ -64,3 +64,16 @@ def test_garbled_text_is_read_as_meant(spark):
     text = "  Ich wohne KelowmoorstraÃŸe 181. Vivo en calle Zanerford nÂº 12."
     df = spark.createDataFrame([("1:1:1", text, text)], "response_key string, response_text string, raw_text_original string")
     assert pii.redact(df).first().response_text == "  Ich wohne [ADDRESS]. Vivo en [ADDRESS]."
+
+
+@pytest.mark.parametrize("more", [[], ["I told Yesterday Paper twice."]])
+def test_a_common_capitalised_word_before_a_name(spark, more):
+    """The pair with the common word is no name; the name beside it is one all the same."""
+    texts = [t for _, t, _ in corpus()] + ["Yesterday the bus was late"] * 80 + more
+    df = spark.createDataFrame([(f"1:1:{i}", t, t) for i, t in enumerate(texts)], "response_key string, response_text string, raw_text_original string")
+    got = {r.response_text for r in pii.redact(df).collect()}
+    assert "Yesterday [NAME] waved." in got and "Yesterday the bus was late" in got
+
+
+def test_overlapping_candidates_all_come_out():
+    assert {(w, o) for _, _, w, o, _ in pii.candidates("Yesterday Wanda Kirsby waved.")} == {("yesterday", "wanda"), ("wanda", "kirsby")}

@@ -11,7 +11,8 @@ words exceeds the thresholds, wherever it occurs; words of streets, places and e
 and fall out even inside a slot.  What exceeds the thresholds is generalised to a placeholder of its kind.  Wrongly decoded text is read as it
 was meant, and its spans are given where they stand.
 
-All counts cover all texts.  They stay in Spark: candidates meet the counts in a join by word, nothing is collected, and
+All counts cover all texts, and nothing is decided on part of them: overlapping candidates all meet the counts, and of those that
+become names the one with the best disclosure stays.  The counts stay in Spark: candidates meet the counts in a join by word, nothing is collected, and
 nothing that grows is broadcast.
 
 Defined cases: null and empty fields have no spans; what is masked already is no case; a repeated key reports once; further
@@ -21,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,8 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 #: Least share of a word's occurrences that lie in a slot: both words of a candidate inside a slot; the surer and the other
 #: word of a candidate anywhere else.
 IN_SLOT, SURE, OTHER = 0.1, 0.3, 0.05
+#: A word that occurs so often in the corpus and never in a slot is everyday speech; a rarer one may be a name not introduced yet.
+EVERYDAY = 50
 
 # Words that introduce a person, and what stands after one, in the languages of the surveys.
 TITLES = "mr mrs ms miss mx dr prof sr sra srta señor señora don doña herr frau mme mlle monsieur madame m senhor senhora dona seu".split()
@@ -158,16 +162,15 @@ def shaped(text: str) -> tuple[list[tuple[str, int, int]], str]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str, str | None, bool]]:
-    """Name candidates: begin, end, word, other word, inside a slot.  Of overlapping ones the first kind wins."""
-    found: list[tuple[int, int, str, str | None, bool]] = []
+    """Name candidates: begin, end, word, other word, inside a slot.  Overlapping ones all come out, the counts decide between them."""
+    found: dict[tuple[int, int], tuple[int, int, str, str | None, bool]] = {}
 
     def add(m: re.Match, shift: int = 0) -> None:
         g = m.groupdict()
         word = g.get("a") or g.get("b") or g.get("c1") or g.get("d1")
         other = g.get("c2") or g.get("d2")
         begin, end = m.start() + shift, m.end() + shift
-        if all(end <= b or begin >= e for b, e, *_ in found):
-            found.append((begin, end, word.lower(), other.lower() if other else None, True))
+        found.setdefault((begin, end), (begin, end, word.lower(), other.lower() if other else None, True))
 
     low = text.lower()
     if len(low) != len(text):  # a letter whose small form is longer: positions must not shift
@@ -189,17 +192,11 @@ def candidates(text: str) -> list[tuple[int, int, str, str | None, bool]]:
         if first in _NO_NAME or second in _NO_NAME:
             continue
         begin, end = m.start(), m.end(4)
-        if all(end <= b or begin >= e for b, e, *_ in found):
-            found.append((begin, end, *((second, first) if m[3] else (first, second)), False))
-    return found
+        found.setdefault((begin, end), (begin, end, *((second, first) if m[3] else (first, second)), False))
+    return list(found.values())
 
 
-def _common(word: str | None, total: Counter[str], slots: Counter[str]) -> bool:
-    """Whether a batch alone shows that a word is everyday speech: it cannot reach ``OTHER`` any more by far."""
-    return word is not None and total[word] >= 50 and slots[word] * 100 < total[word]
-
-
-_SCHEMA = "row_kind string, key {kind}, field_name string, pii_kind string, begin int, `end` int, word string, other string, in_slot boolean, n bigint, slots bigint"
+_SCHEMA = "row_kind string, key {kind}, field_name string, text_hash bigint, pii_kind string, begin int, `end` int, word string, other string, in_slot boolean, n bigint, slots bigint"
 
 
 def scan(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
@@ -208,14 +205,14 @@ def scan(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     A field equal to the one before it (up to outer blanks) is worked out once; its counts enter once.
     """
     columns = _SCHEMA.format(kind=dict(df.dtypes)[key])
-    names = ("row_kind", "key", "field_name", "pii_kind", "begin", "end", "word", "other", "in_slot", "n", "slots")
+    names = ("row_kind", "key", "field_name", "text_hash", "pii_kind", "begin", "end", "word", "other", "in_slot", "n", "slots")
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         rows: list[tuple] = []
         total: Counter[str] = Counter()
         slots: Counter[str] = Counter()
         for i, k in enumerate(batch[key]):
-            done: dict[str, tuple[list, list]] = {}
+            done: dict[str, tuple[list, list, int]] = {}
             for f in fields:
                 text = batch[f][i]
                 if not text:
@@ -227,21 +224,25 @@ def scan(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
                     spans, rest = shaped(plain)
                     names_found = candidates(rest)
                     total.update(_WORDS.findall(rest.lower()))
+                    taken: list[tuple[int, int]] = []
                     for begin, end, word, other, slot in names_found:
+                        # a place counts once as evidence, by its first reading
+                        if not slot or any(begin < e and b < end for b, e in taken):
+                            continue
+                        taken.append((begin, end))
                         # only a capitalised slot counts as evidence: caseless text says nothing about names
-                        if slot and not rest.isupper() and rest[begin:end].split()[-1][0].isupper() and (other is None or rest[begin].isupper()):
+                        if not rest.isupper() and rest[begin:end].split()[-1][0].isupper() and (other is None or rest[begin].isupper()):
                             slots[word] += 1
                             if other:
                                 slots[other] += 1
                     if origin is not None:  # found in the restored text, reported where they stand
                         spans = [(kind, origin[b], origin[e]) for kind, b, e in spans]
                         names_found = [(origin[b], origin[e], *x) for b, e, *x in names_found]
-                    done[core] = spans, names_found
-                spans, names_found = done[core]
-                rows += [("span", k, f, kind, b + shift, e + shift, None, None, None, None, None) for kind, b, e in spans]
-                rows += [("name", k, f, "name", b + shift, e + shift, w, o, s, None, None) for b, e, w, o, s in names_found]
-        rows = [r for r in rows if r[0] != "name" or r[8] or not (_common(r[6], total, slots) or _common(r[7], total, slots))]
-        rows += [("count", None, None, None, None, None, w, None, None, n, slots[w]) for w, n in total.items()]
+                    done[core] = spans, names_found, zlib.crc32(core.encode("utf-8", "replace"))
+                spans, names_found, h = done[core]
+                rows += [("span", k, f, h, kind, b + shift, e + shift, None, None, None, None, None) for kind, b, e in spans]
+                rows += [("name", k, f, h, "name", b + shift, e + shift, w, o, s, None, None) for b, e, w, o, s in names_found]
+        rows += [("count", None, None, None, None, None, None, w, None, None, n, slots[w]) for w, n in total.items()]
         return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
 
     return map_columns(df.select(key, *fields), run, columns)
@@ -251,24 +252,40 @@ def _share(word: str) -> Column:
     return F.col(f"{word}_slots") / F.col(f"{word}_n")
 
 
+def _apart(found: DataFrame) -> DataFrame:
+    """Of names that overlap in a text the one with the best disclosure stays."""
+    place = ["key", "field_name", "text_hash"]
+    best = F.array_sort(F.collect_set(F.struct((-F.col("disclosure")).alias("rank"), "begin", "end")))
+    none = F.array().cast("array<struct<rank:double,begin:int,end:int>>")
+    overlap = lambda x, y: (x["begin"] < y["end"]) & (y["begin"] < x["end"])
+    kept = F.aggregate("ranked", none, lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    each = found.groupBy(*place).agg(best.alias("ranked")).select("key", "field_name", F.explode(kept).alias("s"))
+    return each.select("key", "field_name", F.lit("name").alias("pii_kind"), "s.begin", "s.end")
+
+
 def spans(df: DataFrame, key: str = "response_key", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """All spans of personal information: ``key, field_name, pii_kind, begin, end`` (end exclusive)."""
     made = shared_checkpoint(scan(df, key, fields))
     counts = made.where("row_kind = 'count'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("slots").alias("slots"))
     # a word that never stands in a slot discloses nothing: only the others are joined, and a candidate lacking both is out
     telling = counts.where("slots > 0")
-    names = made.where("row_kind = 'name'").select("key", "field_name", "begin", "end", "word", "other", "in_slot")
+    names = made.where("row_kind = 'name'").select("key", "field_name", "text_hash", "begin", "end", "word", "other", "in_slot")
     side = lambda s: telling.select(F.col("word").alias(s), F.col("n").alias(f"{s}_n"), F.col("slots").alias(f"{s}_slots"))
     rare = counts.where("slots = 0 AND n <= 2").select(F.col("word").alias("unknown"))
     one = names.join(side("word"), "word", "left")
     two = one.join(side("other"), "other", "left")
     surer, lesser = F.greatest(_share("word"), F.coalesce(_share("other"), F.lit(0.0))), F.least(_share("word"), _share("other"))
     single = F.col("other").isNull()
+    # outside a slot, a word without any slot stands beside a sure one only while it is too rare in the corpus to be everyday speech
+    everyday = counts.where(f"slots = 0 AND n >= {EVERYDAY}").select(F.col("word").alias("unknown"))
+    slotless = F.when(~F.col("in_slot") & F.col("word_n").isNull(), F.col("word")).when(~F.col("in_slot") & F.col("other_n").isNull(), F.col("other"))
+    disclosure = F.when(single, _share("word")).when(F.col("word_n").isNotNull() & F.col("other_n").isNotNull(), lesser).otherwise(0.0)
+    columns = ("key", "field_name", "text_hash", "begin", "end", "disclosure")
     kept = two.where(
         F.when(single, _share("word") >= F.when(F.col("in_slot"), IN_SLOT).otherwise(SURE)).otherwise(
             F.when(F.col("in_slot"), lesser >= IN_SLOT).otherwise((surer >= SURE) & (lesser >= OTHER))
         )
-    ).select("key", "field_name", "begin", "end")
+    ).withColumns({"disclosure": disclosure, "unknown": slotless}).join(everyday, "unknown", "left_anti").select(*columns)
     # a sure first name with a word nobody else uses is a name as well, and so is such a word after a title inside a slot
     lone = single & F.col("in_slot") & F.col("word_n").isNull()
     beside = F.col("other").isNotNull() & (F.col("word_slots") >= 3) & F.col("other_n").isNull() & (_share("word") >= SURE)
@@ -276,9 +293,10 @@ def spans(df: DataFrame, key: str = "response_key", fields: tuple[str, ...] = FI
         two.where(lone | beside)
         .withColumn("unknown", F.coalesce("other", "word"))
         .join(rare, "unknown", "left_semi")
-        .select("key", "field_name", "begin", "end")
+        .withColumn("disclosure", F.lit(0.0))
+        .select(*columns)
     )
-    found = kept.unionByName(alone).withColumn("pii_kind", F.lit("name"))
+    found = _apart(kept.unionByName(alone))
     shapes = made.where("row_kind = 'span'").select("key", "field_name", "pii_kind", "begin", "end")
     return shapes.unionByName(found).withColumnRenamed("key", key)
 
