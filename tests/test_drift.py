@@ -3,7 +3,9 @@ import random
 
 import pytest
 
-from voxframe.operators.drift import Drift, best_matching, name_similarity
+from pyspark.sql import functions as F
+
+from voxframe.operators.drift import SKETCH, Drift, best_matching, name_similarity
 
 CELLS = "dataset_id long, upload_id long, row_index long, cells string"
 UPLOADS = "dataset_id long, upload_id long, row_offset long"
@@ -75,3 +77,24 @@ def test_matching_is_optimal(seed):
 
 def test_name_similarity():
     assert name_similarity("Years resident", "years_resident") == 1.0
+
+
+@pytest.mark.parametrize("renamed", [True, False])
+def test_a_rename_with_few_common_respondents_in_the_sketches(spark, renamed):
+    """Two sketched respondents are common and one of them has a corrected value: only the exact check may decide."""
+    ids = [f"P{i}" for i in range(600)]
+    ranked = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "r string").orderBy(F.xxhash64("r")).collect()]
+    after = ranked[:2] + ranked[SKETCH : SKETCH + 58]
+    wrong = set(after[:1] if renamed else after[:30])
+    one = [{"respondent_id": r, "age": r[1:]} for r in ids]
+    two = [{"respondent_id": r, "years": "corrected" if r in wrong else r[1:]} for r in after]
+    _, got = changes(spark, [one, two])
+    names = {c[1:] for c in got}
+    assert names == ({("renamed", "age", "years"), ("retyped", "age", "years")} if renamed else {("removed", "age", ""), ("added", "", "years")})
+
+
+def test_what_a_sketch_rules_out():
+    from voxframe.operators.drift import possible
+
+    assert all(possible(same, common) for common in range(9) for same in range(common + 1))
+    assert possible(SKETCH * 9 // 10, SKETCH) and not possible(SKETCH * 6 // 10, SKETCH) and not possible(0, 9)

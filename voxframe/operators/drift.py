@@ -3,7 +3,7 @@
 Every column of every file gets a profile: the kind of its values, their number, and a value sketch, which keeps the
 values of the ``SKETCH`` respondents with the lowest hashes.  As the same respondents are kept everywhere, two sketches estimate
 how many respondents say the same in two columns.  Columns only in the earlier file and columns only in the later one form a bipartite
-graph; edges come from the sketches, are checked exactly over all common respondents, and a maximum-weight matching (share of equal
+graph; the sketches strike out edges that cannot hold, all others are checked exactly over all common respondents, and a maximum-weight matching (share of equal
 values first, similarity of names second) gives the renames.  Matched columns are then unified into one table.
 
 Files of one survey are few and their columns bounded, so only column-level metadata is grouped per survey; rows are joined on
@@ -17,6 +17,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,8 +28,8 @@ from ..session import shared_table, ship_package
 
 RESPONDENT = "respondent_id"
 SKETCH = 256
-#: Share of respondents that must say the same in a renamed column, and the estimate from which an edge is checked exactly.
-SAME, WORTH_CHECKING = 0.9, 0.6
+#: Share of respondents that must say the same in a renamed column, and the chance of meeting a sketch by which such a column is ruled out.
+SAME, RULED_OUT = 0.9, 1e-9
 
 _NUMBER = r"^[+-]?\d+([.,]\d+)?$"
 _WHOLE = r"^[+-]?\d+$"
@@ -177,13 +178,18 @@ def _match_file(edges: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def possible(same: int, common: int) -> bool:
+    """Whether ``same`` of ``common`` sampled respondents leave room for a share of ``SAME`` among all: a binomial tail, so that few rule out nothing."""
+    return sum(math.comb(common, k) * SAME**k * (1 - SAME) ** (common - k) for k in range(same + 1)) >= RULED_OUT
+
+
 def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         keep = []
         for x, y in zip(b["sketch_a"], b["sketch_b"]):
             said = {s["h"]: set(s["meanings"]) for s in (x if x is not None else ())}
             common = [(said[s["h"]], s["meanings"]) for s in (y if y is not None else ()) if s["h"] in said]
-            keep.append(not common or sum(not p.isdisjoint(q) for p, q in common) >= WORTH_CHECKING * len(common))
+            keep.append(possible(sum(not p.isdisjoint(q) for p, q in common), len(common)))
         yield b.loc[keep, ["dataset_id", "upload_id", "earlier_id", "stored_name", "file_name"]]
 
 
