@@ -258,6 +258,18 @@ def pr16_parse_records(spark: SparkSession, d: str) -> DataFrame:
     return labeling.parse_labels(b.drop("k"), replies, labels).select("batch", "position", "not_returned", "fit", F.array_join("label_ids", ",").alias("label_ids"))
 
 
+@query("WITH e AS (SELECT event_id // 50 AS batch, CAST(row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS INT) AS position, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) SELECT CAST(batch AS BIGINT) AS batch, position, position % 4 = 0 AS not_returned, CASE WHEN position % 4 <> 0 AND k BETWEEN 1 AND 3 THEN k END AS fit, CASE WHEN position % 4 <> 0 AND k % 2 = 1 THEN '7_001' ELSE '' END AS label_ids FROM e")
+def pr16_parse_records_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``pr16_parse_records`` over every event, in batches of fifty ids in a row, so that no batch grows with the table."""
+    e = read(spark, d, "events", "event_id", "props").select("event_id", F.expr("event_id div 50").alias("batch"), F.from_json("props", "k int")["k"].alias("k"))
+    b = e.withColumn("position", F.row_number().over(Window.partitionBy("batch").orderBy("event_id")))
+    b = b.select(F.lit(7).cast("long").alias("question_id"), "batch", "position", F.col("event_id").cast("string").alias("response_key"), F.lit("").alias("text"), "k")
+    record = F.struct(F.col("position").alias("n"), F.array(F.when(F.col("k") % 2 == 1, "7_001").otherwise("7_999")).alias("label_ids"), F.col("k").alias("fit"))
+    replies = b.groupBy("question_id", "batch").agg(F.to_json(F.struct(F.collect_list(F.when(F.col("position") % 4 != 0, record)).alias("results"))).alias("reply"))
+    labels = spark.createDataFrame([(7, "7_001")], "question_id long, label_id string")
+    return labeling.parse_labels(b.drop("k"), replies, labels).select("batch", "position", "not_returned", "fit", F.array_join("label_ids", ",").alias("label_ids"))
+
+
 @query(f"WITH {C}, {M}, s AS (SELECT m.label_id, c.fit, c.source_row_index % 3 = 0 AS no_sub, c.source_row_index % 11 = 0 AS nr FROM m JOIN c USING (response_key)) SELECT label_id, CAST(count(*) FILTER (NOT nr) AS BIGINT) AS coded, CAST(count(*) FILTER (NOT nr AND no_sub) AS BIGINT) AS generic, CAST(count(*) FILTER (no_sub AND fit = 1) AS BIGINT) AS gap, CAST(count(*) FILTER (nr) AS BIGINT) AS not_returned FROM s GROUP BY 1")
 def ag20_sub_label_report(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d, "fit", "source_row_index").select("response_key", "fit", "source_row_index")

@@ -119,6 +119,18 @@ def pr20_sub_records(spark: SparkSession, d: str) -> DataFrame:
     return labeling.parse_labels(b.drop("k"), replies, known).select("batch", "position", F.array_join("label_ids", ",").alias("sub_ids"), "not_returned")
 
 
+@query("WITH e AS (SELECT event_id // 40 AS batch, CAST(row_number() OVER (PARTITION BY event_id // 40 ORDER BY event_id) AS INT) AS position, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) SELECT CAST(batch AS BIGINT) AS batch, position, CASE WHEN position % 5 <> 0 AND k % 2 = 1 THEN '7_001s01' ELSE '' END AS sub_ids, position % 5 = 0 AS not_returned FROM e")
+def pr20_sub_records_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``pr20_sub_records`` over every event, in batches of forty ids in a row."""
+    e = read(spark, d, "events", "event_id", "props").select("event_id", F.expr("event_id div 40").alias("batch"), F.from_json("props", "k int")["k"].alias("k"))
+    b = e.withColumn("position", F.row_number().over(Window.partitionBy("batch").orderBy("event_id")))
+    b = b.select(F.lit(7).cast("long").alias("question_id"), "batch", "position", F.col("event_id").cast("string").alias("response_key"), F.lit("").alias("text"), "k")
+    record = F.struct(F.col("position").alias("number"), F.array(F.when(F.col("k") % 2 == 1, "7_001s01").otherwise("7_001s77")).alias("labels"), F.lit(9).alias("fit"))
+    replies = b.groupBy("question_id", "batch").agg(F.to_json(F.struct(F.collect_list(F.when(F.col("position") % 5 != 0, record)).alias("results"))).alias("reply"))
+    known = spark.createDataFrame([(7, "7_001s01"), (7, "7_001s02")], "question_id long, label_id string")
+    return labeling.parse_labels(b.drop("k"), replies, known).select("batch", "position", F.array_join("label_ids", ",").alias("sub_ids"), "not_returned")
+
+
 @query("WITH h AS (SELECT DISTINCT dataset_id, upload_id, row_index, lower(row_hash) AS h FROM row_hashes), o AS (SELECT h.*, u.row_offset FROM h JOIN uploads u USING (dataset_id, upload_id)), f AS (SELECT *, min(row_offset) OVER (PARTITION BY dataset_id) AS first FROM o), s AS (SELECT dataset_id, h, count(*) AS n FROM f WHERE row_offset = first GROUP BY ALL), k AS (SELECT f.*, row_number() OVER (PARTITION BY dataset_id, h ORDER BY row_index) AS k FROM f WHERE row_offset > first) SELECT k.dataset_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (k <= coalesce(s.n, 0)) AS BIGINT) AS n_held FROM k LEFT JOIN s ON s.dataset_id = k.dataset_id AND s.h = k.h GROUP BY 1")
 def st01_append_waves(spark: SparkSession, d: str) -> DataFrame:
     """All later files of a dataset as one wave against its first file, as multisets."""
