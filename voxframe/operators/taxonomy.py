@@ -107,8 +107,11 @@ def extend(taxonomy: DataFrame, proposed: DataFrame) -> DataFrame:
     new = proposed.withColumn("norm", norm).join(taxonomy.select("question_id", norm.alias("norm")), ["question_id", "norm"], "left_anti")
     last = taxonomy.groupBy("question_id").agg(F.max(F.coalesce(F.nullif(F.regexp_extract("label_id", r"^\d+_i(\d+)$", 1), F.lit("")).cast("int"), F.lit(0))).alias("last"))
     seq = F.row_number().over(Window.partitionBy("question_id").orderBy("position"))
-    return new.dropDuplicates(["question_id", "norm"]).join(last, "question_id", "left").withColumn("seq", seq + F.coalesce("last", F.lit(0))).select(
-        "question_id", F.concat(F.col("question_id").cast("string"), F.lit("_i"), F.lpad(F.col("seq").cast("string"), 3, "0")).alias("label_id"), "name"
+    # the first proposal of a name stands for it; ids beyond 999 grow a digit
+    first = new.groupBy("question_id", "norm").agg(F.min_by("name", "position").alias("name"), F.min("position").alias("position"))
+    number = F.col("seq").cast("string")
+    return first.join(last, "question_id", "left").withColumn("seq", seq + F.coalesce("last", F.lit(0))).select(
+        "question_id", F.concat(F.col("question_id").cast("string"), F.lit("_i"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), "0")).alias("label_id"), "name"
     )
 
 

@@ -237,6 +237,15 @@ def ag18_terms(spark: SparkSession, d: str) -> DataFrame:
     return tallies.terms(corpus(spark, d, "dataset_id", "response_text").where("dataset_id = 1"), "response_text", _STOP)
 
 
+@query(
+    f"WITH {C}, w AS (SELECT {_WORDS} AS w FROM c), b AS (SELECT 'word' AS kind, unnest(w) AS term FROM w UNION ALL SELECT 'pair', unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), "
+    "n AS (SELECT kind, term, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL HAVING count(*) >= 4) SELECT kind, term, n, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) AS INT) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) <= 120"
+)
+def ag18_terms_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``ag18_terms`` over the responses of all datasets."""
+    return tallies.terms(corpus(spark, d, "response_text"), "response_text", _STOP)
+
+
 @query(
     f"WITH {C} SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (uncategorized IS NOT NULL) AS BIGINT) AS labelled, CAST(count(*) FILTER (uncategorized) AS BIGINT) AS uncategorized, CAST(sum(len(label_ids)) FILTER (uncategorized IS NOT NULL AND len(label_ids) > 0) AS BIGINT) AS sum_labels, "
     "CAST(count(*) FILTER (uncategorized IS NOT NULL AND len(label_ids) > 0) AS BIGINT) AS with_labels, CAST(count(*) FILTER (uncategorized IS NOT NULL AND coalesce(len(label_ids), 0) = 0) AS BIGINT) AS zero_labels, CAST(count(*) FILTER (event_occurred) AS BIGINT) AS events FROM c"

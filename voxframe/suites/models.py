@@ -110,6 +110,20 @@ def tx01_evidence(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.resolve_evidence(cited, chunk).withColumn("evidence", F.array_join("evidence", ","))
 
 
+@query()
+def tx01_evidence_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``tx01_evidence`` for every question and every chunk of fifty of its responses: each label's numbers are those of its chunk."""
+    order = F.row_number().over(Window.partitionBy("question_id").orderBy("source_row_index", "response_key")) - 1
+    placed = corpus(spark, d, "question_id", "source_row_index").withColumn("at", order).withColumn("chunk", F.floor(F.col("at") / 50))
+    number = lambda n: F.struct("question_id", "chunk", n.alias("n"))
+    cited = _members(spark, d).select("response_key", "label_id").join(placed.select("response_key", "question_id", "chunk"), "response_key")
+    cited = cited.withColumn("number", number(F.split("response_key", ":")[2].cast("int") % 60))
+    cited = cited.groupBy(F.struct("label_id", "chunk").alias("label_id")).agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+    chunks = placed.select(number((F.col("at") % 50).cast("int")).alias("position"), "response_key")
+    found = taxonomy.resolve_evidence(cited, chunks)
+    return found.select("label_id.label_id", "label_id.chunk", F.array_join("evidence", ",").alias("evidence"), "n_invalid")
+
+
 @query("WITH a AS (SELECT p_name AS label_id, p_type AS theme, p_partkey AS position FROM part), f AS (SELECT label_id, arg_min(theme, position) AS theme FROM a GROUP BY 1), k AS (SELECT DISTINCT p_type AS theme FROM part WHERE p_size > 48) SELECT label_id, CASE WHEN k.theme IS NULL THEN '(unsorted)' ELSE f.theme END AS theme FROM f LEFT JOIN k ON k.theme = f.theme")
 def tx03_theme_assignment(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part", "p_name", "p_type", "p_partkey", "p_size")
@@ -143,6 +157,14 @@ def tx09_extend_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.extend(t, proposed).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_new"), F.max("label_id").alias("last_id"))
 
 
+@query()
+def tx09_extend_taxonomy_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``tx09_extend_taxonomy`` with every part proposed for every question."""
+    t = _named_taxonomy(spark, d)
+    proposed = F.broadcast(t.select("question_id").distinct()).crossJoin(read(spark, d, "part", F.col("p_name").alias("name"), F.col("p_partkey").alias("position")))
+    return taxonomy.extend(t, proposed).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_new"), F.count_distinct("label_id").alias("n_ids"))
+
+
 @query()
 def tx08_suggested_merges(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping pairs of one parent; the list is as short as a taxonomy, so it is settled on the driver."""
@@ -170,6 +192,13 @@ def tx21_member_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(f"WITH {C}, {M} SELECT label_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(response_text)) AS BIGINT) AS chars FROM m JOIN (SELECT response_key, CASE WHEN length(response_text) > 600 THEN rtrim(substr(response_text, 1, 600), ' ') || '…' ELSE response_text END AS response_text FROM c WHERE response_text IS NOT NULL) USING (response_key) GROUP BY 1")
+def tx21_member_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``tx21_member_rows`` with the texts that were cut short."""
+    rows = labeling.member_rows(_members(spark, d), corpus(spark, d, "response_text"))
+    return rows.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 @query(f"WITH {C}, s AS (SELECT label_id AS name, unnest(locations) AS place FROM (SELECT *, unnest(label_ids) AS label_id FROM c)) SELECT place, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1")
 def tx17_sources_by_place(spark: SparkSession, d: str) -> DataFrame:
     each = corpus(spark, d, "label_ids", "locations").select(F.explode("label_ids").alias("label_id"), "locations")
@@ -297,6 +326,14 @@ def se06_append(spark: SparkSession, d: str) -> DataFrame:
     return prior.unionByName(fresh, allowMissingColumns=True)
 
 
+@query(f"WITH {C} SELECT response_key, CASE WHEN dataset_id < 1000 THEN actionability END AS actionability FROM c")
+def se06_append_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``se06_append`` with every dataset: the early ones are the prior run, all others are appended."""
+    early = F.coalesce(F.col("dataset_id") < 1000, F.lit(False))
+    c = corpus(spark, d, "dataset_id", "actionability")
+    return c.where(early).select("response_key", "actionability").unionByName(c.where(~early).select("response_key"), allowMissingColumns=True)
+
+
 # ---- samples and orders --------------------------------------------------------------------------------------------------------
 
 _CAND = ", ".join(f"('{s}', {i})" for i, s in enumerate(SCOPE))

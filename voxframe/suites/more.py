@@ -26,6 +26,13 @@ def sf06_concept_pattern(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").rlike(text.concept_pattern(["bus", "bike lane", "library"])).alias("hit"))
 
 
+@query()
+def sf06_concept_pattern_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``sf06_concept_pattern`` over every text; no SQL, as DuckDB has no word boundary beyond ASCII."""
+    docs = read(spark, d, "documents", "doc_id", "text").where(F.col("text").isNotNull())
+    return docs.select("doc_id", F.col("text").rlike(text.concept_pattern(["bus", "bike lane", "library"])).alias("hit"))
+
+
 @query(r"WITH q AS (SELECT DISTINCT question_id, question_label FROM responses WHERE question_label IS NOT NULL) SELECT question_id, question_label, regexp_matches(question_label, '(?i)\bbus(?:e?s)?\b') AS buses, regexp_matches(question_label, '(?i)\bstreet(?:e?s)?\b') AS streets FROM q")
 def sf07_query_concepts(spark: SparkSession, d: str) -> DataFrame:
     """Concepts a question itself names."""
