@@ -34,3 +34,24 @@ def test_against_brute_force(spark):
     report = {g.upload_id: g for g in history.file_report(raw, hashes, uploads).collect()}
     assert report[1].exact_rows == report[1].near_rows == 0
     assert sum(g.exact_rows + g.near_rows for g in report.values()) == len(expected)
+
+
+def test_appending_in_steps_equals_one_run(spark, tmp_path):
+    r = random.Random(9)
+    base = [r.sample([f"w{i}" for i in range(300)], r.randint(12, 40)) for _ in range(30)]
+    rows = []
+    for i in range(240):
+        text = list(r.choice(base))
+        for _ in range(r.randint(0, 6)):
+            text[r.randrange(len(text))] = f"w{r.randrange(300)}"
+        rows.append((i % 2, i, i // 80, json.dumps({"answer_a": " ".join(text)})))
+    schema = "dataset_id long, row_index long, o long, cells string"
+    keys = ("dataset_id", "row_index", "o")
+    whole = {tuple(g) for g in history.near_rows(history.pivot_table(spark.createDataFrame(rows, schema), list(keys)), *keys).collect()}
+    stored, steps = f"{tmp_path}/pivots", set()
+    for upload in (0, 1, 2, 2):  # the last one comes twice
+        found = history.append_rows(stored, spark.createDataFrame([x for x in rows if x[2] == upload], schema), *keys).collect()
+        assert all(g.o == upload for g in found)
+        steps |= {tuple(g) for g in found}
+    assert whole and steps == whole
+    assert spark.read.parquet(stored).count() == 240

@@ -25,6 +25,7 @@ import math
 
 import regex
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ TEXT_FIELDS = ("answer_a", "answer_b")
 def pivot_table(rows: DataFrame, keys: list[str], cells: str = "cells", fields: tuple[str, ...] = TEXT_FIELDS, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row with enough words: keys, words, hashes of the words and the distances to the pivots.
 
-    This is the table to append to: ``pivot_table(new_rows, ...).write.mode("append")``.
+    This is the table ``append_rows`` appends to.
     """
     kinds = dict(rows.dtypes)
     parsed = F.from_json(F.col(cells), "map<string,string>")
@@ -87,23 +88,27 @@ def _byte(packed: str, i: int) -> Column:
     return F.shiftrightunsigned(F.col(packed), 8 * i).bitwiseAND(F.lit(255).cast("long"))
 
 
-def near_rows(table: DataFrame, scope: str, key: str, order: str, threshold: tuple[int, int] = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows (``scope``, ``key``) of a pivot table with a near row of lower ``order`` in their scope.
+def near_rows(table: DataFrame, scope: str, key: str, order: str, threshold: tuple[int, int] = THRESHOLD, block_rows: int = BLOCK_ROWS, new: DataFrame | None = None) -> DataFrame:
+    """Rows (``scope``, ``key``) of a pivot table with a near row of lower ``order`` in their scope.  With ``new``, a part of the table, only its
+    rows are asked for, and only their scopes are read.
 
     Rows of one and the same word set are a single point (named by a hash of the set), so copies are not searched one by one.  The join
     carries 40 bytes a point; the words themselves are fetched only for pairs the pivots could not rule out.
     """
     p, q = threshold
     pivots = [f"c{i}" for i in range(PIVOTS)]
-    points = table.select(
+    place = lambda t: t.select(
         scope, key, order, "hashes", F.xxhash64("hashes").alias("point"), "words", _packed(pivots[:8]).alias("p0"), _packed(pivots[8:]).alias("p1"), _cell(F.col("words"), threshold).alias("cell")
     )
+    points = place(table if new is None else table.join(new.select(scope).distinct(), scope, "left_semi"))
+    fresh = points if new is None else place(new)
     once = points.groupBy(scope, "point", "words", "p0", "p1", "cell").agg(F.min(order).alias("since"), F.max(order).alias("until"))
     blocks = once.groupBy(scope, "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
     history = once.drop("until").join(blocks, [scope, "cell"]).withColumn("block", F.pmod(F.col("point"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
     # a row is asked for when its scope has an earlier file at all
     begun = once.groupBy(scope).agg(F.min("since").alias("begun"))
-    asked = once.drop("since").join(begun, scope).where(F.col("until") > F.col("begun")).drop("begun")
+    of_fresh = once.drop("since") if new is None else fresh.groupBy(scope, "point", "words", "p0", "p1", "cell").agg(F.max(order).alias("until"))
+    asked = of_fresh.join(begun, scope).where(F.col("until") > F.col("begun")).drop("begun")
     asked = asked.withColumn("cell", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)))
     asked = asked.join(blocks, [scope, "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     a, b = asked.alias("a"), history.alias("b")
@@ -125,7 +130,26 @@ def near_rows(table: DataFrame, scope: str, key: str, order: str, threshold: tup
     shared = F.size(F.array_intersect("hashes", "others"))
     total = F.size("hashes") + F.size("others")
     matched = both.where(q * shared >= p * (total - shared)).groupBy(scope, "point").agg(F.min("since").alias("since"))
-    return points.select(scope, key, order, "point").join(matched, [scope, "point"]).where(F.col("since") < F.col(order)).select(scope, key, order)
+    return fresh.select(scope, key, order, "point").join(matched, [scope, "point"]).where(F.col("since") < F.col(order)).select(scope, key, order)
+
+
+def append_rows(stored: str, rows: DataFrame, scope: str, key: str, order: str, threshold: tuple[int, int] = THRESHOLD, **options) -> DataFrame:
+    """Search the rows of a new upload against the pivot table stored at a path, then append them to it: their near rows as by ``near_rows``.
+
+    Pivots are worked out for the new rows only.  A row the table has already is not appended again; a path without a table begins one.
+    """
+    new = shared_checkpoint(pivot_table(rows, [scope, key, order], **options))
+    try:
+        table = rows.sparkSession.read.parquet(stored)
+        missing = new.join(table.select(scope, key, order), [scope, key, order], "left_anti").select(new.columns)
+        table = table.unionByName(missing)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        table = missing = new
+    found = shared_checkpoint(near_rows(table, scope, key, order, threshold, new=new))
+    shared_checkpoint(missing).write.mode("append").parquet(stored)
+    return found
 
 
 def matched_rows(raw_rows: DataFrame, row_hashes: DataFrame, uploads: DataFrame, min_words: int = MIN_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
