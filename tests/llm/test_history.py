@@ -1,5 +1,9 @@
 import json
 import random
+import shutil
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from voxframe.llm import history
 
@@ -28,9 +32,13 @@ def test_against_brute_force(spark):
             expected.add((d, i, "near"))
     assert {k for *_, k in expected} == {"exact", "near"}
     assert {tuple(g) for g in history.matched_rows(raw, hashes, uploads).collect()} == expected
-    table = history.pivot_table(raw.withColumnRenamed("upload_id", "o"), ["dataset_id", "row_index", "o"])
-    small_blocks = {(g.dataset_id, g.row_index) for g in history.near_rows(table, "dataset_id", "row_index", "o", block_rows=7).collect()}
-    assert small_blocks == {(g.dataset_id, g.row_index) for g in history.near_rows(table, "dataset_id", "row_index", "o").collect()}
+    keys = ("dataset_id", "row_index", "o")
+    made = history.points(raw.withColumnRenamed("upload_id", "o"), list(keys))
+    for order in (np.zeros(history.CLASSES, np.int64), np.arange(history.CLASSES)[::-1].copy()):  # the order of the pivots decides nothing
+        table = history.with_distances(made, order, history.THRESHOLD)
+        small_blocks = {tuple(g) for g in history.near_rows(table, table, *keys, block_rows=7).collect()}
+        assert small_blocks == {tuple(g) for g in history.near_rows(table, table, *keys).collect()}
+        assert {(d, i) for d, i, kind in expected if kind == "near"} <= {(d, i) for d, i, _ in small_blocks}
     report = {g.upload_id: g for g in history.file_report(raw, hashes, uploads).collect()}
     assert report[1].exact_rows == report[1].near_rows == 0
     assert sum(g.exact_rows + g.near_rows for g in report.values()) == len(expected)
@@ -47,11 +55,30 @@ def test_appending_in_steps_equals_one_run(spark, tmp_path):
         rows.append((i % 2, i, i // 80, json.dumps({"answer_a": " ".join(text)})))
     schema = "dataset_id long, row_index long, o long, cells string"
     keys = ("dataset_id", "row_index", "o")
-    whole = {tuple(g) for g in history.near_rows(history.pivot_table(spark.createDataFrame(rows, schema), list(keys)), *keys).collect()}
-    stored, steps = f"{tmp_path}/pivots", set()
+    hashed = lambda df: df.select(*keys, F.unhex(F.sha2("cells", 256)).alias("h"))
+    frame = lambda part: spark.createDataFrame(part, schema)
+    whole = {tuple(g) for g in history.History(spark, f"{tmp_path}/whole", *keys).append(frame(rows), hashed(frame(rows))).collect()}
+    stored, steps = history.History(spark, f"{tmp_path}/steps", *keys), set()
     for upload in (0, 1, 2, 2):  # the last one comes twice
-        found = history.append_rows(stored, spark.createDataFrame([x for x in rows if x[2] == upload], schema), *keys).collect()
-        assert all(g.o == upload for g in found)
+        new = frame([x for x in rows if x[2] == upload])
+        found = stored.append(new, hashed(new)).collect()
         steps |= {tuple(g) for g in found}
-    assert whole and steps == whole
-    assert spark.read.parquet(stored).count() == 240
+        assert {i for _, i, _ in found} <= {x[1] for x in rows if x[2] == upload}
+    assert {k for *_, k in whole} == {"exact", "near"} and steps == whole
+    assert spark.read.parquet(f"{tmp_path}/steps/near").count() == spark.read.parquet(f"{tmp_path}/steps/exact").count() == 240
+
+
+def test_history_is_read_as_distances_only(spark, tmp_path):
+    """What is stored has no text, and a new file reads the parts of its own datasets alone."""
+    keys = ("dataset_id", "row_index", "o")
+    schema = "dataset_id long, row_index long, o long, cells string"
+    words = [f"w{i}" for i in range(20)]
+    first = spark.createDataFrame([(d, 0, 0, json.dumps({"answer_a": " ".join(words)})) for d in range(40)], schema)
+    stored = history.History(spark, str(tmp_path), *keys)
+    stored.near(first)
+    assert "cells" not in spark.read.parquet(f"{tmp_path}/near").columns
+    for part in tmp_path.glob("near/part=*"):
+        if part.name != f"part={stored._parts_of(first.where('dataset_id = 3'))[0]}":
+            shutil.rmtree(part)  # nothing of the other datasets is needed
+    new = spark.createDataFrame([(3, 1, 1, json.dumps({"answer_a": " ".join(words[1:])})), (3, 2, 1, json.dumps({"answer_a": " ".join(words[9:])}))], schema)
+    assert [tuple(g) for g in stored.near(new).collect()] == [(3, 1, 1)]

@@ -52,6 +52,21 @@ def map_columns(
     return df.mapInArrow(run, out)
 
 
+def spread(held: DataFrame, asked: DataFrame, keys: list[str], point: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``keys`` with a further key ``block``, so that no key is one task's work however many rows it holds.
+
+    Keys with more than ``block_rows`` held rows are cut into blocks of about that many by a hash of ``point``; an asked row goes to each
+    block of its key.  Keys are counted with map-side combining, and only the hot ones are written down and joined (by size: Spark
+    broadcasts them where they are few).  Every pair of a held and an asked row still meets exactly once.
+    """
+    n = F.count(F.lit(1))
+    hot = held.groupBy(*keys).agg(n.alias("n")).where(F.col("n") > block_rows)
+    hot = shared_checkpoint(hot.select(*keys, F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    left = held.join(hot, keys, "left").withColumn("block", F.pmod(F.xxhash64(point), blocks.cast("long")).cast("int")).drop("blocks")
+    right = asked.join(hot, keys, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    return left, right
+
 def tokenizer_path(name: str) -> str:
     """Default place of a public tokenizer file; every operator takes another path as a parameter."""
     import public_tokenizers
