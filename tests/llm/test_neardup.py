@@ -64,6 +64,24 @@ def test_groups_follow_links(spark):
             assert links == sum(k in p for p in pairs)
 
 
+def test_hot_buckets_in_blocks_give_the_same(spark):
+    df = spark.createDataFrame(corpus(6), "response_key string, question_id long, response_text string")
+    whole = {tuple(r) for r in neardup.near_pairs(df).collect()}
+    assert whole and {tuple(r) for r in neardup.near_pairs(df, block_rows=2).collect()} == whole
+
+
+def test_components_of_a_long_chain(spark):
+    r = random.Random(8)
+    names = list(range(400))
+    r.shuffle(names)
+    edges = [(names[i], names[i + 1]) for i in range(299)] + [(names[i], names[299]) for i in range(300, 350)] + [(names[i], names[i + 1]) for i in range(350, 399, 2)]
+    got = {x.c: x.root for x in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    chain = min(names[:350])
+    expected = {n: chain for n in names[:350] if n != chain} | {max(names[i], names[i + 1]): min(names[i], names[i + 1]) for i in range(350, 399, 2)}
+    assert got == expected
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_recall_formula():
     curve = lambda s: (1 - (1 - s**neardup.BAND_WIDTH) ** neardup.BANDS) ** 2
     assert curve(0.7) > 0.96 and curve(0.8) > 0.995 and curve(0.85) > 0.998

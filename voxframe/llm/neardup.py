@@ -12,10 +12,12 @@ What keeps it cheap:
 
 * texts with the same word set are one node from the start (its id is a hash of question and words), so copies, however many,
   neither enter a bucket twice nor make pairs there;
-* every bucket row carries a 128-bit parity sketch of its word set.  Each differing bit needs a differing word, so a
-  pair whose sketches differ in more bits than the threshold allows differing words cannot be a near-duplicate; that test is
-  exact on the safe side and runs in the join condition, before a pair is written anywhere;
-* candidate pairs are verified on the words themselves.
+* a bucket row is three numbers: the bucket, the node, and a sketch: the parities of ``SKETCH_BITS`` classes of words and the number of words.  Each differing
+  bit needs a differing word, so a pair whose sketches differ in more bits than the threshold allows differing words cannot be a
+  near-duplicate; that test is exact on the safe side and runs in the join condition, before a pair is written anywhere;
+* buckets of a band value that more than ``BLOCK_ROWS`` nodes share are cut into blocks (``common.spread``); counting the six band values of a node tells
+  which these are without counting its 36 buckets;
+* texts are fetched for candidate pairs only, and verified on the words themselves.
 
 No bucket is capped and no text is cut.  Defined cases: null texts and texts of fewer words take no part; a repeated key counts
 once (if its deliveries differ, each text links it, but never to itself); an empty table gives an empty result; further columns are ignored.
@@ -29,13 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD_PATTERN, WORD_PATTERN, map_columns, shared_checkpoint
+from .common import NON_WORD_PATTERN, WORD_PATTERN, map_columns, shared_checkpoint, spread
 
 MIN_WORDS = 20
 THRESHOLD = (7, 10)
 BANDS = 6
 BAND_WIDTH = 2
+SKETCH_BITS = 56
+BLOCK_ROWS = 4_000
 _SEED = 20240229
+#: A word count that says "this many or more": such a text is not ruled out by its sketch.
+MANY = 255
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +78,15 @@ def sketch_batch(scopes: list, texts: list[str], min_words: int) -> dict[str, li
         forms.append(xxhash.xxh3_64_intdigest(drop.sub("", low)) - (1 << 63))
         seeds.append(xxhash.xxh3_64_intdigest(str(scopes[i])))
     if not at:
-        return {"at": [], "node": [], "form": [], "words": [], "sketch_a": [], "sketch_b": [], "left": [], "right": []}
+        return {"at": [], "node": [], "form": [], "sketch": [], "left": [], "right": []}
     h = np.array(flat, dtype=np.uint64)
     starts = np.array(edges[:-1])
     with np.errstate(over="ignore"):
         mixed = _avalanche(h)
         node = np.add.reduceat(_avalanche(mixed ^ np.uint64(0x5851F42D4C957F2D)), starts) ^ np.bitwise_xor.reduceat(mixed, starts)
         node = _avalanche(node ^ np.array(seeds, dtype=np.uint64))
-        bit = np.uint64(1) << (mixed & np.uint64(63))
-        upper = (mixed >> np.uint64(6)) & np.uint64(1) == 1
-        sketch_a = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), starts)
-        sketch_b = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), starts)
+        bit = np.uint64(1) << (mixed % np.uint64(SKETCH_BITS))
+        sketch = np.bitwise_xor.reduceat(bit, starts) | np.minimum(np.diff(edges), MANY).astype(np.uint64) << np.uint64(SKETCH_BITS)
         a, b = _coefficients(2 * BANDS * BAND_WIDTH)
         least = np.stack([np.minimum.reduceat(_avalanche(h * x + y), starts) for x, y in zip(a, b)])
         bands = []
@@ -96,15 +100,13 @@ def sketch_batch(scopes: list, texts: list[str], min_words: int) -> dict[str, li
         "at": at,
         "node": node.view(np.int64).tolist(),
         "form": forms,
-        "words": np.diff(edges).tolist(),
-        "sketch_a": sketch_a.view(np.int64).tolist(),
-        "sketch_b": sketch_b.view(np.int64).tolist(),
+        "sketch": sketch.view(np.int64).tolist(),
         "left": sides[:, :BANDS].tolist(),
         "right": sides[:, BANDS:].tolist(),
     }
 
 
-_NODE_SCHEMA = "node bigint, form bigint, words int, sketch_a bigint, sketch_b bigint, `left` array<bigint>, `right` array<bigint>"
+_NODE_SCHEMA = "node bigint, form bigint, sketch bigint, `left` array<bigint>, `right` array<bigint>"
 
 
 def nodes(responses: DataFrame, key: str, scope: str, text: str, min_words: int) -> DataFrame:
@@ -123,27 +125,35 @@ def nodes(responses: DataFrame, key: str, scope: str, text: str, min_words: int)
     return map_columns(source, run, f"key {kinds[key]}, text string, {_NODE_SCHEMA}")
 
 
-def _candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs of nodes that share a table and that the sketch does not rule out."""
+def _met(a: DataFrame, b: DataFrame, keys: list[str], threshold: tuple[int, int]) -> DataFrame:
+    """Pairs of nodes with equal keys that their sketches do not rule out."""
     p, q = threshold
-    pair = F.explode(
-        F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(x, y, i * BANDS + j))))
-    )
-    rows = sets.select(pair.alias("bucket"), "node", "words", "sketch_a", "sketch_b")
-    a, b = rows.alias("a"), rows.alias("b")
-    differing = F.bit_count(F.col("a.sketch_a").bitwiseXOR(F.col("b.sketch_a"))) + F.bit_count(
-        F.col("a.sketch_b").bitwiseXOR(F.col("b.sketch_b"))
-    )
+    a, b = a.alias("a"), b.alias("b")
+    words = lambda s: F.shiftrightunsigned(f"{s}.sketch", SKETCH_BITS)
+    differing = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")).bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)))
     # a similarity of p/q leaves at most (q - p) / (q + p) of the summed sizes as differing words
+    possible = (p + q) * differing <= (q - p) * (words("a") + words("b"))
     return (
-        a.join(b, F.col("a.bucket") == F.col("b.bucket"))
+        a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
         .where(F.col("a.node") < F.col("b.node"))
-        .where((p + q) * differing <= (q - p) * (F.col("a.words") + F.col("b.words")))
+        .where(possible | (F.greatest(words("a"), words("b")) >= MANY))
         .select(F.col("a.node").alias("node_a"), F.col("b.node").alias("node_b"))
-        .distinct()
     )
 
 
+def _candidates(sets: DataFrame, threshold: tuple[int, int], block_rows: int) -> DataFrame:
+    """Pairs of nodes that share a table and that the sketch does not rule out."""
+    bands = sets.select("node", "sketch", "right", F.posexplode("left").alias("i", "x"))
+    hot = shared_checkpoint(bands.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("i", "x"))
+    bucket = F.explode(F.transform("right", lambda y, j: F.xxhash64("x", y, F.col("i") * BANDS + j))).alias("bucket")
+    cold = bands.join(hot, ["i", "x"], "left_anti").select(bucket, "node", "sketch")
+    found = _met(cold, cold, ["bucket"], threshold)
+    if not hot.isEmpty():
+        warm = bands.join(hot, ["i", "x"], "left_semi").select(bucket, "node", "sketch")
+        found = found.unionByName(_met(*spread(warm, warm, ["bucket"], "node", block_rows), ["bucket", "block"], threshold))
+    return found.distinct()
+
+
 def near_duplicates(
     responses: DataFrame,
     key: str = "response_key",
@@ -151,6 +161,7 @@ def near_duplicates(
     text: str = "response_text",
     min_words: int = MIN_WORDS,
     threshold: tuple[int, int] = THRESHOLD,
+    block_rows: int = BLOCK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """``(links, members)``: verified links between classes, and the class of every key.
 
@@ -160,11 +171,13 @@ def near_duplicates(
     p, q = threshold
     made = shared_checkpoint(nodes(responses, key, scope, text, min_words))
     members = made.select("key", "node", "form").distinct()
-    sets = made.select("node", "words", "sketch_a", "sketch_b", "left", "right").distinct()
+    sets = made.select("node", "sketch", "left", "right").distinct()
     forms = made.groupBy("node").agg(F.min("form").alias("lo"), F.max("form").alias("hi"))
     within = forms.where("lo <> hi").select(F.col("node").alias("node_a"), F.col("node").alias("node_b"))
-    pairs = _candidates(sets, threshold).unionByName(within)
-    classes = made.groupBy("node", "form").agg(F.min("text").alias("text"))
+    pairs = shared_checkpoint(_candidates(sets, threshold, block_rows).unionByName(within))
+    # only texts of a pair leave their place
+    met = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b")).distinct()
+    classes = shared_checkpoint(made.join(met, "node", "left_semi").groupBy("node", "form").agg(F.min("text").alias("text")))
     joined = (
         pairs.join(classes.select(F.col("node").alias("node_a"), F.col("form").alias("form_a"), F.col("text").alias("text_a")), "node_a")
         .join(classes.select(F.col("node").alias("node_b"), F.col("form").alias("form_b"), F.col("text").alias("text_b")), "node_b")
@@ -181,10 +194,32 @@ def near_duplicates(
                     out[n].append(columns[n][i])
         return out
 
-    links = map_columns(joined, verify, "node_a bigint, form_a bigint, node_b bigint, form_b bigint")
+    links = shared_checkpoint(map_columns(joined, verify, "node_a bigint, form_a bigint, node_b bigint, form_b bigint"))
     return links, members
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``c, root``: every end of an edge (``a, b``) with the smallest end it is linked to, directly or not; a root itself is not listed.
+
+    Alternating stars: a round ties all larger neighbours of an end to its smallest one, then all smaller ones, so distances shrink
+    by a factor a round and a chain of any length takes a number of rounds that grows with its logarithm.  Only minima are
+    aggregated, no neighbourhood is collected; each round is written to the shared folder.
+    """
+    state = edges.where("a <> b").select("a", "b")
+    mark = None
+    while True:
+        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        state = shared_checkpoint(small.unionByName(low.withColumnRenamed("m", "b")).distinct())
+        after = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if after == mark:
+            return state.select(F.col("a").alias("c"), F.col("b").alias("root"))
+        mark = after
+
+
 def near_pairs(responses: DataFrame, key: str = "response_key", **options) -> DataFrame:
     """Pairs of keys, the smaller first, of near-duplicate texts that differ when squeezed."""
     links, members = near_duplicates(responses, key=key, **options)
@@ -201,27 +236,20 @@ def near_pairs(responses: DataFrame, key: str = "response_key", **options) -> Da
 def near_groups(responses: DataFrame, key: str = "response_key", **options) -> DataFrame:
     """One row per key with its group (the smallest key linked to it, directly or not) and its number of links.
 
-    Groups are found on classes by passing the smallest label along the links until nothing changes; each round
-    is cut in the shared checkpoint folder.  Keys of one class share its links; keys without a link stay their own group.
+    Groups are found on classes (``components``).  Keys of one class share its links; keys without a link stay their own group.
     """
     links, members = near_duplicates(responses, key=key, **options)
-    label = F.struct("node", "form")
-    links = shared_checkpoint(links.select(F.struct(F.col("node_a").alias("node"), F.col("form_a").alias("form")).alias("a"), F.struct(F.col("node_b").alias("node"), F.col("form_b").alias("form")).alias("b")))
+    c = F.struct("node", "form")
+    side = lambda s: F.struct(F.col(f"node_{s}").alias("node"), F.col(f"form_{s}").alias("form")).alias(s)
+    links = links.select(side("a"), side("b"))
+    size = members.groupBy(c.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
+    rooted = size.join(components(links), "c", "left").select("c", F.coalesce("root", "c").alias("root"), "first", "n")
+    label = rooted.groupBy("root").agg(F.min("first").alias("label"))
     edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = members.groupBy(label.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
-    state = size.select("c", F.col("first").alias("label"))
-    while True:
-        heard = edges.join(state.select(F.col("c").alias("b"), "label"), "b").groupBy(F.col("a").alias("c")).agg(F.min("label").alias("heard"))
-        after = shared_checkpoint(
-            state.join(heard, "c", "left").select("c", F.least("label", F.coalesce("heard", "label")).alias("label"), (F.col("heard") < F.col("label")).alias("moved"))
-        )
-        state = after.select("c", "label")
-        if after.where("moved").isEmpty():
-            break
     degree = edges.join(size.select(F.col("c").alias("b"), "n"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("links"))
     return (
-        members.select("key", label.alias("c"))
-        .join(state, "c")
+        members.select("key", c.alias("c"))
+        .join(rooted.join(label, "root").select("c", "label"), "c")
         .join(degree, "c", "left")
         .groupBy(F.col("key").alias(key))
         .agg(F.min("label").alias("group_key"), F.sum(F.coalesce("links", F.lit(0))).cast("long").alias("links"))

@@ -75,6 +75,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return visual.look_alike_pairs(table(spark, d, "documents", "doc_id", "text"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return visual.look_alike_classes(table(spark, d, "documents", "doc_id", "text"))
+
+
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual.consistent(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "form")
 
@@ -84,6 +88,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_redacted, p3_found, p4_found, p4_groups, p5_found, p5_restored, p6_found, p6_files,
-            p7_ids, p8_found, p8_clean, p9_found, p9_forms,
+            p7_ids, p8_found, p8_clean, p9_found, p9_classes, p9_forms,
         )
     }

@@ -7,21 +7,28 @@ case, accents, line breaks and every other visible difference stay.
 
 The mapping tables are made from Unicode properties by rule; only the look-alike letters are listed.
 
-Defined cases: null stays null; a text with nothing visible has the empty form; a text of any length is one row, and
-batches are bounded by Arrow's record limit; an empty table gives an empty result; further columns are ignored.
+Defined cases: null stays null; a text with nothing visible has the empty form; a text of any length is one row, and a
+statement works on ``SLICE_BYTES`` of text at a time; a row without a key is in no pair; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .common import shared_checkpoint, spread
+
+#: Bytes of text one statement works on; rows of a form in one block of the pair join.
+SLICE_BYTES = 4_000_000
+BLOCK_ROWS = 4_000
 
 # Letters of other alphabets with the shape of a Latin letter, each followed by that letter.
 LOOK_ALIKES = {
@@ -104,23 +111,35 @@ def form_sql(text: str = "text") -> str:
     return rf"regexp_replace({sql}, '^\s+|\s+$', '', 'g')"
 
 
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``most`` bytes of text each; a longer text is a part of its own."""
+    begin = held = 0
+    for at, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if at > begin and held + size > most:
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += size
+    yield batch.slice(begin)
+
+
 def consistent(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``text`` and its consistent ``form``, one row per row, without a shuffle."""
     statement = f"SELECT k, t, {form_sql('t')} AS f FROM batch"
     source = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        connection = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        connection = duckdb.connect(config={"threads": 1})
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            connection.register("batch", pa.Table.from_batches([batch]))
-            got = connection.execute(statement).to_arrow_table()
-            connection.unregister("batch")
-            got = got.cast(pa.schema([pa.field(got.schema[0].name, batch.schema.field(0).type), pa.field("t", pa.string()), pa.field("f", pa.string())]))
-            yield from got.to_batches()
+            for part in _slices(batch, 1, SLICE_BYTES):
+                connection.register("batch", pa.Table.from_batches([part]))
+                got = connection.execute(statement).to_arrow_table()
+                connection.unregister("batch")
+                got = got.cast(pa.schema([pa.field(got.schema[0].name, batch.schema.field(0).type), pa.field("t", pa.string()), pa.field("f", pa.string())]))
+                yield from got.to_batches()
 
     ship_package(documents.sparkSession)
     kind = dict(documents.dtypes)[key]
@@ -128,21 +147,45 @@ def consistent(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(F.col("k").alias(key), F.col("t").alias(text), F.col("f").alias("form"))
 
 
-def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _visible(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Key and SHA-256 of form and text of every row with visible text, written once: forms are worked out in one pass."""
+    hashed = consistent(documents, key, text).where("form <> ''").select(
+        F.col(key).alias("doc"), F.unhex(F.sha2("form", 256)).alias("form"), F.unhex(F.sha2(text, 256)).alias("raw")
+    )
+    return shared_checkpoint(hashed)
+
+
+def _several(hashed: DataFrame) -> DataFrame:
+    """Forms that more than one string has; map-side combining keeps millions of exact copies out of the shuffle."""
+    return hashed.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
+
+
+def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs of rows with visible text that look the same without being the same string, smaller key first.
 
-    Texts are compared by SHA-256.  A form that only one string has is dropped by an aggregate with map-side
-    combining before anything is joined, so a text of which there are millions of exact copies makes no pairs.
+    Texts are compared by SHA-256.  A form that only one string has is dropped before anything is joined, so a text of which there are millions of exact
+    copies makes no pairs, and a form with more than ``block_rows`` rows is cut into blocks.  Pairs are what this query gives; ``look_alike_classes``
+    gives one row per document instead.
     """
-    hashed = consistent(documents, key, text).where("form <> ''").select(
-        F.col(key).alias("doc"), F.unhex(F.sha2("form", 256)).alias("form"), F.unhex(F.sha2(text, 256)).alias("raw")
-    ).distinct()
-    several = hashed.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    members = hashed.join(several, "form", "left_semi")
-    a, b = members.alias("a"), members.alias("b")
+    hashed = _visible(documents, key, text)
+    members = hashed.join(_several(hashed), "form", "left_semi").distinct()
+    a, b = spread(members, members, ["form"], "doc", block_rows)
+    a, b = a.alias("a"), b.alias("b")
     return (
-        a.join(b, F.col("a.form") == F.col("b.form"))
+        a.join(b, [F.col(f"a.{n}") == F.col(f"b.{n}") for n in ("form", "block")])
         .where("a.doc < b.doc AND a.raw <> b.raw")
         .select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"))
         .distinct()
     )
+
+
+def look_alike_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document that looks like another string: its class (the smallest key of the form), the class's members, and its links, which are
+    the members with another string."""
+    members = (hashed := _visible(documents, key, text)).join(_several(hashed), "form", "left_semi").where("doc IS NOT NULL").distinct()
+    copies = members.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("first"))
+    sizes = copies.groupBy("form").agg(F.sum("copies").alias("members"), F.min("first").alias("class_id"))
+    return (
+        members.join(copies.drop("first"), ["form", "raw"]).join(sizes, "form")
+        .select(F.col("doc").alias(key), "class_id", "members", (F.col("members") - F.col("copies")).alias("links"))
+    )
