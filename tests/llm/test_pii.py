@@ -11,11 +11,13 @@ SHAPES = [
     ("address", "live at 6665 Vereton Blvd."), ("address", "mail it to 4644 Osiridge Place Apt 3 My"), ("address", "house, 4311 W. Eskmere Lane –"), ("address", "i live at 7297 eskocombe ln."),
     ("address", "Vivo en Avenida Nevegate nº 30."), ("address", "Vivo en calle Zanerford 193."), ("address", "en c/ Normoor 80, 2º B."), ("address", "Ich wohne Orlelcombegasse 44."), ("address", "vor Fenelgate-Allee 157."),
     ("address", "J'habite au 112 bis, avenue Fenanwick."), ("address", "au 130 allée de Kestebrook."),
+    ("address", "at 450 Martin Luther King Blvd."), ("address", "12 Oak Hill Road"), ("address", "1200 South Main Street"), ("address", "12 Cherry Tree Lane"), ("address", "calle Gran Vía 12"),
+    ("address", "Av. de la Constitución 45"), ("address", "9 rue de la Grande Armée"), ("address", "calle de las Flores Nuevas 7"),
 ]
 NOTHING = [
     "see @kelowshawcity or the app, version 2.10.4", "It cost 4 155 550 dollars in Hall", "Ticket 311-2041-00707 is open", "permit 6179-2009 expired", "lot 9222-54, block 727 Around Kelowmere Avenue",
-    "A budget of $1,297,000 was promised", "since 03/04/2021.", "9098 people signed, 20 cars on Calddale Street", "My street runs from Linagate Blvd to Park", "between 12th and 14th Street", "[hidden] and █████ and ***",
-    "Auf dem Gehweg 3 Tage", "Llevo 33 años en Plaza Taminford", "I moved to Wilworth Dr 29 years ago",
+    "A budget of $1,297,000 was promised", "since 03/04/2021.", "9098 people signed, 20 cars on Calddale Street", "My street runs from Linagate Blvd to Park", "opens at 8 My street runs", "block 312 Between Keloworth Street and Istaridge", "between 12th and 14th Street", "[hidden] and █████ and ***",
+    "Llevo 33 años en Plaza Taminford", "I moved to Wilworth Dr 29 years ago",
 ]
 
 
@@ -75,5 +77,62 @@ def test_a_common_capitalised_word_before_a_name(spark, more):
     assert "Yesterday [NAME] waved." in got and "Yesterday the bus was late" in got
 
 
+STREETS = ["the way to kelmoor lane", "kelmoor lane is dark", "12 kelmoor lane", "12 people place a bin there", *["people say so, and people know"] * 40, "Der Gehweg ist eng", *["Auf dem Gehweg liegt Laub"] * 60, "Gehweg 3 auf", "Brückgasse 3 auf"]
+
+
+def test_a_street_in_small_letters_is_disclosed_by_its_neighbours(spark):
+    df = spark.createDataFrame([(f"1:1:{i}", t, None) for i, t in enumerate(STREETS)], "response_key string, response_text string, raw_text_original string")
+    got = {r.response_text for r in pii.redact(df).collect()}
+    assert {"[ADDRESS]", "[ADDRESS] auf", "12 people place a bin there", "Gehweg 3 auf"} <= got
+
+
+def test_a_number_everybody_gives_is_public(spark):
+    texts = [f"Call 415-555-{i:04d} now" for i in range(150)] + ["The office is 415-555-9999"] * 30
+    df = spark.createDataFrame([(f"1:1:{i}", t, t) for i, t in enumerate(texts)], "response_key string, response_text string, raw_text_original string")
+    got = [r.response_text for r in pii.redact(df).collect()]
+    assert got.count("Call [PHONE] now") == 150 and got.count("The office is 415-555-9999") == 30
+    one = spark.createDataFrame([("1:1:1", "Call 415-555-0001", None)], "response_key string, response_text string, raw_text_original string")
+    assert pii.redact(one).first().response_text == "Call [PHONE]"
+
+
+def introduced(n=12):
+    """Names behind seeds, and in contexts that are nowhere listed."""
+    first, last = [f"Wanda Tobin Kofi Anouk Ximena Priya".split()[i % 6] for i in range(n)], [f"Kirs{x}" for x in ("by", "jo", "quo", "eira", "wick", "ette", "ides", "inski", "more", "man", "ovic", "aldi")][:n]
+    said = [t.format(f"{a} {b}") for i, (a, b) in enumerate(zip(first, last)) for t in ("My name is {}.", "the caretaker {} never answers.", "{} slipped on the stairs.")]
+    plain = ["the caretaker Kelmoor Hall has is fine", "Kelmoor Hall slipped in the ranking"] + ["The bus to Kelmoor Hall never comes"] * 30
+    return said, plain
+
+
+@pytest.mark.parametrize("text,redacted", [
+    ("the caretaker wanda kirsby never answers", "the caretaker [NAME] never answers"), ("TOBIN KIRSJO SLIPPED ON THE STAIRS", "[NAME] SLIPPED ON THE STAIRS"),
+    ("the caretaker Wanda de la Kirsby never answers", "the caretaker [NAME] never answers"), ("Ask the caretaker Kofi Anouk Kirsby now", "Ask the caretaker [NAME] now"),
+    ("the caretaker and the bus never come", "the caretaker and the bus never come"), ("At Kelmoor Hall it is dark", "At Kelmoor Hall it is dark"),
+])
+def test_contexts_are_learned(spark, text, redacted):
+    said, plain = introduced()
+    df = spark.createDataFrame([(f"1:1:{i}", t, None) for i, t in enumerate([*said, *plain, text])], "response_key string, response_text string, raw_text_original string")
+    got = {r.response_text for r in pii.redact(df).collect()}
+    assert redacted in got
+    assert {"the caretaker [NAME] never answers.", "[NAME] slipped on the stairs.", "The bus to Kelmoor Hall never comes"} <= got
+
+
+def test_an_apostrophe_belongs_to_the_name():
+    assert {(w, o) for _, _, w, o, _ in pii.candidates("I met Jane O'Neil there")} == {("jane", "neil")}
+    assert {text[b:e] for text in ("So Maria del Carmen Lopez said",) for b, e, *_ in pii.candidates(text)} >= {"Maria del Carmen", "Carmen Lopez"}
+
+
+def test_batches_decide_nothing(spark):
+    """The same whatever the size of an Arrow batch."""
+    said, plain = introduced()
+    df = spark.createDataFrame([(f"1:1:{i}", t, None) for i, t in enumerate([*said, *plain, *STREETS])], "response_key string, response_text string, raw_text_original string")
+    name, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    for size in (1, 1000):
+        spark.conf.set(name, size)
+        found.append(sorted(map(tuple, pii.spans(df).collect())))
+    spark.conf.set(name, before)
+    assert found[0] == found[1] and found[0]
+
+
 def test_overlapping_candidates_all_come_out():
     assert {(w, o) for _, _, w, o, _ in pii.candidates("Yesterday Wanda Kirsby waved.")} == {("yesterday", "wanda"), ("wanda", "kirsby")}
