@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -119,8 +120,6 @@ ADDRESSES = [
 #: What an address of the last two kinds needs in small letters.
 _NAMED_STREET = re.compile(r"calle|c/|avenida|avda|av\.|paseo|camino|carretera|ronda|rua|r\.|travessa|alameda")
 _JOINED_STREET = re.compile(r"(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer)\s\d")
-#: Uses of a word beside a kind of street, or before a number: the evidence that it names a street.
-_BESIDE_STREET = re.compile(rf"([^\W\d_]+)\s(?:{_any(STREETS)})\b|([^\W\d_]+(?:-[^\W\d_]+)*)\s\d")
 _DIGITS = re.compile(r"\d+")
 _TITLE = rf"(?:{_any(TITLES)})\b\.?"
 _NO_PLACE = rf"(?!\s+(?:{_any(STREETS + PLACES)})\b)"
@@ -141,6 +140,7 @@ _CASED = re.compile(r"[A-ZÀ-ÖØ-Þ]\w*[a-zà-öø-ÿ]")
 #: The same for the JVM: a text without it tells nothing by its capitals.
 CASED = r"\p{Lu}[\p{L}\p{M}]*\p{Ll}"
 _EVERYDAY_TITLES = frozenset("dr miss m don dona seu ms".split())
+_STREET_KINDS, _MARKS = frozenset(STREETS), ".,;:!?)…–-"
 _NO_NAME = frozenset(STREETS + PLACES + PLACE_PREFIXES)
 #: Words a name can take, which is how far back from what follows it one is looked for.
 _NAME_WORDS = 8
@@ -188,6 +188,15 @@ def key_of(token: str) -> str:
     return max(_WORDS.findall(token.lower()), key=len)
 
 
+def beside_streets(low: str) -> Iterator[str]:
+    """Words before a kind of street or a number: the evidence that they name streets."""
+    before = ""
+    for word in low.split():
+        if before and (word[0].isdigit() or word in _STREET_KINDS or word.rstrip(_MARKS) in _STREET_KINDS):
+            yield key_of(before)
+        before = word if word[-1].isalpha() else ""
+
+
 class Contexts:
     """What stands around a place of a text: one and two words (or marks) before and after, as numbers."""
 
@@ -339,8 +348,7 @@ def scan(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
             shapes, rest = shaped(plain)
             low = rest.lower()
             total.update(_WORDS.findall(low))
-            for m in _BESIDE_STREET.finditer(plain.lower()):
-                streets[key_of(m[1] or m[2])] += 1
+            streets.update(beside_streets(plain.lower()))
             # words of what was blanked out count as well, where they have to disclose a street
             total.update(w for *_, w in shapes if w)
             made = [(kind, b, e, w, plain[b:e] if kind in ("email", "phone", "id_number") else None, None, None, None) for kind, b, e, w in shapes]
