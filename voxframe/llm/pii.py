@@ -44,8 +44,8 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 IN_SLOT, SURE, OTHER = 0.1, 0.3, 0.05
 #: A word that occurs so often in the corpus and is never introduced is everyday speech; a rarer one may be a name not introduced yet.
 EVERYDAY = 50
-#: A context is an introduction when this share of the capitalised candidates in it are seeded names, and when it has this share of all of these.
-CUE, CUE_SHARE, CUE_LEAST = 0.5, 1 / 4000, 3
+#: A context is an introduction when this share of the capitalised candidates in it are seeded names, and when it has this share of all of these (and this number).
+CUE, CUE_SHARE, CUE_LEAST = 0.5, 1 / 4000, 2
 #: Least share of a word's uses that stand beside a kind of street, or before a number, for it to name a street where capitals do not tell.
 STREET = 0.02
 #: Bits: a shape in more than one of ``2 ** PUBLIC`` texts is public.  ``SMOOTHED`` texts are added, so that in a small corpus nothing is.
@@ -298,8 +298,8 @@ def cued_candidates(text: str, cues: frozenset[int], sure: frozenset[str]) -> li
     return list(found.values())
 
 
-_NAMES = ("row_kind", "key", "field_name", "text_hash", "pii_kind", "begin", "end", "word", "other", "seeded", "cased", "contexts", "n", "slots", "streets")
-_SCHEMA = "row_kind string, key {kind}, field_name string, text_hash bigint, pii_kind string, begin int, `end` int, word string, other string, seeded boolean, cased boolean, contexts array<bigint>, n bigint, slots bigint, streets bigint"
+_NAMES = ("row_kind", "key", "places", "text_hash", "pii_kind", "begin", "end", "word", "other", "seeded", "cased", "contexts", "n", "slots", "streets")
+_SCHEMA = "row_kind string, key {kind}, places array<struct<field_name:string,shift:int>>, text_hash bigint, pii_kind string, begin int, `end` int, word string, other string, seeded boolean, cased boolean, contexts array<bigint>, n bigint, slots bigint, streets bigint"
 
 
 def _is_evidence(rest: str, begin: int, end: int, other: str | None) -> bool:
@@ -312,23 +312,20 @@ def _columns(rows: list[tuple]) -> dict[str, list]:
 
 
 def _each(batch: dict[str, list], key: str, fields: tuple[str, ...], read) -> list[tuple]:
-    """What ``read`` makes of every different text of a row, for each field that has it, at the field's own positions."""
+    """What ``read`` makes of every different text of a row, with the fields that hold it and how far in each it begins."""
     rows: list[tuple] = []
     for i, k in enumerate(batch[key]):
-        done: dict[str, list[tuple]] = {}
+        places: dict[str, list[dict]] = {}
         for f in fields:
-            text = batch[f][i]
-            if not text:
-                continue
-            core = text.strip()
-            shift = len(text) - len(text.lstrip())
-            if core not in done:
-                plain, origin = repair_aligned(core)
-                made = read(plain)
+            if text := batch[f][i]:
+                places.setdefault(text.strip(), []).append({"field_name": f, "shift": len(text) - len(text.lstrip())})
+        for core, where in places.items():
+            plain, origin = repair_aligned(core)
+            made = read(plain)
+            if made:
                 h = xxhash.xxh3_64_intdigest(core) - (1 << 63)
                 # found in the restored text, reported where they stand
-                done[core] = [(h, kind, *((origin[b], origin[e]) if origin else (b, e)), *more) for kind, b, e, *more in made]
-            rows += [("span", k, f, h, kind, b + shift, e + shift, *more, None, None, None) for h, kind, b, e, *more in done[core]]
+                rows += [("span", k, where, h, kind, *((origin[b], origin[e]) if origin else (b, e)), *more, None, None, None) for kind, b, e, *more in made]
     return rows
 
 
@@ -425,7 +422,7 @@ def sure_words(counts: DataFrame) -> list[str]:
 
 def _apart(found: DataFrame) -> DataFrame:
     """Of names that overlap in a text the one with the best disclosure stays; parts of one longer name, all of whose words are introduced often enough, are united."""
-    place = ["key", "field_name", "text_hash"]
+    place = ["key", "text_hash"]
     best = F.array_sort(F.collect_set(F.struct((-F.col("disclosure")).alias("rank"), "begin", "end")))
     none = F.array().cast("array<struct<rank:double,begin:int,end:int>>")
     overlap = lambda x, y: (x["begin"] < y["end"]) & (y["begin"] < x["end"])
@@ -435,8 +432,8 @@ def _apart(found: DataFrame) -> DataFrame:
         F.exists(acc, lambda y: overlap(x, y)), F.transform(acc, lambda y: F.when(overlap(x, y) & sure(x) & sure(y), wider(y, x)).otherwise(y))
     ).otherwise(F.concat(acc, F.array(x)))
     kept = F.aggregate("ranked", none, step)
-    each = found.groupBy(*place).agg(best.alias("ranked")).select("key", "field_name", F.explode(kept).alias("s"))
-    return each.select("key", "field_name", F.lit("name").alias("pii_kind"), "s.begin", "s.end")
+    each = found.groupBy(*place).agg(best.alias("ranked"), F.first("places").alias("places")).select("key", "places", F.explode(kept).alias("s"))
+    return each.select("key", "places", F.lit("name").alias("pii_kind"), "s.begin", "s.end")
 
 
 def _names(found: DataFrame, counts: DataFrame) -> DataFrame:
@@ -464,13 +461,13 @@ def _names(found: DataFrame, counts: DataFrame) -> DataFrame:
     rare = counts.where("slots = 0 AND n <= 2").select(F.col("word").alias("unknown"))
     alone = two.where(lone | beside).withColumn("unknown", F.coalesce("other", "word")).join(rare, "unknown", "left_semi").select(*pair, F.lit(0.0).alias("disclosure"))
     decided = shared_checkpoint(kept.unionByName(alone).groupBy(*pair).agg(F.max("disclosure").alias("disclosure")))
-    return placed.join(decided, pair).select("key", "field_name", "text_hash", "begin", "end", "disclosure")
+    return placed.join(decided, pair).select("key", "places", "text_hash", "begin", "end", "disclosure")
 
 
 def spans(df: DataFrame, key: str = "response_key", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """All spans of personal information: ``key, field_name, pii_kind, begin, end`` (end exclusive)."""
     made = shared_checkpoint(scan(df, key, fields))
-    place = ["key", "field_name", "text_hash", "begin", "end"]
+    place = ["key", "places", "text_hash", "begin", "end"]
     first = made.where("row_kind = 'count'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("slots").alias("slots"), F.sum("streets").alias("streets"))
     first = shared_checkpoint(first)
     found = made.where("row_kind = 'span'")
@@ -494,8 +491,9 @@ def spans(df: DataFrame, key: str = "response_key", fields: tuple[str, ...] = FI
     private = shapes.join(public, "shape", "left_anti")
     streets = counts.where(F.col("streets") >= STREET * F.col("n")).select("word")
     private = private.where("word IS NULL").unionByName(private.join(streets, "word", "left_semi").select(private.columns))
-    column = ["key", "field_name", "pii_kind", "begin", "end"]
-    return private.select(column).unionByName(_apart(_names(everywhere, counts)).select(column)).withColumnRenamed("key", key)
+    column = ["key", "places", "pii_kind", "begin", "end"]
+    each = private.select(column).unionByName(_apart(_names(everywhere, counts)).select(column)).withColumn("p", F.explode("places"))
+    return each.select(F.col("key").alias(key), "p.field_name", "pii_kind", (F.col("begin") + F.col("p.shift")).alias("begin"), (F.col("end") + F.col("p.shift")).alias("end"))
 
 
 def found_kinds(df: DataFrame, key: str = "response_key", fields: tuple[str, ...] = FIELDS) -> DataFrame:
