@@ -139,6 +139,9 @@ _TOKENS = re.compile(r"[^\W_]+|[^\w\s]")
 _CASED = re.compile(r"[A-ZÀ-ÖØ-Þ]\w*[a-zà-öø-ÿ]")
 #: The same for the JVM: a text without it tells nothing by its capitals.
 CASED = r"\p{Lu}[\p{L}\p{M}]*\p{Ll}"
+#: The longest word of each introduction, and the titles: a text without any is not searched for them.
+_CUE_WORDS = sorted({max(re.split(r"[\s'’]", c), key=len) for c in INTRODUCTIONS})
+_TITLE_WORDS = frozenset(TITLES)
 _EVERYDAY_TITLES = frozenset("dr miss m don dona seu ms".split())
 _STREET_KINDS, _MARKS = frozenset(STREETS), ".,;:!?)…–-"
 _NO_NAME = frozenset(STREETS + PLACES + PLACE_PREFIXES)
@@ -244,19 +247,22 @@ def candidates(text: str) -> list[Candidate]:
     return _read_candidates(text)[0]
 
 
-def _read_candidates(text: str) -> tuple[list[Candidate], list[tuple[int, int]]]:
-    """Candidates, and the capitalised pairs that are none, as a word of theirs says what kind of place they are."""
+def _read_candidates(text: str, words: list[str] | None = None) -> tuple[list[Candidate], list[tuple[int, int]]]:
+    """Candidates, and the capitalised pairs that are none, as a word of theirs says what kind of place they are; ``words`` are those of the
+    text in small letters, where they are known."""
     found: dict[tuple[int, int], Candidate] = {}
     places: list[tuple[int, int]] = []
 
     def add(c: Candidate) -> None:
         found.setdefault(c[:2], c)
 
-    for cue in _CUE.finditer(_small(text)):
-        if m := _NAME_THERE.match(text, cue.end()):
-            add(_candidate(m, True))
+    low = _small(text)
+    if any(w in low for w in _CUE_WORDS):
+        for cue in _CUE.finditer(low):
+            if m := _NAME_THERE.match(text, cue.end()):
+                add(_candidate(m, True))
     capitals = text.isupper()
-    for m in _TITLED.finditer(text):
+    for m in _TITLED.finditer(text) if not _TITLE_WORDS.isdisjoint(words if words is not None else _WORDS.findall(low)) else ():
         # in capitals only titles that are no everyday word tell anything
         if m["a"][0].isupper() and not (capitals and m.group().split()[0].strip(".").lower() in _EVERYDAY_TITLES):
             add(_candidate(m, True))
@@ -344,12 +350,13 @@ def scan(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
         def read(plain: str) -> list[tuple]:
             shapes, rest = shaped(plain)
             low = rest.lower()
-            total.update(_WORDS.findall(low))
+            words = _WORDS.findall(low)
+            total.update(words)
             streets.update(beside_streets(plain.lower()))
             # words of what was blanked out count as well, where they have to disclose a street
             total.update(w for *_, w in shapes if w)
             made = [(kind, b, e, w, plain[b:e] if kind in ("email", "phone", "id_number") else None, None, None, None) for kind, b, e, w in shapes]
-            found, places = _read_candidates(rest)
+            found, places = _read_candidates(rest, words)
             around = Contexts(low) if (found or places) and len(low) == len(rest) else None
             if around:  # such a pair speaks against a context
                 for begin, end in places:
