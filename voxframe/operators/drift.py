@@ -104,14 +104,12 @@ def long_cells(wave_rows: DataFrame) -> DataFrame:
     return read.withColumn("kind", _kind(v, F.col("days"))).withColumn("meanings", _meanings(v, F.col("days")))
 
 
-def profiles(cells: DataFrame) -> DataFrame:
+def profiles(cells: DataFrame, last: DataFrame) -> DataFrame:
     """Per file and column: kind (null without values), number of values, and the value sketch."""
-    last = _last_values(cells)
+    column = ["dataset_id", "upload_id", "name"]
     sketch = F.array_sort(F.collect_list(F.struct("h", "meanings")))
-    ranked = last.withColumn("h", F.xxhash64("respondent")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("dataset_id", "upload_id", "name").orderBy("h"))
-    )
-    sketches = ranked.where(F.col("rank") <= SKETCH).groupBy("dataset_id", "upload_id", "name").agg(sketch.alias("sketch"))
+    ranked = last.withColumn("rank", F.row_number().over(Window.partitionBy(*column).orderBy("h")))
+    sketches = ranked.where(F.col("rank") <= SKETCH).groupBy(*column).agg(sketch.alias("sketch"))
     kinds = cells.groupBy("dataset_id", "upload_id", "name").agg(
         F.count("value").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("whole", "decimal", "yes/no", "date")]
     )
@@ -126,7 +124,8 @@ def profiles(cells: DataFrame) -> DataFrame:
 def _last_values(cells: DataFrame) -> DataFrame:
     """The last value of each respondent in each column of a file, with all its meanings."""
     said = cells.where("value IS NOT NULL AND respondent IS NOT NULL").where(F.col("name") != RESPONDENT)
-    return said.groupBy("dataset_id", "upload_id", "name", "respondent").agg(F.max_by("meanings", F.struct("row_index", "value")).alias("meanings"))
+    last = said.groupBy("dataset_id", "upload_id", "name", "respondent").agg(F.max_by("meanings", F.struct("row_index", "value")).alias("meanings"))
+    return last.withColumn("h", F.xxhash64("respondent"))
 
 
 def name_similarity(a: str, b: str) -> float:
@@ -202,7 +201,8 @@ class Drift:
         self.rows = delivered.select("dataset_id", "upload_id", "row_index", F.from_json("cells", "map<string,string>")[RESPONDENT].alias("respondent")).distinct()
         self.cells = shared_table(long_cells(delivered))
         self.files = shared_table(_file_pairs(uploads, wave_rows))
-        columns = profiles(self.cells)
+        self.last = shared_table(_last_values(self.cells))
+        columns = profiles(self.cells, self.last)
         if fingerprints is not None:  # a file may leave out the cells of a blank column altogether
             listed = fingerprints.select("dataset_id", "upload_id", F.col("column_name").alias("name")).distinct()
             columns = columns.join(listed, ["dataset_id", "upload_id", "name"], "full")
@@ -233,10 +233,11 @@ class Drift:
         gone = both.where("later IS NULL").select(*file, F.col("name").alias("stored_name"), F.col("earlier.sketch").alias("sketch_a"))
         new = both.where("earlier IS NULL").select(*file, F.col("name").alias("file_name"), F.col("later.sketch").alias("sketch_b"))
         edges = gone.join(new, file).where("sketch_a IS NOT NULL AND sketch_b IS NOT NULL")
-        edges = edges.mapInPandas(_estimates, "dataset_id bigint, upload_id bigint, earlier_id bigint, stored_name string, file_name string")
-        values = _last_values(self.cells)
-        a = values.select("dataset_id", F.col("upload_id").alias("earlier_id"), F.col("name").alias("stored_name"), "respondent", F.col("meanings").alias("was"))
-        b = values.select("dataset_id", "upload_id", F.col("name").alias("file_name"), "respondent", F.col("meanings").alias("now"))
+        edges = shared_table(edges.mapInPandas(_estimates, "dataset_id bigint, upload_id bigint, earlier_id bigint, stored_name string, file_name string"))
+        # only values of columns that may have been renamed are compared; the edges are few, and Spark sends them to the values where their size allows
+        a = self.last.select("dataset_id", F.col("upload_id").alias("earlier_id"), F.col("name").alias("stored_name"), "respondent", F.col("meanings").alias("was"))
+        b = self.last.select("dataset_id", "upload_id", F.col("name").alias("file_name"), "respondent", F.col("meanings").alias("now"))
+        b = b.join(edges.select("dataset_id", "upload_id", "file_name").distinct(), ["dataset_id", "upload_id", "file_name"], "left_semi")
         checked = (
             edges.join(a, ["dataset_id", "earlier_id", "stored_name"])
             .join(b, ["dataset_id", "upload_id", "file_name", "respondent"])
