@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.operators import corpus, estimate, filters, labeling, matching, reshape, sampling, tallies, taxonomy
+from voxframe.operators import corpus, estimate, filters, graph, induction, labeling, matching, ranking, reshape, review, sampling, tallies, taxonomy
+from voxframe.plans import verify
 
 
 def test_unpivot_wide_file(spark):
@@ -94,20 +95,181 @@ def test_overlaps(spark):
     assert [(x.label_a, x.label_b, x.shared, min(x.n_a, x.n_b)) for x in r] == [("L1", "L2", 4, 4)]
 
 
+TAXONOMY = {"a": review.Label("A", "p"), "b": review.Label("B", "p"), "c": review.Label("C", "p"), "d": review.Label("D", "q"), "x": review.Label("X", "q")}
+
+
+def edited(*edits):
+    return review.Review(TAXONOMY, {"p": "Parent", "q": "Other"}).apply(edits)
+
+
 def test_edits():
-    e = taxonomy.Edits(merges={"a": "b", "b": "c", "x": "d"}, deletions={"d"})
-    assert e.id_map({"a", "b", "c", "d", "x"}) == {"d": None, "a": "c", "b": "c", "x": None}
+    e = edited({"op": "merge", "from": "a", "into": "b"}, {"op": "merge", "from": "b", "into": "c"}, {"op": "merge", "from": "x", "into": "d"}, {"op": "delete", "label_id": "d"})
+    assert e.id_map() == {"d": None, "a": "c", "b": "c", "x": None}
+    assert set(e.labels) == {"c"} and e.labels["c"].merged == ["b", "a"]
+    assert set(TAXONOMY) == set("abcdx") and not TAXONOMY["c"].merged  # the input stays as it was
+
+
+def test_add_parent_add_label_reparent_chain():
+    e = edited(
+        {"op": "add_parent", "parent_id": "n", "name": "New"}, {"op": "add_label", "label_id": "y", "parent_id": "n", "name": "Y"}, {"op": "reparent", "label_id": "a", "parent_id": "n"},
+        {"op": "rename", "label_id": "a", "name": "A2", "description": "more"}, {"op": "rename", "parent_id": "n", "name": "Newer"}, {"op": "merge", "from": "b", "into": "a"}, {"op": "reparent", "label_id": "b", "parent_id": None},
+    )
+    assert e.parents["n"] == "Newer" and e.added == ["y"] and e.labels["y"].parent_id == "n"
+    assert (e.labels["a"].name, e.labels["a"].description, e.labels["a"].parent_id) == ("A2", "more", None)  # b means a by now
+    assert len(e.log) == 7
+
+
+@pytest.mark.parametrize("edits", [
+    [{"op": "merge", "from": "a", "into": "zz"}], [{"op": "merge", "from": "a", "into": "b"}, {"op": "merge", "from": "b", "into": "a"}], [{"op": "merge", "from": "a", "into": "a"}], [{"op": "delete", "label_id": "zz"}],
+    [{"op": "delete", "label_id": "a"}, {"op": "rename", "label_id": "a", "name": "n"}], [{"op": "add_parent", "parent_id": "p", "name": "n"}], [{"op": "add_label", "label_id": "a", "name": "n"}],
+    [{"op": "add_label", "label_id": "y", "parent_id": "zz", "name": "n"}], [{"op": "reparent", "label_id": "a", "parent_id": "zz"}], [{"op": "explode"}], [{"op": "merge", "from": "a", "into": "b"}, {"op": "add_label", "label_id": "a", "name": "n"}],
+])
+def test_an_edit_that_cannot_be_applied_raises(edits):
     with pytest.raises(ValueError):
-        taxonomy.Edits(merges={"a": "zz"}).id_map({"a"})
-    with pytest.raises(ValueError):
-        taxonomy.Edits(merges={"a": "b", "b": "a"}).id_map({"a", "b"})
+        edited(*edits)
+
+
+def test_edited_assignments(spark):
+    r = spark.createDataFrame([(["a", "b", "d"], False), (["d"], False), (["zz", "c"], None), (None, None)], "label_ids array<string>, uncategorized boolean")
+    e = edited({"op": "merge", "from": "a", "into": "b"}, {"op": "delete", "label_id": "d"})
+    assert [tuple(x) for x in e.assignments(r).collect()] == [(["b"], False), ([], True), (["c"], None), ([], True)]
 
 
 def test_remap_and_suggestions(spark):
     got = spark.createDataFrame([(["a", "b", "c", "d"],)], "l array<string>").select(taxonomy.remap(F.col("l"), {"a": "b", "d": None})).first()[0]
     assert got == ["b", "c"]
-    assert taxonomy.suggest_merges([("a", "b", 10, 4, 4), ("b", "c", 4, 3, 3)], dict.fromkeys("abc", "p")) == {"b": "a", "c": "a"}
-    assert taxonomy.suggest_merges([("a", "b", 10, 4, 4)], {"a": "p", "b": "q"}) == {}
+    members = [(f"r{i}", "a") for i in range(10)] + [(f"r{i}", "b") for i in range(4)] + [(f"r{i}", "c") for i in range(1, 5)] + [(f"r{i}", "q") for i in range(9)] + [("r1", "t")]
+    m = spark.createDataFrame(members, "response_key string, label_id string")
+    t = spark.createDataFrame([(1, x, p, n) for x, p, n in (("a", "p", "A"), ("b", "p", "B"), ("c", "p", "C"), ("q", "z", "Q"), ("t", "z", "c!"), ("e", "p", "E"), ("n", "p", None))], "question_id long, label_id string, parent_id string, name string")
+    got = {tuple(x) for x in review.suggested_edits(t, m).collect()}
+    assert got == {("merge", "b", "a"), ("merge", "c", "a"), ("merge", "t", "a"), ("delete", "e", None), ("delete", "n", None)}
+    edits = [{"op": o, "from": x, "into": i, "label_id": x} for o, x, i in sorted(got, key=str)]
+    assert set(review.Review({x.label_id: review.Label(x.name or "") for x in t.collect()}, {}).apply(edits).labels) == {"a", "q"}
+
+
+def test_ranks_over_ranges_are_row_numbers(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(s, r.randrange(50), i) for i, s in enumerate(["hot"] * 400 + [None] * 30 + ["x", "y"] * 20)]
+    df = spark.createDataFrame(rows, "s string, o int, k int")
+    got = {x.k: (x.rank, x.rank_of) for x in ranking.ranked(df, ["s"], ["o", "k"], with_size=True).collect()}
+    for s in ("hot", None, "x", "y"):
+        own = sorted((o, k) for t, o, k in rows if t == s)
+        assert [got[k] for _, k in own] == [(i, len(own)) for i in range(1, len(own) + 1)]
+    assert ranking.ranked(df.limit(0), ["s"], ["o", "k"]).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(300, 310), (310, 305), (7, 7)]
+    got = {x.c: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 201)} | {310: 300, 305: 300}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_terciles_like_a_sorted_list(spark):
+    lengths = [1, 1, 2, 2, 2, 3, 5, 8, 8, 13, 21]
+    df = spark.createDataFrame([(1, f"k{i}", "x" * n) for i, n in enumerate(lengths)], "g long, response_key string, t string")
+    got = {len(x.t): x.band for x in sampling.length_tercile(df, ["g"], "t").collect()}
+    s = sorted(lengths)
+    lo, hi = s[len(s) // 3], s[2 * len(s) // 3]
+    assert got == {n: "short" if n <= lo else "long" if n > hi else "mid" for n in lengths}
+
+
+def test_fused_lines(spark):
+    lines = spark.createDataFrame([(1, 1, "a", "Bus stops"), (1, 2, "b", "Bus stops and shelters"), (1, 3, "c", "Dark streets"), (1, 4, "d", "The bus stop"), (2, 1, "a", "Bus stops")], "plan_id long, position int, label_id string, name string")
+    names = {x.label_id: x.name for x in lines.where("plan_id = 1").collect()}
+    want = taxonomy.complete_linkage(list("abcd"), lambda x, y: verify.similarity(names[x], names[y]) > 0.5)
+    got = {}
+    for x in taxonomy.fused_lines(lines).where("plan_id = 1").collect():
+        got.setdefault(x.group_no, []).append(x.label_id)
+    assert sorted(got.values()) == sorted(want) == [["a", "b", "d"], ["c"]]
+    ruled = spark.createDataFrame([("a", "c", "same"), ("b", "a", "distinct")], "label_a string, label_b string, verdict string")
+    got = {(x.plan_id, x.label_id): x.group_no for x in taxonomy.fused_lines(lines, ruled).collect()}
+    assert got[1, "a"] == got[1, "c"] != got[1, "b"] and got[1, "b"] != got[1, "d"]
+
+
+def test_counted_tokens(spark):
+    prompts = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(100)], "position long, text string")
+    count = lambda t: len(t.split())
+    assert tuple(estimate.counted_tokens(prompts.where("position < 5"), count).first()) == (15, "exact", 5)
+    assert tuple(estimate.counted_tokens(prompts, count).first()) == (5050, "sampled", 8)
+    assert estimate.counted_tokens(prompts, None).first().basis == "heuristic"
+    assert tuple(estimate.counted_tokens(prompts.limit(0), count).first()) == (0, "exact", 0)
+
+
+def test_budgets_of_sub_coded_categories(spark):
+    rows = spark.createDataFrame([("a", 500, 10), ("b", 400, 0), ("c", 3, 2)], "label_id string, n long, n_subs int")
+    assert {x.label_id: x.budget for x in sampling.budgets(rows, 10, 120).collect()} == {"a": 34, "b": 10, "c": 3}
+    assert {x.label_id: x.budget for x in sampling.budgets(rows, 10, 30).collect()} == {"a": 18, "b": 5, "c": 3}
+
+
+def test_proper_nouns_like_python(spark):
+    import re
+    from collections import Counter
+
+    texts = ["Trash at Main Park and VTA. The park; Main St. is O'Hara's place!", "in Main Park? VTA vta Park", "no names here", None, "Nobody sees MAINTENANCE", "at Park-Hill, Main"]
+    stop = ["the", "and"]
+    want = Counter()
+    for t in filter(None, texts):
+        for s in re.split(r"(?<=[.!?/;])\s+", t):
+            for w in re.findall(r"(?<!\w)[A-Za-z][A-Za-z'&.-]*(?!\w)", s)[1:]:
+                if w.lower() not in stop and ((w[0].isupper() and not w.isupper() and len(w) > 1) or (w.isupper() and 2 <= len(w) <= 6)):
+                    want[w] += 1
+    got = {x.term: x.n for x in tallies.proper_nouns(spark.createDataFrame([(t,) for t in texts], "t string"), "t", stop, least=1).collect()}
+    assert got == dict(want)
+
+
+class Unsteady:
+    """Fails on the first call of every prompt that holds a word, for good on another."""
+
+    def __init__(self, once, always):
+        self.once, self.always, self.seen = once, always, set()
+
+    def complete(self, system, user):
+        if self.always in user or (self.once in user and user not in self.seen):
+            self.seen.add(user)
+            raise RuntimeError("busy")
+        rows = [{"n": int(line.split("\t")[0]), "label_ids": ["1"], "fit": 3} for line in user.splitlines()]
+        return __import__("json").dumps({"results": rows, "candidates": [{"name": "One", "evidence": [1, 99]}]})
+
+
+def test_label_run_sweeps_failed_batches(spark):
+    rows = spark.createDataFrame([(1, f"1:1:{i:02d}", t) for i, t in enumerate(["good"] * 3 + ["once a", "once b", "never", "fine"])] + [(1, "1:1:99", None)], "question_id long, response_key string, text string")
+    labels = spark.createDataFrame([(1, "1_001")], "question_id long, label_id string")
+    got = {x.response_key: x for x in induction.label_run(rows, labels, Unsteady("once", "never"), size=1).collect()}
+    assert len(got) == 7 and all(x.label_ids == ["1_001"] and not x.batch_failed for k, x in got.items() if k != "1:1:05")
+    assert got["1:1:05"].batch_failed and got["1:1:05"].label_ids == []
+
+
+def test_induction_discloses_failed_chunks(spark):
+    rows = spark.createDataFrame([(1, f"1:1:{i:02d}", "never" if i == 3 else f"text {i}") for i in range(12)], "question_id long, response_key string, text string")
+    got = induction.map_candidates(rows, ["question_id"], Unsteady("once", "never"), size=4)
+    assert sorted((x.n_responses, x.n_candidates, x.n_invalid, x.batch_failed) for x in got.report.collect()) == [(4, 0, 0, True), (4, 1, 1, False), (4, 1, 1, False)]
+    assert all(len(x.evidence) == 1 for x in got.candidates.collect())
+    taxonomy_, _ = induction.induce(rows, Unsteady("once", "never"), size=4)
+    assert [(x.label_id, x.name, x.chunk_support) for x in taxonomy_.collect()] == [("1_001", "One", 2)]
+    with pytest.raises(induction.NothingInduced):
+        induction.map_candidates(rows, ["question_id"], Unsteady("once", "te"), size=4)
+
+
+def test_incremental_run_outcomes(spark):
+    rows = spark.createDataFrame([(1, f"1:1:{i:02d}", f"text {i}") for i in range(30)], "question_id long, response_key string, text string")
+    tax = spark.createDataFrame([(1, "1_001", None, "Known")], "question_id long, label_id string, parent_id string, name string")
+    prior = spark.createDataFrame([(1, "1:1:00", ["1_001"], False, 3)], "question_id long, response_key string, label_ids array<string>, uncategorized boolean, fit int")
+    nothing = labeling.EchoClient(lambda s, u: __import__("json").dumps({"results": [{"n": int(x.split("\t")[0]), "uncategorized": True} for x in u.splitlines()]}))
+    propose = lambda name: labeling.EchoClient(lambda s, u: __import__("json").dumps({"candidates": [{"name": name, "evidence": [1]}]}))
+    small = induction.run_incremental(rows, tax, prior, nothing, propose("New"), least_pool=40)
+    assert small.outcome.startswith("skipped") and (small.n_new, small.n_pool) == (29, 29) and small.records.count() == 30
+    known = induction.run_incremental(rows, tax, prior, nothing, propose("KNOWN!"))
+    assert known.outcome.startswith("no new category") and known.taxonomy.count() == 1
+    wide = induction.run_incremental(rows, tax, prior, nothing, propose("New"))
+    assert wide.outcome == "extended" and {x.label_id for x in wide.taxonomy.collect()} == {"1_001", "1_i001"}
+    assert sorted((x.how, x["count"]) for x in wide.records.groupBy("how").count().collect()) == [("kept", 1), ("relabelled", 29)]
+    broken = induction.run_incremental(rows, tax, prior, nothing, labeling.EchoClient(lambda s, u: "no json"))
+    assert broken.outcome.startswith("failed") and broken.records.count() == 30
+    with pytest.raises(ValueError):
+        induction.run_incremental(rows.where("response_key = '1:1:00'"), tax, prior, nothing)
 
 
 def test_clustering():

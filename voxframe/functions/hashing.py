@@ -49,6 +49,13 @@ def corpus_fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(half(1)).alias("sum_a"), F.sum(half(9)).alias("sum_b"))
 
 
+def concept_fingerprint(concepts: DataFrame) -> DataFrame:
+    """SF-03: one hash of what a sweep reads: names and spans (name, span), whatever the order of rows, and nothing else about the concepts."""
+    each = concepts.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("span")), ONE).alias("spans"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit(ZERO), "spans"))), ZERO + ONE)
+    return each.agg(F.count(F.lit(1)).alias("n_concepts"), F.sha2(whole, 256).alias("fingerprint"))  # a lexicon is as long as a list a person keeps
+
+
 def definition_hash(name: Column, description: Column, include: Column, exclude: Column) -> Column:
     """SF-04: 16 hex digits over a category's definition, blind to case and outer blanks."""
     part = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))

@@ -16,6 +16,7 @@ NON_ANSWERS = (
 # Words that say nothing about a category's idea, one list per use.
 PLAN_STOPWORDS = ("and", "the", "of", "to", "in", "for", "a", "on", "with", "general", "specific", "other", "issues", "concerns")
 REVIEW_STOPWORDS = ("and", "the", "of", "to", "in", "for", "a", "on", "with", "general", "specific", "other")
+TOPIC_STOPWORDS = ("a", "an", "and", "at", "by", "for", "general", "in", "of", "on", "or", "other", "the", "to", "with", "concern", "concerns", "issue", "issues")
 QUESTION_STOPWORDS = (
     "what", "which", "who", "when", "where", "why", "how", "do", "doe", "are", "is", "was", "were", "people", "resident",
     "respondent", "mention", "mentioned", "describe", "describing", "say", "saying", "said", "most", "often", "about",
@@ -71,6 +72,13 @@ def tokens(c: Column, stopwords: tuple[str, ...] = PLAN_STOPWORDS, singular: boo
     return F.array_distinct(words)
 
 
+def token_set(name: str, stopwords: tuple[str, ...] = PLAN_STOPWORDS, singular: bool = True) -> set[str]:
+    """SF-08 for names held on the driver: the same words as ``tokens`` gives."""
+    spaced = "".join(c if "a" <= c <= "z" else " " for c in name.lower())
+    kept = [w for w in spaced.split() if w not in stopwords]
+    return {w.removesuffix("s") if singular and len(w) > 3 else w for w in kept}
+
+
 def shared_tokens(a: Column, b: Column) -> tuple[Column, Column]:
     """Sizes of the intersection and the union of two token sets: similarity stays a ratio of integers."""
     return F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

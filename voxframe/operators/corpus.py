@@ -53,6 +53,13 @@ def questions(corpus: DataFrame) -> DataFrame:
     )
 
 
+def with_labels(base: DataFrame, labels: DataFrame, block: tuple[str, ...] = LABEL_BLOCK) -> DataFrame:
+    """JN-01: every response with the label block of its latest record (greatest ``run_id``), null where it has none."""
+    there = [c for c in block if c in labels.columns]
+    newest = labels.groupBy("response_key").agg(F.max_by(F.struct(*there), "run_id").alias("_r")).select("response_key", "_r.*")
+    return base.drop(*block).join(newest, "response_key", "left")
+
+
 def coded(corpus: DataFrame) -> DataFrame:
     """Rows a label run covered: missing data stays missing."""
     return corpus.where("uncategorized IS NOT NULL")

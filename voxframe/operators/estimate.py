@@ -27,18 +27,61 @@ def spread(values: DataFrame, value: str, by: list[str]) -> DataFrame:
 def interpolated(sizes: DataFrame, wanted: DataFrame, size: str, value: str) -> DataFrame:
     """AG-28: the median value per size, interpolated over log10 of the size, flat beyond the ends.
 
-    ``sizes`` are the handful of distinct corpus sizes of past runs; ``wanted`` may be of any length.
+    ``sizes`` are the distinct corpus sizes of past runs, ``wanted`` may be of any length: wanted sizes are placed among the measured ones by
+    one sort of the distinct values, not by a join on ranges.
     """
-    medians = sizes.groupBy(size).agg(F.percentile(value, 0.5).alias("v"))
-    over = Window.partitionBy().orderBy(size)
-    brackets = medians.select(
-        F.col(size).alias("lo"), F.col("v").alias("v_lo"), F.lead(size).over(over).alias("hi"), F.lead("v").over(over).alias("v_hi"), F.row_number().over(over).alias("k")
-    )
-    w = wanted.withColumnRenamed(size, "at")
-    inside = (F.col("at") >= F.when(F.col("k") == 1, F.lit(0)).otherwise(F.col("lo"))) & (F.col("hi").isNull() | (F.col("at") < F.col("hi")))
-    x = (F.log10("at") - F.log10("lo")) / (F.log10("hi") - F.log10("lo"))
-    flat = F.col("hi").isNull() | (F.col("at") <= F.col("lo"))
-    return w.join(F.broadcast(brackets), inside).select("at", F.when(flat, F.col("v_lo")).otherwise(F.col("v_lo") + x * (F.col("v_hi") - F.col("v_lo"))).alias("estimate"))
+    medians = sizes.groupBy(F.col(size).cast("double").alias("at")).agg(F.percentile(value, 0.5).alias("v"))
+    both = medians.unionByName(wanted.select(F.col(size).cast("double").alias("at")).distinct(), allowMissingColumns=True)
+    points = both.groupBy("at").agg(F.max("v").alias("v"), F.count_if(F.col("v").isNull()).alias("asked"))
+    order = Window.orderBy("at")  # distinct sizes only
+    known = F.when(F.col("v").isNotNull(), F.struct(F.col("at").alias("s"), "v"))
+    lo = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    hi = F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    placed = points.select("at", "asked", lo.alias("lo"), hi.alias("hi"))
+    x = (F.log10("at") - F.log10("lo.s")) / (F.log10("hi.s") - F.log10("lo.s"))
+    inside = F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("lo.s") < F.col("hi.s"))
+    estimate = F.when(inside, F.col("lo.v") + x * (F.col("hi.v") - F.col("lo.v"))).otherwise(F.coalesce("lo.v", "hi.v"))
+    kind = dict(wanted.dtypes)[size]
+    return placed.where("asked > 0").select(F.col("at").cast(kind).alias("at"), estimate.alias("estimate"))
+
+
+def divided(n: Column, by: int) -> tuple[Column, Column, Column]:
+    """SF-12: calls of ``by`` items each, how many of them are full, and what the last one holds beyond them."""
+    return F.ceil(n / by), F.floor(n / by), n % by
+
+
+def counted_tokens(prompts: DataFrame, count: object, sample: int = 8, chars_per_token: float = CHARS_PER_TOKEN) -> DataFrame:
+    """SF-13: input tokens of a stage's prompts (position, text): ``tokens, basis, n_counted``.
+
+    ``count`` is a function that counts the tokens of one text (a public tokenizer, say), or null.  With as many prompts as ``sample`` allows all are counted
+    (``exact``); with more, prompts spread evenly over the stage are, and the others follow their pooled tokens a character (``sampled``).  Without
+    a function it is a quarter of the characters (``heuristic``).
+    """
+    totals = prompts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    n, chars = totals.n, totals.chars or 0
+    spark = prompts.sparkSession
+    schema = "tokens long, basis string, n_counted long"
+    if not n:
+        return spark.createDataFrame([(0, "exact", 0)], schema)
+    if count is None:
+        return spark.createDataFrame([(round(chars / chars_per_token), "heuristic", 0)], schema)
+    from .sampling import spread_indices
+
+    chosen = prompts.where(F.col("position").isin(spread_indices(sample, n))).select("text").collect()  # at most ``sample`` prompts
+    counted, shown = sum(count(r.text) for r in chosen), sum(len(r.text) for r in chosen)
+    rest = round((chars - shown) * counted / shown) if shown else 0
+    return spark.createDataFrame([(counted + rest, "exact" if len(chosen) == n else "sampled", len(chosen))], schema)
+
+
+def induction_plan(counts: DataFrame, chunk: int = 120, themes_batch: int = 120, chars: str = "chars", prompt_chars: int = 3000, per_million: int = 3) -> DataFrame:
+    """AG-39: calls of an induction per question: one a chunk, a vocabulary, assignments in batches of the expected candidates, merges; tokens and micro-dollars.
+
+    ``counts``: question_id, n responses, chars.  About twenty candidates a chunk are expected, as many as ``induction_quality`` calls healthy.
+    """
+    chunks = F.ceil(F.col("n") / chunk)
+    out = counts.withColumn("map_calls", chunks).withColumn("candidates", chunks * 20).withColumn("assign_calls", F.ceil(F.col("candidates") / themes_batch))
+    out = out.withColumn("calls", F.col("map_calls") + F.col("assign_calls") + 2).withColumn("tokens_in", F.ceil((F.col(chars) + F.col("calls") * prompt_chars) / CHARS_PER_TOKEN))
+    return out.withColumn("micro_usd", F.col("tokens_in") * per_million).withColumn("basis", F.lit("heuristic"))
 
 
 def heuristic_tokens(text: Column) -> Column:

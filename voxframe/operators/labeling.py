@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_in_prose, truncated, verbatim
 from ..session import ship_package
+from .ranking import ranked
 
 RECORD = "struct<n:int,number:int,label_ids:array<string>,labels:array<string>,uncategorized:string,fit:int,locations:array<string>,time_context:array<string>,actionability:string,event_occurred:string>"
 REPLY = f"struct<results:array<{RECORD}>>"
@@ -26,14 +27,19 @@ def fan_out(corpus: DataFrame, labelled: DataFrame, scope: list[str], text: str)
 
 
 def batches(rows: DataFrame, scope: list[str], order: list[str], size: int) -> DataFrame:
-    """WN-04: consecutive batches of ``size`` rows per scope."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*scope).orderBy(*order)) - 1) / size).cast("int"))
+    """WN-04: consecutive batches of ``size`` rows per scope, with the 1-based ``position`` of a row in its batch."""
+    numbered = ranked(rows, scope, order, "_rank")
+    return numbered.withColumns({"batch": F.floor((F.col("_rank") - 1) / size).cast("int"), "position": ((F.col("_rank") - 1) % size + 1).cast("int")}).drop("_rank")
 
 
 def chunks(rows: DataFrame, scope: list[str], key: str, n: int, seed: int) -> DataFrame:
     """WN-05: a seeded shuffle into ``n`` disjoint chunks whose sizes differ by at most one."""
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key)), 256)
-    return rows.withColumn("chunk", F.ntile(n).over(Window.partitionBy(*scope).orderBy(order, key)))
+    placed = ranked(rows.withColumn("_o", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key)), 256)), scope, ["_o", key], "_rank", with_size=True).drop("_o")
+    # the first ``rest`` chunks have one row more
+    small, rest, at = F.floor(F.col("_rank_of") / n), F.col("_rank_of") % n, F.col("_rank") - 1
+    late = rest + F.floor((at - rest * (small + 1)) / F.greatest(small, F.lit(1)))
+    chunk = F.when(at < rest * (small + 1), F.floor(at / (small + 1))).otherwise(late)
+    return placed.withColumn("chunk", (chunk + 1).cast("int")).drop("_rank", "_rank_of")
 
 
 def suffix_map(labels: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def multiset(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -31,12 +33,12 @@ def dataset_matches(file: DataFrame, stored: DataFrame) -> DataFrame:
 def flag_duplicates(file: DataFrame, stored: DataFrame, scope: list[str], order: str = "row_index") -> DataFrame:
     """WN-01: in file order, the k-th occurrence of a hash is a duplicate while k is at most its stored multiplicity.
 
-    Only hashes that are stored at all are numbered, so a hash that fills a third of a file costs nothing unless stored.
+    Only hashes that are stored at all are numbered, and those in ranges (``ranking.ranked``), so a hash that fills a third of a file is no one task's work.
     """
     known = multiset(stored, [*scope, "row_hash"]).withColumnRenamed("n", "stored_n")
     joined = file.join(known, [*scope, "row_hash"], "left")
     fresh = joined.where("stored_n IS NULL").select(*file.columns, F.lit(False).alias("is_duplicate"))
-    numbered = joined.where("stored_n IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy(*scope, "row_hash").orderBy(order)))
+    numbered = ranked(joined.where("stored_n IS NOT NULL"), [*scope, "row_hash"], [order], "k")
     return fresh.unionByName(numbered.select(*file.columns, (F.col("k") <= F.col("stored_n")).alias("is_duplicate")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
+from ..functions.encoding import with_repair
 from ..functions.text import stripped
 
 
@@ -28,7 +29,7 @@ def owned(rows: DataFrame, row_hashes: DataFrame) -> DataFrame:
 
 
 def unpivot_attributes(wide: DataFrame, ids: list[str], columns: list[str], date_columns: tuple[str, ...] = ()) -> DataFrame:
-    """PR-04: one row per attribute that says something: ids, field, value; days as ISO text.
+    """PR-04: one row per attribute that says something: ids, field, value, wrongly decoded values repaired; days as ISO text.
 
     A column the file lacks is skipped; a date that cannot be read is missing.
     """
@@ -36,7 +37,8 @@ def unpivot_attributes(wide: DataFrame, ids: list[str], columns: list[str], date
     shaped = [
         (parse_date(F.col(c).cast("string")).cast("string") if c in date_columns else stripped(F.col(c).cast("string"))).alias(c) for c in there
     ]
-    return wide.select(*ids, *shaped).unpivot(ids, there, "field", "value").where("value <> ''")
+    said = wide.select(*ids, *shaped).unpivot(ids, there, "field", "value").where("value <> ''")
+    return with_repair(said, "value").drop("was_repaired")
 
 
 def column_preview(long: DataFrame, by: list[str], order: str, value: str, head: int = 5) -> DataFrame:

@@ -22,35 +22,46 @@ def primary_sub_theme(sub_members: DataFrame) -> DataFrame:
     return sub_members.join(sizes, "sub_id").groupBy("response_key").agg(F.min_by("sub_id", F.struct(-F.col("n"), F.col("sub_id"))).alias("sub_id"))
 
 
-def budgets(counts: DataFrame, per_label: int, total: int) -> DataFrame:
+def budgets(counts: DataFrame, per_label: int, total: int, per_sub: int = 3, extra: int = 4, cap: int = 40) -> DataFrame:
     """WN-08: quotes per label: the per-label budget, or an equal share of the total, at least one, never more than members.
 
-    With more labels than the total allows, the largest get one each.
+    With more labels than the total allows, the largest get one each.  Where ``counts`` has ``n_subs``, a label with sub-themes asks for ``per_sub`` quotes
+    each and ``extra`` more, up to ``cap``; if all wishes exceed the total they shrink alike.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    rank = F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "label_id"))
-    share = F.greatest(F.lit(1), F.least(F.lit(per_label), F.floor(F.lit(total) / n)))
-    return counts.withColumn("rank", rank).withColumn("budget", F.when(F.col("rank") <= total, F.least(share, F.col("n"))).otherwise(0).cast("int"))
+    everything = Window.partitionBy()  # as many rows as the selection has labels
+    rank = F.row_number().over(everything.orderBy(F.desc("n"), "label_id"))
+    share = F.greatest(F.lit(1), F.least(F.lit(per_label), F.floor(F.lit(total) / F.count(F.lit(1)).over(everything))))
+    ranked = counts.withColumn("rank", rank)
+    if "n_subs" not in counts.columns:
+        return ranked.withColumn("budget", F.when(F.col("rank") <= total, F.least(share, F.col("n"))).otherwise(0).cast("int"))
+    wish = F.when(F.col("n_subs") > 0, F.greatest(share, F.least(per_sub * F.col("n_subs") + extra, F.lit(cap)))).otherwise(share)
+    wished = ranked.withColumn("_wish", wish).withColumn("_all", F.sum("_wish").over(everything))
+    scaled = F.when(F.col("_all") > total, F.greatest(F.lit(1), F.floor(F.col("_wish") * total / F.col("_all")))).otherwise(F.col("_wish"))
+    return wished.withColumn("budget", F.when(F.col("rank") <= total, F.least(scaled, F.col("n"))).otherwise(0).cast("int")).drop("_wish", "_all")
 
 
 def length_tercile(rows: DataFrame, by: list[str], text: str) -> DataFrame:
-    """WN-11: short, mid or long within the group; equal lengths share a band (thresholds are lengths, not ranks)."""
-    w = Window.partitionBy(*by)
-    at = F.row_number().over(w.orderBy("_len", "response_key")) - 1
-    n = F.count(F.lit(1)).over(w)
-    ranked = rows.withColumn("_len", F.length(text)).withColumn("_at", at).withColumn("_n", n)
-    edge = lambda k: F.max(F.when(F.col("_at") == F.floor(F.col("_n") * k / 3), F.col("_len"))).over(w)
-    marked = ranked.withColumn("_lo", edge(1)).withColumn("_hi", edge(2))
-    band = F.when(F.col("_len") < F.col("_lo"), "short").when(F.col("_len") < F.col("_hi"), "mid").otherwise("long")
-    return marked.withColumn("band", band).drop("_len", "_at", "_n", "_lo", "_hi")
+    """WN-11: short, mid or long within the group: up to the length a third of the way, up to that two thirds of the way, beyond.
+
+    Equal lengths share a band.  The two lengths come from prefix sums over one count per length, so no group is sorted row by row.
+    """
+    counts = rows.groupBy(*by, F.length(text).alias("_len")).agg(F.count(F.lit(1)).alias("_k"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_k").over(group.orderBy("_len"))
+    lengths = counts.withColumn("_upto", upto).withColumn("_n", F.sum("_k").over(group))
+    edge = lambda k: F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * k / 3), F.col("_len")))
+    edges = lengths.groupBy(*by).agg(edge(1).alias("_lo"), edge(2).alias("_hi"))
+    size = F.length(text)
+    band = F.when(size <= F.col("_lo"), "short").when(size > F.col("_hi"), "long").otherwise("mid")
+    return rows.join(edges, by).withColumn("band", band).drop("_lo", "_hi")
 
 
 def signal_tags(rows: DataFrame) -> Column:
-    """WN-11: what a response carries: other labels, places, actionability, event, length band."""
+    """WN-11: what a response carries: other labels, places, sub-themes (where ``rows`` has ``sub_ids``), actionability, event, length band."""
     prefix = lambda p, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(p), x))
     return F.array_compact(
         F.concat(
-            prefix("co:", F.array_remove(F.col("label_ids"), F.col("label_id"))), prefix("at:", F.col("locations")),
+            prefix("co:", F.array_remove(F.col("label_ids"), F.col("label_id"))), prefix("at:", F.col("locations")), *([prefix("sub:", F.col("sub_ids"))] if "sub_ids" in rows.columns else []),
             F.array(F.concat(F.lit("act:"), F.col("actionability")), F.when(F.col("event_occurred"), F.lit("evt")), F.concat(F.lit("len:"), F.col("band"))),
         )
     )
@@ -107,6 +118,24 @@ def spread_indices(count: int, n: int) -> list[int]:
     return sorted({i * n // k for i in range(k)}) if k > 0 else []
 
 
+def spread_positions(n: Column, count: int) -> Column:
+    """WN-16 in a row: the same indices as an array."""
+    k = F.least(F.lit(count).cast("long"), n.cast("long"))
+    return F.when(k > 0, F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: F.floor(i * n / k)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def round_robin(members: DataFrame, cap: int = 6, by: str = "label_id", pool: str = "pool", key: str = "response_key") -> DataFrame:
+    """WN-13: ``cap`` examples per label, one from each pool in turn; within a pool in order of the key.
+
+    A pool gives ``cap`` at most: Spark keeps that many of each before the rows are shuffled (a limit pushed below the window).
+    """
+    within = Window.partitionBy(by, pool).orderBy(key)
+    each = members.select(by, pool, key).distinct().withColumn("pos", F.row_number().over(within)).where(F.col("pos") <= cap)
+    picked = each.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("pos", pool))).where(F.col("r") <= cap)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("r", key))), lambda s: s[key])
+    return picked.groupBy(by).agg(ordered.alias("examples"))
+
+
 def quote_once(picks: list[tuple[str, list[str]]], per_place: int) -> dict[str, list[str]]:
     """WN-07 (driver side, sampled quotes): a response is quoted once, under the place with most responses that still has room."""
     used: set[str] = set()

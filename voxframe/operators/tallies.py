@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_date
 from ..functions.text import concept_pattern, normalized_span
 from .filters import is_day, is_night
 
@@ -105,9 +106,10 @@ def attribute_counts(attributes: DataFrame) -> DataFrame:
     return attributes.groupBy("field", "value").agg(F.count_distinct("respondent_key").alias("n"))
 
 
-def cardinality(attributes: DataFrame, high: int = 100) -> DataFrame:
-    """AG-25: exact number of values per field, and whether it is too many to choose from."""
-    return attributes.groupBy("field").agg(F.count_distinct("value").alias("n_distinct")).withColumn("is_high", F.col("n_distinct") > high)
+def cardinality(attributes: DataFrame, high: int = 100, dates: tuple[str, ...] = ()) -> DataFrame:
+    """AG-25: exact number of values per field, and whether it is too many to choose from; a field of ``dates`` counts days, not their notations."""
+    value = F.when(F.col("field").isin(*dates), parse_date(F.col("value")).cast("string")).otherwise(F.col("value")) if dates else F.col("value")
+    return attributes.groupBy("field").agg(F.count_distinct(value).alias("n_distinct")).withColumn("is_high", F.col("n_distinct") > high)
 
 
 def facets(attributes: DataFrame, selected: dict[str, list[str]]) -> DataFrame:
@@ -172,8 +174,72 @@ def uncovered_categories(members: DataFrame, selected: list[str], top: int = 5)
     return rest.orderBy(F.desc("n"), "label_id").limit(top)
 
 
-def terms(texts: DataFrame, text: str, stopwords: list[str], least: int = 4, top: int = 120) -> DataFrame:
-    """AG-18: most frequent words and neighbouring word pairs; ties in order of the term."""
+def sub_theme_counts(members: DataFrame, sub_members: DataFrame) -> DataFrame:
+    """AG-07: per category its members (coded), those without any sub-theme (generic), and how many sub-themes are used.
+
+    ``members``: response_key, label_id; ``sub_members``: response_key, label_id, sub_id.
+    """
+    subs = sub_members.groupBy("label_id", "response_key").agg(F.collect_set("sub_id").alias("subs"))  # the sub-themes of one response
+    both = members.select("label_id", "response_key").distinct().join(subs, ["label_id", "response_key"], "left")
+    coded = both.groupBy("label_id").agg(F.count(F.lit(1)).alias("coded"), F.count_if(F.col("subs").isNull()).alias("generic"))
+    used = sub_members.groupBy("label_id").agg(F.count_distinct("sub_id").alias("n_subs"))
+    return coded.join(used, "label_id", "left").na.fill(0, ["n_subs"])
+
+
+def sub_theme_sizes(sub_members: DataFrame) -> DataFrame:
+    """AG-07: responses per sub-theme, largest first within its category."""
+    return sub_members.groupBy("label_id", "sub_id").agg(F.count_distinct("response_key").alias("n"))
+
+
+def sources(quotes: DataFrame, names: DataFrame, by_place: bool) -> DataFrame:
+    """TX-17: quotes per group: the place for an answer by place (``no place named`` without one), else the category's name, or its id where it has none.
+
+    ``quotes``: response_key, label_id, location; ``names``: label_id, name.
+    """
+    named = quotes.join(names.select("label_id", "name"), "label_id", "left")
+    group = F.coalesce("location", F.lit("no place named")) if by_place else F.coalesce("name", "label_id")
+    return named.groupBy(group.alias("group_name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def deletion_preview(files: DataFrame) -> DataFrame:
+    """AG-30: what deleting a dataset takes with it, per root: files, bytes, runs and recorded spend (unknown where no run recorded any).
+
+    ``files``: root, path, size, run_id (null outside runs), micro_usd (null where nothing was recorded).
+    """
+    return files.groupBy("root").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"), F.count_distinct("run_id").alias("n_runs"), F.sum("micro_usd").alias("micro_usd")
+    )
+
+
+def dataset_summary(members: DataFrame, taxonomy: DataFrame, concepts: DataFrame, places: DataFrame) -> DataFrame:
+    """AG-37: per question its categories, those in use, the largest, and how many responses its concepts and places reach.
+
+    ``concepts`` and ``places``: question_id, response_key, concept.
+    """
+    n = category_counts(members, taxonomy).groupBy("question_id").agg(
+        F.count(F.lit(1)).alias("n_labels"), F.count_if(F.col("n") > 0).alias("n_used"), F.max(F.nullif("n", F.lit(0))).alias("largest")
+    )
+    reach = lambda hits, name: hits.groupBy("question_id").agg(F.count_distinct("concept").alias(f"n_{name}"), F.count_distinct("response_key").alias(f"{name}_responses"))
+    out = n.join(reach(concepts, "concepts"), "question_id", "left").join(reach(places, "places"), "question_id", "left")
+    return out.na.fill(0, ["n_concepts", "concepts_responses", "n_places", "places_responses"])
+
+
+def proper_nouns(texts: DataFrame, text: str, stopwords: list[str], least: int = 3, top: int = 80) -> DataFrame:
+    """AG-18: capitalised words and short acronyms that do not begin a sentence, most frequent first; ties in order of the term."""
+    sentences = F.split(F.regexp_replace(text, r"([.!?/;])\s+", "$1\u0001"), "\u0001")
+    # the first word of a sentence tells nothing
+    later = F.transform(sentences, lambda s: F.slice(F.regexp_extract_all(s, F.lit(r"(?<![\w])([A-Za-z][A-Za-z'&.-]*)(?![\w])")), 2, 1 << 30))
+    word = F.col("term")
+    low, is_upper = F.lower(word), word == F.upper(word)
+    name = word.rlike("^[A-Z]") & ~is_upper & (F.length(word) > 1)
+    acronym = is_upper & F.length(word).between(2, 6)
+    each = texts.select(F.explode(F.flatten(later)).alias("term")).where(~low.isin(*stopwords) & (name | acronym))
+    counted = each.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return counted.orderBy(F.desc("n"), "term").limit(top)
+
+
+def terms(texts: DataFrame, text: str, stopwords: list[str], least: int = 4, top: int = 120, top_pairs: int = 80) -> DataFrame:
+    """AG-18: most frequent words and neighbouring word pairs; ties in order of the term (``proper_nouns`` gives the names)."""
     words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z][a-z'-]{2,})")), lambda w: ~w.isin(*stopwords))
     split = texts.select(words.alias("w"))
     pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.col("w")[i + 1]))
@@ -181,4 +247,4 @@ def terms(texts: DataFrame, text: str, stopwords: list[str], least: int = 4, top
     counted = both.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     # partial top-k per kind: the window sees counted terms only, never texts
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "term"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= top)
+    return counted.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == "pair", top_pairs).otherwise(top))

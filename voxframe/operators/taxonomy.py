@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PLAN_STOPWORDS, QUESTION_STOPWORDS, normalized_name, shared_tokens, tokens
+from ..functions.text import PLAN_STOPWORDS, QUESTION_STOPWORDS, REVIEW_STOPWORDS, normalized_name, shared_tokens, tokens
 
 
 def label_overlaps(members: DataFrame, least: int = 4) -> DataFrame:
@@ -46,6 +45,53 @@ def similar_names(labels: DataFrame, scope: list[str], percent: int = 50, stopwo
     )
 
 
+def duplicate_candidates(labels: DataFrame, members: DataFrame, percent: int = 40, least: int = 5, top: int = 8) -> DataFrame:
+    """JN-11: per question the ``top`` pairs of labels whose names, or whose members (of at least ``least`` in the smaller), overlap by ``percent`` hundredths.
+
+    Name similarity is shared words out of all, member overlap shared members out of the smaller's; both stay pairs of integers, the larger ratio ranks.
+    """
+    names = similar_names(labels, ["question_id"], percent, REVIEW_STOPWORDS)
+    common = label_overlaps(members, least).where(100 * F.col("shared") >= percent * F.least("n_a", "n_b"))
+    side = labels.select(F.col("label_id").alias("label_a"), "question_id")
+    other = labels.select(F.col("label_id").alias("label_b"), F.col("question_id").alias("_q"))
+    inside = common.join(side, "label_a").join(other, "label_b").where("question_id = _q").select("question_id", "label_a", "label_b", "shared", F.least("n_a", "n_b").alias("n_smaller"))
+    both = names.join(inside, ["question_id", "label_a", "label_b"], "full").na.fill(0, ["n_shared", "n_union", "shared", "n_smaller"])
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    score = F.greatest(ratio("n_shared", "n_union"), ratio("shared", "n_smaller"))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(score.desc(), "label_a", "label_b"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+#: JN-12: which pairs a kind of nomination may hold.
+SPECIES = ("category", "category_sameq", "subtheme_xcat", "subtheme_xq")
+
+
+def nominate(items: DataFrame, species: str, percent: int = 40, forced: DataFrame | None = None) -> DataFrame:
+    """JN-12: pairs worth a ruling, of names with ``percent`` hundredths of their words in common, or forced.
+
+    ``items``: question_id, label_id, name (and category_id for sub-themes).  Species: categories of different questions, categories of one question,
+    sub-themes of different categories of one question, sub-themes of different questions.  ``forced``: label_a, label_b in either order; it never
+    breaks the species.
+    """
+    if species not in SPECIES:
+        raise ValueError(f"no such species: {species}")
+    near = similar_names(items, [], percent, PLAN_STOPWORDS).select("label_a", "label_b", "n_shared", "n_union", F.lit(False).alias("forced"))
+    if forced is not None:
+        asked = forced.select(F.least("label_a", "label_b").alias("label_a"), F.greatest("label_a", "label_b").alias("label_b")).distinct()
+        t = lambda s: items.select(F.col("label_id").alias(f"label_{s}"), tokens(F.col("name"), PLAN_STOPWORDS).alias(f"t_{s}"))
+        inter, union = shared_tokens(F.col("t_a"), F.col("t_b"))
+        named = asked.join(t("a"), "label_a").join(t("b"), "label_b").select("label_a", "label_b", inter.alias("n_shared"), union.alias("n_union"), F.lit(True).alias("forced"))
+        near = near.join(named.select("label_a", "label_b"), ["label_a", "label_b"], "left_anti").unionByName(named)
+    extra = ["category_id"] if "category_id" in items.columns else []
+    side = lambda s: items.select(F.col("label_id").alias(f"label_{s}"), F.col("question_id").alias(f"q_{s}"), *[F.col(c).alias(f"c_{s}") for c in extra])
+    both = near.join(side("a"), "label_a").join(side("b"), "label_b")
+    same = F.col("q_a") == F.col("q_b")
+    fits = {"category": ~same, "category_sameq": same, "subtheme_xq": ~same}.get(species)
+    if fits is None:
+        fits = same & (F.col("c_a") != F.col("c_b"))
+    return both.where(fits).select("label_a", "label_b", F.lit(species).alias("species"), "n_shared", "n_union", "forced")
+
+
 def diagnostics(taxonomy: DataFrame, members: DataFrame, corpus: DataFrame) -> DataFrame:
     """AG-21: categories, those without members, without parent, with a name used twice, and the pool of uncovered responses."""
     n = members.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
@@ -65,22 +111,34 @@ def chunk_support(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("label_id").agg(F.count_distinct("chunk").alias("chunk_support"), F.count(F.lit(1)).alias("n_members"))
 
 
-def merge_by_name(candidates: DataFrame) -> DataFrame:
-    """AG-34: candidates of one normalised name become one: first name, longest description, includes once each in order."""
+def merge_by_name(candidates: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """AG-34: candidates of one normalised name become one: first name, longest description, includes once each in order.
+
+    ``scope`` keeps questions apart; where candidates have a ``batch``, ``n_chunks`` counts the chunks that proposed one.
+    """
     c = candidates.withColumn("norm", normalized_name(F.col("name")))
     lists = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "include"))), lambda s: s["include"])))
-    return c.groupBy("norm").agg(
-        F.min_by("name", "position").alias("name"), F.max_by("description", F.struct(F.length("description"), -F.col("position"))).alias("description"), lists.alias("include"), F.count(F.lit(1)).alias("n_merged")
-    )
+    longest = F.min_by("description", F.struct(-F.length("description"), F.col("position")))
+    chunks = [F.count_distinct("batch").alias("n_chunks")] if "batch" in c.columns else []
+    return c.groupBy(*(scope or []), "norm").agg(F.min_by("name", "position").alias("name"), longest.alias("description"), lists.alias("include"), F.count(F.lit(1)).alias("n_merged"), F.min("position").alias("position"), *chunks)
+
 
+def assemble(labels: DataFrame, n_chunks: int | Column) -> DataFrame:
+    """TX-06: labels by support and name get their sequence ids, parents theirs in order of their names; those seen in one chunk of several need review.
 
-def assemble(labels: DataFrame, n_chunks: int) -> DataFrame:
-    """TX-06: labels by support and name get their sequence ids; those seen in one chunk of several need review."""
+    ``labels`` has a ``parent`` (a name) where themes were assigned.
+    """
     order = Window.partitionBy("question_id").orderBy(F.desc("chunk_support"), "name")
-    return labels.withColumn("seq", F.row_number().over(order)).select(
-        "question_id", F.concat(F.col("question_id").cast("string"), F.lit("_"), F.lpad(F.col("seq").cast("string"), 3, "0")).alias("label_id"), "name", "chunk_support",
-        (F.col("chunk_support") == 1).alias("singleton"), ((F.col("chunk_support") == 1) & F.lit(n_chunks > 1)).alias("needs_review"),
-    )
+    several = (n_chunks if isinstance(n_chunks, Column) else F.lit(n_chunks)) > 1
+    numbered = labels.withColumn("seq", F.row_number().over(order)).withColumn("needs_review", (F.col("chunk_support") == 1) & several)
+    own = F.concat(F.col("question_id").cast("string"), F.lit("_"), F.lpad(F.col("seq").cast("string"), 3, "0"))
+    out = numbered.withColumn("label_id", own).withColumn("singleton", F.col("chunk_support") == 1)
+    if "parent" not in labels.columns:
+        return out.select("question_id", "label_id", "name", "chunk_support", "singleton", "needs_review")
+    themes = labels.where("parent IS NOT NULL").select("question_id", "parent").distinct()
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("parent"))
+    ids = themes.select("question_id", "parent", F.concat(F.col("question_id").cast("string"), F.lit("_P"), F.lpad(place.cast("string"), 2, "0")).alias("parent_id"))
+    return out.join(ids, ["question_id", "parent"], "left").select("question_id", "label_id", "name", "parent_id", "chunk_support", "singleton", "needs_review")
 
 
 def resolve_evidence(cited: DataFrame, chunk: DataFrame, cap: int = 10) -> DataFrame:
@@ -101,18 +159,31 @@ def first_answers(answers: DataFrame, themes: DataFrame) -> DataFrame:
     return first.join(known, "theme", "left").select("label_id", F.when(F.col("known"), F.col("theme")).otherwise("(unsorted)").alias("theme"))
 
 
+def last_sequence(labels: DataFrame) -> DataFrame:
+    """SF-15: per question the greatest number of an incremental id (``7_i012``), 0 where there is none."""
+    number = F.regexp_extract("label_id", r"^\d+_i(\d+)$", 1)
+    return labels.groupBy("question_id").agg(F.max(F.coalesce(F.nullif(number, F.lit("")).cast("int"), F.lit(0))).alias("last"))
+
+
 def extend(taxonomy: DataFrame, proposed: DataFrame) -> DataFrame:
-    """TX-09, SF-15: proposals with a new name get the next incremental ids of their question, the others are dropped."""
+    """TX-09, SF-15: proposals with a new name get the next incremental ids of their question, the others are dropped.
+
+    A proposal may name a ``parent``: one the taxonomy has (``parent_id``) is taken, any other leaves the label an orphan for review.
+    """
     norm = normalized_name(F.col("name"))
-    new = proposed.withColumn("norm", norm).join(taxonomy.select("question_id", norm.alias("norm")), ["question_id", "norm"], "left_anti")
-    last = taxonomy.groupBy("question_id").agg(F.max(F.coalesce(F.nullif(F.regexp_extract("label_id", r"^\d+_i(\d+)$", 1), F.lit("")).cast("int"), F.lit(0))).alias("last"))
+    new = proposed.withColumn("norm", norm).join(taxonomy.where("name IS NOT NULL").select("question_id", norm.alias("norm")).distinct(), ["question_id", "norm"], "left_anti")
     seq = F.row_number().over(Window.partitionBy("question_id").orderBy("position"))
     # the first proposal of a name stands for it; ids beyond 999 grow a digit
-    first = new.groupBy("question_id", "norm").agg(F.min_by("name", "position").alias("name"), F.min("position").alias("position"))
+    parent = [F.min_by("parent", "position").alias("parent_id")] if "parent" in proposed.columns else []
+    first = new.groupBy("question_id", "norm").agg(F.min_by("name", "position").alias("name"), F.min("position").alias("position"), *parent)
     number = F.col("seq").cast("string")
-    return first.join(last, "question_id", "left").withColumn("seq", seq + F.coalesce("last", F.lit(0))).select(
-        "question_id", F.concat(F.col("question_id").cast("string"), F.lit("_i"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), "0")).alias("label_id"), "name"
-    )
+    made = first.join(last_sequence(taxonomy), "question_id", "left").withColumn("seq", seq + F.coalesce("last", F.lit(0)))
+    own = F.concat(F.col("question_id").cast("string"), F.lit("_i"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), "0"))
+    out = made.withColumn("label_id", own)
+    if not parent:
+        return out.select("question_id", "label_id", "name")
+    known = taxonomy.where("parent_id IS NOT NULL").select("question_id", "parent_id", F.lit(True).alias("known")).distinct()
+    return out.join(known, ["question_id", "parent_id"], "left").select("question_id", "label_id", "name", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"))
 
 
 def remap(ids: Column, id_map: dict[str, str | None]) -> Column:
@@ -128,50 +199,6 @@ def remap(ids: Column, id_map: dict[str, str | None]) -> Column:
     return F.array_distinct(out)
 
 
-@dataclass
-class Edits:
-    """TX-07: reviewed changes of a taxonomy; unknown ids and cycles raise."""
-
-    merges: dict[str, str] = field(default_factory=dict)
-    deletions: set[str] = field(default_factory=set)
-    renames: dict[str, str] = field(default_factory=dict)
-    parents: dict[str, str] = field(default_factory=dict)
-
-    def id_map(self, known: set[str]) -> dict[str, str | None]:
-        """Where every changed id ends up, merges of merges followed to their end."""
-        unknown = sorted(({*self.merges, *self.merges.values(), *self.deletions, *self.renames, *self.parents}) - known)
-        if unknown:
-            raise ValueError(f"unknown labels: {', '.join(unknown)}")
-        out: dict[str, str | None] = dict.fromkeys(self.deletions)
-        for start in self.merges:
-            at, seen = start, {start}
-            while at in self.merges:
-                at = self.merges[at]
-                if at in seen:
-                    raise ValueError(f"merges go in a circle at {at}")
-                seen.add(at)
-            out[start] = None if at in self.deletions else at
-        return out
-
-
-def suggest_merges(overlaps: list[tuple[str, str, int, int, int]], parent: dict[str, str], percent: int = 60) -> dict[str, str]:
-    """TX-08: of two labels of one parent that overlap by ``percent`` hundredths the smaller goes into the larger; chains are followed."""
-    out: dict[str, str] = {}
-
-    def end(x: str) -> str:
-        while x in out:
-            x = out[x]
-        return x
-
-    for a, b, na, nb, shared in sorted(overlaps, key=lambda o: (-o[4] / max(1, min(o[2], o[3])), o[0], o[1])):
-        if parent.get(a) == parent.get(b) and 100 * shared >= percent * min(na, nb):
-            keep, drop = (a, b) if (na, b) >= (nb, a) else (b, a)
-            keep, drop = end(keep), end(drop)
-            if keep != drop:
-                out[drop] = keep
-    return out
-
-
 def candidate_misses(entries: DataFrame, question: str, selected: list[str], comparative: bool = False, cap: int = 12) -> DataFrame:
     """SF-10: unselected categories that share two tokens with the question, or one long one, or (comparing) a selected one's parent."""
     asked = F.array_except(tokens(F.lit(question)), F.array(*map(F.lit, QUESTION_STOPWORDS)))
@@ -187,6 +214,26 @@ def candidate_misses(entries: DataFrame, question: str, selected: list[str], com
     )
 
 
+ORDERS = ("name", "id", "score")
+
+
+def ordering(rows: DataFrame, how: str, by: list[str]) -> DataFrame:
+    """WN-15: the rank of a category under ``by``: by count and lower-cased name, by count and id, or by score and id."""
+    if how not in ORDERS:
+        raise ValueError(f"no such order: {how}")
+    keys = {"name": [F.desc("n"), F.lower("name"), F.col("label_id")], "id": [F.desc("n"), F.col("label_id")], "score": [F.desc("score"), F.col("label_id")]}[how]
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)))
+
+
+def headings(heads: DataFrame, labels: DataFrame, percent: int = 34) -> DataFrame:
+    """TX-16: each heading with the category of every question whose name is most like it, above ``percent`` hundredths; candidates share a word."""
+    g = heads.select("heading", tokens(F.col("heading")).alias("g"), F.explode(tokens(F.col("heading"))).alias("w"))
+    t = labels.select("question_id", "label_id", tokens(F.col("name")).alias("t"), F.explode(tokens(F.col("name"))).alias("w"))
+    i, u = shared_tokens(F.col("g"), F.col("t"))
+    near = t.join(g, "w").select("question_id", "heading", "label_id", i.alias("i"), u.alias("u")).distinct().where(100 * F.col("i") > percent * F.col("u"))
+    return near.groupBy("question_id", "heading").agg(F.min_by("label_id", F.struct(-(F.col("i") / F.col("u")), F.col("label_id"))).alias("label_id"))
+
+
 def search(entries: DataFrame, needle: str) -> DataFrame:
     """TX-15: categories whose name, description or parent contains the text; hits in the name come first."""
     has = lambda c: F.coalesce(F.contains(F.lower(F.col(c)), F.lit(needle.lower())), F.lit(False))
@@ -194,6 +241,40 @@ def search(entries: DataFrame, needle: str) -> DataFrame:
     return entries.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", "name", "label_id")
 
 
+def fused_lines(lines: DataFrame, rulings: DataFrame | None = None, percent: int = 50) -> DataFrame:
+    """TX-13: lines of section plans (plan_id, position, label_id, name) in groups of one idea, by complete linkage: ``plan_id, label_id, group_no``.
+
+    With ``rulings`` (label_a, label_b, verdict in force) two lines are one idea only where they are ruled the same; what nobody ruled on
+    stays apart.  Without, names decide, strictly above ``percent`` hundredths of their words.  A plan is a few dozen lines; plans are worked through
+    in parallel.
+    """
+    t = lines.withColumn("t", tokens(F.col("name")))
+    pairs = None if rulings is None else rulings.where("verdict = 'same'").select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
+    if pairs is not None:
+        ends = pairs.union(pairs.select("b", "a")).toDF("label_id", "other")
+        same = ends.groupBy("label_id").agg(F.collect_set("other").alias("same"))
+        t = t.join(same, "label_id", "left")
+    else:
+        t = t.withColumn("same", F.lit(None).cast("array<string>"))
+    by_name = rulings is None
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["position", "label_id"])
+        words = {r.label_id: set(r.t if r.t is not None else ()) for r in rows.itertuples()}
+        ruled = {r.label_id: set(r.same if r.same is not None else ()) for r in rows.itertuples()}
+
+        def alike(a: str, b: str) -> bool:
+            if not by_name:
+                return b in ruled[a]
+            return bool(words[a] and words[b]) and 100 * len(words[a] & words[b]) > percent * len(words[a] | words[b])
+
+        got = [(rows["plan_id"].iloc[0], x, n) for n, g in enumerate(complete_linkage(list(rows["label_id"]), alike)) for x in g]
+        return pd.DataFrame(got, columns=["plan_id", "label_id", "group_no"])
+
+    kind = dict(lines.dtypes)["plan_id"]
+    return t.groupBy("plan_id").applyInPandas(group, f"plan_id {kind}, label_id string, group_no int")
+
+
 def complete_linkage(names: list[str], alike) -> list[list[str]]:
     """TX-13 (driver side, the dozens of lines of one plan): a name joins the first group all of whose members it is alike to."""
     groups: list[list[str]] = []

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..operators.filters import Filters
 
 ROUTES = ("categories", "comparative", "aggregate_direct", "lexicon", "unanswerable")
@@ -107,6 +110,13 @@ def from_selection(proposed: Route, selected: list[str], labels: set[str], **fil
     return replace(proposed, candidates=chosen, groups=groups, filters=replace(proposed.filters, labels=tuple(keep & set(selected)), **filters))
 
 
+def changed_labels(proposed: DataFrame, approved: DataFrame, by: list[str]) -> DataFrame:
+    """JN-18 for many routes at once: ``label_id`` of what was taken out and added per ``by``, as ``change``."""
+    keys = [*by, "label_id"]
+    gone = proposed.join(approved.select(*keys), keys, "left_anti").select(*keys, F.lit("deselected").alias("change"))
+    return gone.unionByName(approved.join(proposed.select(*keys), keys, "left_anti").select(*keys, F.lit("added").alias("change")))
+
+
 def changes(proposed: Route, approved: Route) -> tuple[list[str], list[str]]:
     """JN-18: labels taken out of and added to a proposal."""
     a, b = set(proposed.labels), set(approved.labels)

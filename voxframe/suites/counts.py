@@ -27,11 +27,6 @@ _NIGHT = f"coalesce(regexp_matches({_SPANS}, '(?i){NAMES['night']}'), false)"
 _DAY = f"coalesce(regexp_matches(regexp_replace({_SPANS}, '(?i)every ?day', '', 'g'), '(?i){NAMES['day']}'), false)"
 
 
-@query(f"WITH {C} SELECT CAST(count(*) AS BIGINT) AS in_scope, CAST(count(*) FILTER (uncategorized IS NOT NULL) AS BIGINT) AS coded, CAST(count(*) FILTER (event_occurred) AS BIGINT) AS reported FROM c WHERE dataset_id = 1000")
-def ag12_event_tally(spark: SparkSession, d: str) -> DataFrame:
-    return tallies.event_tally(corpus(spark, d, "dataset_id", "uncategorized", "event_occurred").where("dataset_id = 1000"))
-
-
 @query(f"WITH {C} SELECT question_id, CAST(count(*) AS BIGINT) AS in_scope, CAST(count(*) FILTER (uncategorized IS NOT NULL) AS BIGINT) AS coded, CAST(count(*) FILTER (event_occurred) AS BIGINT) AS reported FROM c GROUP BY 1")
 def ag12_event_tally_by_question(spark: SparkSession, d: str) -> DataFrame:
     return tallies.event_tally(corpus(spark, d, "question_id", "uncategorized", "event_occurred"), ["question_id"])
@@ -89,25 +84,12 @@ def ag06_place_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumnRenamed("concept", "place").crossJoin(F.broadcast(naming))
 
 
-@query(
-    f"WITH {C}, {M}, h AS (SELECT response_key, label_id, label_id || 's' || lpad(CAST(source_row_index % 3 AS VARCHAR), 2, '0') AS sub_id, c.source_row_index % 4 = 0 AS is_generic FROM m JOIN c USING (response_key)) "
-    "SELECT label_id, CAST(count(*) AS BIGINT) AS coded, CAST(count(*) FILTER (is_generic) AS BIGINT) AS generic, CAST(count(DISTINCT sub_id) FILTER (NOT is_generic) AS BIGINT) AS n_subs FROM h GROUP BY 1"
-)
-def ag07_sub_theme_counts(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus(spark, d, "dataset_id", "question_id", "source_row_index", "label_ids")
-    m = corpora.members(c).join(c.select("response_key", "source_row_index"), "response_key")
-    generic = F.col("source_row_index") % 4 == 0
-    sub = F.concat("label_id", F.lit("s"), F.lpad((F.col("source_row_index") % 3).cast("string"), 2, "0"))
-    return m.groupBy("label_id").agg(
-        F.count(F.lit(1)).alias("coded"), F.count_if(generic).alias("generic"), F.count_distinct(F.when(~generic, sub)).alias("n_subs")
-    )
-
-
 def _concept_sql(name: str) -> str:
     terms = sorted(CONCEPTS[name], key=lambda t: (-len(t), t))
     return "(?i)\\b(?:" + "|".join(f"{re.escape(t)}(?:e?s)?".replace(r"\ ", r"\s+") for t in terms) + ")\\b"
 
 
+_CONCEPT_SQL = {n: _concept_sql(n) for n in CONCEPTS}
 _HITS = " UNION ALL ".join(f"SELECT question_id, '{n}' AS concept FROM c WHERE regexp_matches(response_text, '{_concept_sql(n)}')" for n in CONCEPTS)
 
 
@@ -229,20 +211,12 @@ _STOP = ["the", "and", "for", "that", "with", "has", "are", "you", "und", "die",
 _WORDS = "list_filter(regexp_extract_all(lower(response_text), '([a-z][a-z''-]{2,})', 1), lambda w: w NOT IN (" + ", ".join(f"'{s}'" for s in _STOP) + "))"
 
 
-@query(
-    f"WITH {C}, w AS (SELECT {_WORDS} AS w FROM c WHERE dataset_id = 1), b AS (SELECT 'word' AS kind, unnest(w) AS term FROM w UNION ALL SELECT 'pair', unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), "
-    "n AS (SELECT kind, term, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL HAVING count(*) >= 4) SELECT kind, term, n, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) AS INT) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) <= 120"
-)
-def ag18_terms(spark: SparkSession, d: str) -> DataFrame:
-    return tallies.terms(corpus(spark, d, "dataset_id", "response_text").where("dataset_id = 1"), "response_text", _STOP)
-
-
 @query(
     f"WITH {C}, w AS (SELECT {_WORDS} AS w FROM c), b AS (SELECT 'word' AS kind, unnest(w) AS term FROM w UNION ALL SELECT 'pair', unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), "
-    "n AS (SELECT kind, term, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL HAVING count(*) >= 4) SELECT kind, term, n, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) AS INT) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) <= 120"
+    "n AS (SELECT kind, term, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL HAVING count(*) >= 4) SELECT kind, term, n, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) AS INT) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) <= CASE WHEN kind = 'pair' THEN 80 ELSE 120 END"
 )
-def ag18_terms_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ``ag18_terms`` over the responses of all datasets."""
+def ag18_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Words and pairs over the responses of all datasets."""
     return tallies.terms(corpus(spark, d, "response_text"), "response_text", _STOP)
 
 
@@ -269,11 +243,6 @@ def ag24_question_counts(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d, "question_id").groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {A} SELECT field, CAST(count(DISTINCT value) AS BIGINT) AS n_distinct, count(DISTINCT value) > 100 AS is_high FROM a GROUP BY 1")
-def ag25_cardinality(spark: SparkSession, d: str) -> DataFrame:
-    return tallies.cardinality(attributes(spark, d))
-
-
 @query("SELECT event_type, CAST(floor(quantile_cont(value, 0.1) * 1000 + 0.5) AS BIGINT) AS p10, CAST(floor(quantile_cont(value, 0.5) * 1000 + 0.5) AS BIGINT) AS p50, CAST(floor(quantile_cont(value, 0.9) * 1000 + 0.5) AS BIGINT) AS p90 FROM events GROUP BY 1")
 def ag27_percentiles(spark: SparkSession, d: str) -> DataFrame:
     s = estimate.spread(read(spark, d, "events", "event_type", "value"), "value", ["event_type"])
@@ -290,17 +259,6 @@ def ag26_pooled_rates(spark: SparkSession, d: str) -> DataFrame:
     return estimate.pooled_rates(newest, "amount", "base", ["is_large"])
 
 
-@query(
-    "WITH z(at_size, v) AS (SELECT p_size, median(p_retailprice) FROM part WHERE p_size IN (1, 10, 25, 50) GROUP BY 1), "
-    "b AS (SELECT at_size AS lo, v AS v_lo, lead(at_size) OVER (ORDER BY at_size) AS hi, lead(v) OVER (ORDER BY at_size) AS v_hi, row_number() OVER (ORDER BY at_size) AS k FROM z), w AS (SELECT DISTINCT p_size AS w FROM part) "
-    "SELECT w AS wanted, CAST(floor((CASE WHEN hi IS NULL OR w <= lo THEN v_lo ELSE v_lo + (log10(w) - log10(lo)) / (log10(hi) - log10(lo)) * (v_hi - v_lo) END) + 0.5) AS BIGINT) AS estimate FROM w JOIN b ON w >= CASE WHEN k = 1 THEN 0 ELSE lo END AND (hi IS NULL OR w < hi)"
-)
-def ag28_interpolated_cost(spark: SparkSession, d: str) -> DataFrame:
-    part = read(spark, d, "part", "p_size", "p_retailprice")
-    got = estimate.interpolated(part.where("p_size IN (1, 10, 25, 50)"), part.select("p_size").distinct(), "p_size", "p_retailprice")
-    return got.select(F.col("at").alias("wanted"), F.floor(F.col("estimate") + 0.5).alias("estimate"))
-
-
 @query("WITH p(model, price_in, price_out) AS (VALUES ('click', 2, 8), ('view', 1, 4)), t AS (SELECT event_type AS model, count(*) AS calls, sum(user_id) AS i, sum(event_id) AS o FROM events GROUP BY 1) SELECT model, CAST(calls AS BIGINT) AS calls, CAST(i AS BIGINT) AS tokens_in, CAST(o AS BIGINT) AS tokens_out, CAST(i * price_in + o * price_out AS BIGINT) AS micro_usd, price_in IS NULL AS is_unpriced FROM t LEFT JOIN p USING (model)")
 def ag29_usage(spark: SparkSession, d: str) -> DataFrame:
     prices = spark.createDataFrame([("click", 2, 8), ("view", 1, 4)], "model string, price_in long, price_out long")
@@ -331,13 +289,6 @@ def ag39_label_plan(spark: SparkSession, d: str) -> DataFrame:
     return estimate.label_plan(corpus(spark, d, "question_id", "response_text").where("response_text IS NOT NULL"), ["question_id"], "response_text", 60, 2000)
 
 
-@query(f"WITH {C}, r AS (SELECT question_id, count(*) AS candidates, count(DISTINCT source_row_index // 40) AS chunks, count(DISTINCT unnest_l) AS labels FROM (SELECT *, unnest(label_ids) AS unnest_l FROM c) GROUP BY 1) SELECT question_id, candidates BETWEEN 8 * chunks AND 35 * chunks AS candidates_ok, 10 * candidates BETWEEN 12 * labels AND 35 * labels AS compression_ok, TRUE AS singletons_ok, labels // 5 BETWEEN 3 AND 9 AS parents_ok FROM r")
-def ag38_induction_quality(spark: SparkSession, d: str) -> DataFrame:
-    each = corpus(spark, d, "question_id", "source_row_index", "label_ids").select("question_id", "source_row_index", F.explode("label_ids").alias("l"))
-    r = each.groupBy("question_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct(F.floor(F.col("source_row_index") / 40)).alias("chunks"), F.count_distinct("l").alias("labels"))
-    return estimate.induction_quality(r.withColumn("singletons", F.lit(0)).withColumn("parents", F.floor(F.col("labels") / 5)))
-
-
 # ---- filters -------------------------------------------------------------------------------------------------------------------
 
 FILTERS = filters.Filters(labels=SCOPE, actionability="specific", time="night", demographics={"Age band": ("18-24", "25-34", "35-54"), "Tenure": ("Rent", "Own")})
@@ -450,3 +401,65 @@ def se05_everything_else(spark: SparkSession, d: str) -> DataFrame:
     m = corpora.members(corpus(spark, d, "dataset_id", "question_id", "label_ids"))
     top = m.groupBy("label_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label_id").limit(8)
     return m.join(top.select("label_id"), "label_id", "left_anti").agg(F.count_distinct("response_key").alias("everything_else"))
+
+
+@query(f"WITH {C} SELECT CAST(count(*) AS BIGINT) AS in_scope, CAST(count(*) FILTER (uncategorized IS NOT NULL) AS BIGINT) AS coded, CAST(count(*) FILTER (event_occurred) AS BIGINT) AS reported FROM c")
+def ag12_event_tally(spark: SparkSession, d: str) -> DataFrame:
+    return tallies.event_tally(corpus(spark, d, "uncategorized", "event_occurred"))
+
+
+@query(
+    f"WITH {C}, {M}, h AS (SELECT response_key, label_id, label_id || 's' || lpad(CAST(source_row_index % 3 AS VARCHAR), 2, '0') AS sub_id, c.source_row_index % 4 = 0 AS is_generic FROM m JOIN c USING (response_key)) "
+    "SELECT label_id, CAST(count(*) AS BIGINT) AS coded, CAST(count(*) FILTER (is_generic) AS BIGINT) AS generic, CAST(count(DISTINCT sub_id) FILTER (NOT is_generic) AS BIGINT) AS n_subs FROM h GROUP BY 1"
+)
+def ag07_sub_theme_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus(spark, d, "dataset_id", "question_id", "source_row_index", "label_ids")
+    m = corpora.members(c)
+    sub = F.concat("label_id", F.lit("s"), F.lpad((F.col("source_row_index") % 3).cast("string"), 2, "0"))
+    subs = m.join(c.where("source_row_index % 4 <> 0").select("response_key", "source_row_index"), "response_key").select("response_key", "label_id", sub.alias("sub_id"))
+    return tallies.sub_theme_counts(m, subs)
+
+
+@query(
+    "WITH z AS (SELECT p_size AS s, median(p_retailprice) AS v FROM part GROUP BY 1), w AS (SELECT DISTINCT p_size * 3 AS w FROM part), "
+    "b AS (SELECT w, max(z.s) FILTER (z.s <= w) AS lo, min(z.s) FILTER (z.s >= w) AS hi FROM w, z GROUP BY 1) "
+    "SELECT w AS wanted, CAST(floor(CASE WHEN lo < hi THEN a.v + (log10(w) - log10(lo)) / (log10(hi) - log10(lo)) * (e.v - a.v) ELSE coalesce(a.v, e.v) END + 0.5) AS BIGINT) AS estimate FROM b LEFT JOIN z a ON a.s = lo LEFT JOIN z e ON e.s = hi"
+)
+def ag28_interpolated_cost(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part", "p_size", "p_retailprice")
+    got = estimate.interpolated(part, part.select((F.col("p_size") * 3).alias("p_size")).distinct(), "p_size", "p_retailprice")
+    return got.select(F.col("at").alias("wanted"), F.floor(F.col("estimate") + 0.5).alias("estimate"))
+
+
+@query(
+    f"WITH {C}, {M}, {T}, e AS (SELECT question_id, label_id, source_row_index // 40 AS chunk FROM (SELECT question_id, source_row_index, unnest(label_ids) AS label_id FROM c)), l AS (SELECT question_id, label_id, count(DISTINCT chunk) AS k, count(*) AS n FROM e GROUP BY ALL), "
+    "r AS (SELECT question_id, sum(n) AS candidates, count(*) AS labels, count(*) FILTER (k = 1) AS singletons FROM l GROUP BY 1), h AS (SELECT question_id, count(DISTINCT source_row_index // 40) AS chunks FROM c WHERE len(label_ids) > 0 GROUP BY 1), p AS (SELECT question_id, count(DISTINCT parent_id) AS parents FROM t GROUP BY 1) "
+    "SELECT question_id, candidates BETWEEN 8 * chunks AND 35 * chunks AS candidates_ok, 10 * candidates BETWEEN 12 * labels AND 35 * labels AS compression_ok, 100 * singletons <= 40 * labels AS singletons_ok, parents BETWEEN 3 AND 9 AS parents_ok FROM r JOIN h USING (question_id) JOIN p USING (question_id)"
+)
+def ag38_induction_quality(spark: SparkSession, d: str) -> DataFrame:
+    """All four bands from what a run leaves: candidates, chunks, support and parents."""
+    c = corpus(spark, d, "dataset_id", "question_id", "source_row_index", "label_ids")
+    each = c.select("question_id", F.floor(F.col("source_row_index") / 40).alias("chunk"), F.explode("label_ids").alias("label_id"))
+    per = each.groupBy("question_id", "label_id").agg(F.count_distinct("chunk").alias("k"), F.count(F.lit(1)).alias("n"))
+    report = per.groupBy("question_id").agg(F.sum("n").alias("candidates"), F.count(F.lit(1)).alias("labels"), F.count_if(F.col("k") == 1).alias("singletons"))
+    chunks = each.groupBy("question_id").agg(F.count_distinct("chunk").alias("chunks"))
+    parents = corpora.taxonomy(c).groupBy("question_id").agg(F.count_distinct("parent_id").alias("parents"))
+    return estimate.induction_quality(report.join(chunks, "question_id").join(parents, "question_id"))
+
+
+@query(f"WITH {A}, v AS (SELECT field, CASE WHEN field = 'Survey date' THEN strftime({_PARSED.replace('v,', 'value,')}, '%Y-%m-%d') ELSE value END AS value FROM a) SELECT field, CAST(count(DISTINCT value) AS BIGINT) AS n_distinct, count(DISTINCT value) > 100 AS is_high FROM v GROUP BY 1")
+def ag25_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    """Days count once whatever their notation."""
+    return tallies.cardinality(attributes(spark, d), dates=("Survey date",))
+
+
+@query("WITH f AS (SELECT dataset_id AS root, upload_id, row_count AS size, CASE WHEN new_row_count IS NOT NULL THEN stored_filename END AS run_id, new_row_count AS micro_usd FROM uploads) SELECT root, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes, CAST(count(DISTINCT run_id) AS BIGINT) AS n_runs, CAST(sum(micro_usd) AS BIGINT) AS micro_usd FROM f GROUP BY 1")
+def ag30_deletion_preview(spark: SparkSession, d: str) -> DataFrame:
+    u = read(spark, d, "uploads", "dataset_id", "stored_filename", "row_count", "new_row_count")
+    return tallies.deletion_preview(u.select(F.col("dataset_id").alias("root"), F.col("stored_filename").alias("path"), F.col("row_count").alias("size"), F.when(F.col("new_row_count").isNotNull(), F.col("stored_filename")).alias("run_id"), F.col("new_row_count").alias("micro_usd")))
+
+
+@query(f"WITH {C}, s AS (SELECT question_id, count(*) AS n, sum(length(response_text)) AS chars FROM c WHERE response_text IS NOT NULL GROUP BY 1), p AS (SELECT *, CAST(ceil(n / 120) AS BIGINT) AS map_calls FROM s), q AS (SELECT *, map_calls + CAST(ceil(map_calls * 20 / 120) AS BIGINT) + 2 AS calls FROM p) SELECT question_id, map_calls, calls, CAST(ceil((chars + calls * 3000) / 4) AS BIGINT) AS tokens_in, CAST(ceil((chars + calls * 3000) / 4) * 3 AS BIGINT) AS micro_usd, 'heuristic' AS basis FROM q")
+def ag39_induction_plan(spark: SparkSession, d: str) -> DataFrame:
+    s = corpus(spark, d, "question_id", "response_text").where("response_text IS NOT NULL").groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("response_text")).alias("chars"))
+    return estimate.induction_plan(s).select("question_id", "map_calls", "calls", "tokens_in", "micro_usd", "basis")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PLAN_STOPWORDS, REVIEW_STOPWORDS
 from ..operators import corpus as corpora
-from ..operators import filters, labeling, sampling, taxonomy
+from ..operators import filters, induction, labeling, review, sampling, tallies, taxonomy
 from ..plans import compile as compiler
 from ..plans import route as routes
 from ..plans import rulings
 from ..registry import query
-from .base import C, M, T, corpus, read
+from .base import C, M, T, attributes, corpus, read
 from .counts import CONCEPTS, SCOPE
 
 
@@ -55,17 +55,6 @@ def _pairs_sql(stop: tuple[str, ...], scope: str, percent: int) -> str:
     )
 
 
-@query(_pairs_sql(REVIEW_STOPWORDS, "a.question_id AS question_id, ", 60))
-def jn11_name_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.similar_names(_named_taxonomy(spark, d).where("name IS NOT NULL"), ["question_id"], 60, REVIEW_STOPWORDS)
-
-
-@query(_pairs_sql(PLAN_STOPWORDS, "", 100))
-def jn12_nominated_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs across questions whose names have the same words."""
-    return taxonomy.similar_names(_named_taxonomy(spark, d).where("name IS NOT NULL"), [], 100)
-
-
 @query(
     f"WITH {_NT}, n AS (SELECT label_id, count(*) AS n FROM m GROUP BY 1), z AS (SELECT nt.*, n.n, count(*) OVER (PARTITION BY question_id, trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g'))) AS sn FROM nt LEFT JOIN n USING (label_id)), p AS (SELECT question_id, CAST(count(*) AS BIGINT) AS n_labels, CAST(count(*) FILTER (n IS NULL) AS BIGINT) AS zero_count, CAST(count(*) FILTER (parent_id IS NULL) AS BIGINT) AS orphans, CAST(count(*) FILTER (sn > 1) AS BIGINT) AS duplicate_names FROM z GROUP BY 1), "
     "q AS (SELECT question_id, CAST(count(*) FILTER (coalesce(uncategorized, false) OR coalesce(fit = 1, false)) AS BIGINT) AS pool, CAST(count(uncategorized) AS BIGINT) AS coded FROM c GROUP BY 1) SELECT * FROM p LEFT JOIN q USING (question_id)"
@@ -90,29 +79,12 @@ def ag33_chunk_support(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH p AS (SELECT p_partkey AS position, p_name AS name, p_type AS description, p_brand AS include, trim(regexp_replace(lower(p_name), '[^a-z0-9 ]', '', 'g')) AS norm FROM part), i AS (SELECT norm, include, min(position) AS pos FROM p GROUP BY ALL) SELECT norm, arg_min(name, position) AS name, arg_max(description, length(description) * 1000000 - position) AS description, CAST(count(*) AS BIGINT) AS n_merged, (SELECT string_agg(include, ',' ORDER BY pos) FROM i WHERE i.norm = p.norm) AS include FROM p GROUP BY norm")
 def ag34_merge_by_name(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part", F.col("p_partkey").alias("position"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array("p_brand").alias("include"))
-    return taxonomy.merge_by_name(p).withColumn("include", F.array_join("include", ","))
-
-
-@query(f"WITH {C}, {M}, x AS (SELECT DISTINCT question_id, label_id, CAST(split_part(response_key, ':', 3) AS INT) // 50 AS chunk FROM m), s AS (SELECT question_id, label_id AS name, count(*) AS chunk_support FROM x GROUP BY ALL) SELECT question_id, question_id || '_' || lpad(CAST(row_number() OVER (PARTITION BY question_id ORDER BY chunk_support DESC, name) AS VARCHAR), 3, '0') AS label_id, name, CAST(chunk_support AS BIGINT) AS chunk_support, chunk_support = 1 AS singleton, chunk_support = 1 AS needs_review FROM s")
-def tx06_assemble_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    m = _members(spark, d).withColumn("chunk", F.floor(F.split("response_key", ":")[2].cast("int") / 50))
-    labels = m.groupBy("question_id", F.col("label_id").alias("name")).agg(F.count_distinct("chunk").alias("chunk_support"))
-    return taxonomy.assemble(labels, 5)
-
-
-@query(f"WITH {C}, {M}, n AS (SELECT label_id, list_sort(list(DISTINCT CAST(split_part(response_key, ':', 3) AS INT) % 60)) AS numbers FROM m WHERE question_id = 4 GROUP BY 1), e AS (SELECT label_id, unnest(numbers) AS number FROM n), k AS (SELECT response_key, CAST(row_number() OVER (ORDER BY source_row_index) - 1 AS INT) AS number FROM c WHERE question_id = 4 QUALIFY row_number() OVER (ORDER BY source_row_index) <= 50), j AS (SELECT e.label_id, e.number, k.response_key FROM e LEFT JOIN k USING (number)), r AS (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY response_key IS NULL, number) AS r FROM j) SELECT label_id, coalesce(string_agg(response_key, ',' ORDER BY number) FILTER (response_key IS NOT NULL AND r <= 10), '') AS evidence, CAST(count(*) FILTER (response_key IS NULL) AS BIGINT) AS n_invalid FROM r GROUP BY 1")
-def tx01_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Prompt numbers of a chunk of fifty responses (the chunk is what a model sees) resolved to responses."""
-    m = _members(spark, d).where("question_id = 4")
-    cited = m.groupBy("label_id").agg(F.sort_array(F.collect_set(F.split("response_key", ":")[2].cast("int") % 60)).alias("numbers"))
-    order = F.row_number().over(Window.partitionBy("question_id").orderBy("source_row_index")) - 1
-    chunk = corpus(spark, d, "question_id", "source_row_index").where("question_id = 4").withColumn("position", order).where("position < 50")
-    return taxonomy.resolve_evidence(cited, chunk).withColumn("evidence", F.array_join("evidence", ","))
+    return taxonomy.merge_by_name(p).withColumn("include", F.array_join("include", ",")).drop("position")
 
 
 @query()
-def tx01_evidence_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ``tx01_evidence`` for every question and every chunk of fifty of its responses: each label's numbers are those of its chunk."""
+def tx01_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """For every question and every chunk of fifty of its responses: each label's numbers are those of its chunk."""
     order = F.row_number().over(Window.partitionBy("question_id").orderBy("source_row_index", "response_key")) - 1
     placed = corpus(spark, d, "question_id", "source_row_index").withColumn("at", order).withColumn("chunk", F.floor(F.col("at") / 50))
     number = lambda n: F.struct("question_id", "chunk", n.alias("n"))
@@ -140,41 +112,14 @@ def sf16_remap_labels(spark: SparkSession, d: str) -> DataFrame:
     return c.select("response_key", F.array_join(taxonomy.remap(F.col("label_ids"), _MAP), ",").alias("label_ids")).where("label_ids <> ''")
 
 
-@query(f"WITH {C}, {M}, y AS (SELECT response_key, question_id, CASE WHEN label_id IN ('4_001', '4_003') THEN '4_002' WHEN label_id = '9_001' THEN '9_002' ELSE label_id END AS l FROM m WHERE label_id <> '1_001') SELECT l AS label_id, CAST(count(DISTINCT response_key) AS BIGINT) AS n FROM y GROUP BY 1")
-def tx07_apply_edits(spark: SparkSession, d: str) -> DataFrame:
-    """Merges, one of them of a merged label, and a deletion; counts come from the united members."""
-    edits = taxonomy.Edits(merges={"4_001": "4_003", "4_003": "4_002", "9_001": "9_002"}, deletions={"1_001"})
-    id_map = edits.id_map({"4_001", "4_002", "4_003", "9_001", "9_002", "1_001"})
-    c = corpus(spark, d, "label_ids").withColumn("label_ids", taxonomy.remap(F.col("label_ids"), id_map))
-    return c.select("response_key", F.explode("label_ids").alias("label_id")).groupBy("label_id").agg(F.count_distinct("response_key").alias("n"))
-
-
-@query(f"WITH {_NT}, p AS (SELECT question_id, p_name AS name, p_partkey AS position FROM part, (SELECT DISTINCT question_id FROM t) WHERE p_partkey BETWEEN 95 AND 140), x AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g')) AS norm FROM p), o AS (SELECT question_id, norm, arg_min(name, position) AS name, min(position) AS position FROM x ANTI JOIN (SELECT question_id AS q, trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g')) AS nn FROM nt) e ON e.q = x.question_id AND e.nn = x.norm GROUP BY ALL) SELECT question_id, CAST(count(*) AS BIGINT) AS n_new, max(question_id || '_i' || lpad(CAST(r AS VARCHAR), 3, '0')) AS last_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY position) AS r FROM o) GROUP BY 1")
+@query(f"WITH {_NT}, p AS (SELECT question_id, p_name AS name, p_partkey AS position FROM part, (SELECT DISTINCT question_id FROM t)), x AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g')) AS norm FROM p), o AS (SELECT DISTINCT question_id, norm FROM x ANTI JOIN (SELECT question_id AS q, trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g')) AS nn FROM nt) e ON e.q = x.question_id AND e.nn = x.norm) SELECT question_id, CAST(count(*) AS BIGINT) AS n_new, CAST(count(*) AS BIGINT) AS n_ids FROM o GROUP BY 1")
 def tx09_extend_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    t = _named_taxonomy(spark, d)
-    parts = read(spark, d, "part", F.col("p_name").alias("name"), F.col("p_partkey").alias("position")).where("position BETWEEN 95 AND 140")
-    proposed = t.select("question_id").distinct().join(F.broadcast(parts))
-    return taxonomy.extend(t, proposed).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_new"), F.max("label_id").alias("last_id"))
-
-
-@query()
-def tx09_extend_taxonomy_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ``tx09_extend_taxonomy`` with every part proposed for every question."""
+    """Every part proposed for every question."""
     t = _named_taxonomy(spark, d)
     proposed = F.broadcast(t.select("question_id").distinct()).crossJoin(read(spark, d, "part", F.col("p_name").alias("name"), F.col("p_partkey").alias("position")))
     return taxonomy.extend(t, proposed).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_new"), F.count_distinct("label_id").alias("n_ids"))
 
 
-@query()
-def tx08_suggested_merges(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping pairs of one parent; the list is as short as a taxonomy, so it is settled on the driver."""
-    strong = taxonomy.strongly_overlapping(taxonomy.label_overlaps(_members(spark, d)), 60)
-    pairs = [tuple(r) for r in strong.select("label_a", "label_b", "n_a", "n_b", "shared").collect()]
-    parent = {x: x.split("_")[0] for p in pairs for x in p[:2]}
-    merges = taxonomy.suggest_merges(pairs, parent)
-    return spark.createDataFrame(sorted(merges.items()), "dropped string, kept string")
-
-
 @query(f"WITH {_NT} SELECT label_id, CASE WHEN contains(lower(name), 'ring') THEN 0 WHEN contains(lower(description), 'ring') THEN 1 ELSE 2 END AS rank FROM nt WHERE contains(lower(name), 'ring') OR contains(lower(description), 'ring') OR contains(lower(parent_id), 'ring')")
 def tx15_category_search(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.search(_named_taxonomy(spark, d), "ring").select("label_id", "rank")
@@ -186,37 +131,13 @@ def sf10_candidate_misses(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.candidate_misses(entries, "Which small rings and large bolts do residents mention?", list(SCOPE))
 
 
-@query(f"WITH {C}, {M} SELECT label_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(least(length(response_text), 600)) AS BIGINT) AS chars FROM m JOIN (SELECT response_key, CASE WHEN length(response_text) > 600 THEN rtrim(substr(response_text, 1, 600), ' ') || '…' ELSE response_text END AS response_text FROM c WHERE response_text IS NOT NULL) USING (response_key) WHERE length(response_text) < 600 GROUP BY 1")
-def tx21_member_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = labeling.member_rows(_members(spark, d), corpus(spark, d, "response_text")).where("length(text) < 600")
-    return rows.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
-
-
 @query(f"WITH {C}, {M} SELECT label_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(response_text)) AS BIGINT) AS chars FROM m JOIN (SELECT response_key, CASE WHEN length(response_text) > 600 THEN rtrim(substr(response_text, 1, 600), ' ') || '…' ELSE response_text END AS response_text FROM c WHERE response_text IS NOT NULL) USING (response_key) GROUP BY 1")
-def tx21_member_rows_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ``tx21_member_rows`` with the texts that were cut short."""
+def tx21_member_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that were cut short included."""
     rows = labeling.member_rows(_members(spark, d), corpus(spark, d, "response_text"))
     return rows.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(f"WITH {C}, s AS (SELECT label_id AS name, unnest(locations) AS place FROM (SELECT *, unnest(label_ids) AS label_id FROM c)) SELECT place, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1")
-def tx17_sources_by_place(spark: SparkSession, d: str) -> DataFrame:
-    each = corpus(spark, d, "label_ids", "locations").select(F.explode("label_ids").alias("label_id"), "locations")
-    return each.select(F.explode("locations").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {_NT}, h(heading) AS (VALUES ('Large brushed rings'), ('Small bolts'), ('Nothing of the sort')), k AS (SELECT label_id, {_tokens_sql('name', PLAN_STOPWORDS)} AS t FROM nt WHERE question_id = 4 AND name IS NOT NULL), g AS (SELECT heading, {_tokens_sql('heading', PLAN_STOPWORDS)} AS g FROM h), s AS (SELECT heading, label_id, len(list_intersect(t, g)) AS i, len(list_distinct(list_concat(t, g))) AS u FROM g, k WHERE len(list_intersect(t, g)) > 0) SELECT heading, label_id FROM s WHERE 100 * i > 34 * u QUALIFY row_number() OVER (PARTITION BY heading ORDER BY i / u DESC, label_id) = 1")
-def tx16_heading_match(spark: SparkSession, d: str) -> DataFrame:
-    """Each of a few headings with the category of most similar name, similarity above 0.34."""
-    from ..functions.text import shared_tokens, tokens
-
-    heads = spark.createDataFrame([("Large brushed rings",), ("Small bolts",), ("Nothing of the sort",)], "heading string").select("heading", tokens(F.col("heading")).alias("g"), F.explode(tokens(F.col("heading"))).alias("w"))
-    labels = _named_taxonomy(spark, d).where("question_id = 4 AND name IS NOT NULL").select("label_id", tokens(F.col("name")).alias("t"), F.explode(tokens(F.col("name"))).alias("w"))
-    i, u = shared_tokens(F.col("g"), F.col("t"))
-    near = labels.join(heads, "w").select("heading", "label_id", i.alias("i"), u.alias("u")).distinct().where("100 * i > 34 * u")
-    return near.groupBy("heading").agg(F.min_by("label_id", F.struct(-(F.col("i") / F.col("u")), F.col("label_id"))).alias("label_id"))
-
-
 # ---- labelling -----------------------------------------------------------------------------------------------------------------
 
 
@@ -260,36 +181,17 @@ def _reply(system: str, user: str) -> str:
 @query()
 def ml03_label_run(spark: SparkSession, d: str) -> DataFrame:
     """Representatives, batches, one call per batch with the stand-in client, checked replies, fanned out to all responses."""
-    c = corpus(spark, d, "question_id", "source_row_index", "label_ids", "response_text").where("response_text IS NOT NULL")
-    reps = labeling.representatives(c, ["question_id"], "response_text", "source_row_index")
-    rows = labeling.batches(reps, ["question_id"], ["representative_key"], 60).select("question_id", "batch", F.col("representative_key").alias("response_key"), F.col("response_text").alias("text"))
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("question_id", "batch").orderBy("response_key")))
-    prompt = lambda pdf: ("label", "\n".join(f"{n}\t{' '.join(t.split())}" for n, t in zip(pdf["position"], pdf["text"])))
-    replies = labeling.run_batches(rows, ["question_id"], prompt, labeling.EchoClient(_reply))
-    labels = corpora.taxonomy(c.withColumn("dataset_id", F.lit(0)))
-    records = labeling.parse_labels(rows, replies, labels).withColumnRenamed("response_key", "representative_key")
-    done = reps.select("question_id", "response_text", "representative_key").join(records.drop("question_id"), "representative_key")
-    out = labeling.fan_out(c.select("question_id", "response_key", "response_text"), done, ["question_id"], "response_text")
+    c = corpus(spark, d, "question_id", "label_ids", "response_text").where("response_text IS NOT NULL")
+    rows = c.select("question_id", "response_key", F.col("response_text").alias("text"))
+    out = induction.label_run(rows, corpora.taxonomy(c.withColumn("dataset_id", F.lit(0))), labeling.EchoClient(_reply))
     return out.groupBy("question_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("not_returned")).alias("not_returned"), F.sum(F.size("label_ids")).alias("n_labels"), F.sum("n_invalid").alias("n_invalid"), F.count_if(F.size("locations") > 0).alias("with_places")
     )
 
 
-@query("WITH e AS (SELECT event_id, user_id % 20 AS batch, CAST(row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS INT) AS position, event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events), p AS (SELECT * FROM e WHERE position <= 50) SELECT CAST(batch AS BIGINT) AS batch, position, position % 4 = 0 AS not_returned, CASE WHEN position % 4 <> 0 AND k BETWEEN 1 AND 3 THEN k END AS fit, CASE WHEN position % 4 <> 0 AND k % 2 = 1 THEN '7_001' ELSE '' END AS label_ids FROM p")
-def pr16_parse_records(spark: SparkSession, d: str) -> DataFrame:
-    """Replies made of event properties: rows left out, fits out of range, a known id and an unknown one."""
-    e = read(spark, d, "events", "event_id", "user_id", "props").select("event_id", (F.col("user_id") % 20).alias("batch"), F.from_json("props", "k int")["k"].alias("k"))
-    b = e.withColumn("position", F.row_number().over(Window.partitionBy("batch").orderBy("event_id"))).where("position <= 50")
-    b = b.select(F.lit(7).cast("long").alias("question_id"), "batch", "position", F.col("event_id").cast("string").alias("response_key"), F.lit("").alias("text"), "k")
-    record = F.struct(F.col("position").alias("n"), F.array(F.when(F.col("k") % 2 == 1, "7_001").otherwise("7_999")).alias("label_ids"), F.col("k").alias("fit"))
-    replies = b.groupBy("question_id", "batch").agg(F.to_json(F.struct(F.collect_list(F.when(F.col("position") % 4 != 0, record)).alias("results"))).alias("reply"))
-    labels = spark.createDataFrame([(7, "7_001")], "question_id long, label_id string")
-    return labeling.parse_labels(b.drop("k"), replies, labels).select("batch", "position", "not_returned", "fit", F.array_join("label_ids", ",").alias("label_ids"))
-
-
 @query("WITH e AS (SELECT event_id // 50 AS batch, CAST(row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS INT) AS position, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) SELECT CAST(batch AS BIGINT) AS batch, position, position % 4 = 0 AS not_returned, CASE WHEN position % 4 <> 0 AND k BETWEEN 1 AND 3 THEN k END AS fit, CASE WHEN position % 4 <> 0 AND k % 2 = 1 THEN '7_001' ELSE '' END AS label_ids FROM e")
-def pr16_parse_records_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ``pr16_parse_records`` over every event, in batches of fifty ids in a row, so that no batch grows with the table."""
+def pr16_parse_records(spark: SparkSession, d: str) -> DataFrame:
+    """Replies made of event properties, over every event, in batches of fifty ids in a row, so that no batch grows with the table."""
     e = read(spark, d, "events", "event_id", "props").select("event_id", F.expr("event_id div 50").alias("batch"), F.from_json("props", "k int")["k"].alias("k"))
     b = e.withColumn("position", F.row_number().over(Window.partitionBy("batch").orderBy("event_id")))
     b = b.select(F.lit(7).cast("long").alias("question_id"), "batch", "position", F.col("event_id").cast("string").alias("response_key"), F.lit("").alias("text"), "k")
@@ -319,16 +221,9 @@ def jn17_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     return labeling.carry_forward(prior, redone, redone.withColumn("run", F.lit("fresh")))
 
 
-@query(f"WITH {C} SELECT response_key, actionability FROM c WHERE dataset_id = 1 UNION ALL SELECT response_key, NULL FROM c WHERE dataset_id = 1000")
-def se06_append(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus(spark, d, "dataset_id", "actionability")
-    prior, fresh = c.where("dataset_id = 1").select("response_key", "actionability"), c.where("dataset_id = 1000").select("response_key")
-    return prior.unionByName(fresh, allowMissingColumns=True)
-
-
 @query(f"WITH {C} SELECT response_key, CASE WHEN dataset_id < 1000 THEN actionability END AS actionability FROM c")
-def se06_append_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ``se06_append`` with every dataset: the early ones are the prior run, all others are appended."""
+def se06_append(spark: SparkSession, d: str) -> DataFrame:
+    """Every dataset: the early ones are the prior run, all others are appended."""
     early = F.coalesce(F.col("dataset_id") < 1000, F.lit(False))
     c = corpus(spark, d, "dataset_id", "actionability")
     return c.where(early).select("response_key", "actionability").unionByName(c.where(~early).select("response_key"), allowMissingColumns=True)
@@ -350,7 +245,7 @@ def wn08_quote_budgets(spark: SparkSession, d: str) -> DataFrame:
     return sampling.budgets(_members(spark, d).groupBy("label_id").agg(F.count(F.lit(1)).alias("n")), 10, 120)
 
 
-@query(f"WITH {C}, x AS (SELECT response_key, question_id, length(response_text) AS l, row_number() OVER (PARTITION BY question_id ORDER BY length(response_text), response_key) - 1 AS pos, count(*) OVER (PARTITION BY question_id) AS n FROM c WHERE response_text IS NOT NULL), e AS (SELECT question_id, max(l) FILTER (pos = n // 3) AS lo, max(l) FILTER (pos = (n * 2) // 3) AS hi FROM x GROUP BY 1) SELECT response_key, CASE WHEN l < lo THEN 'short' WHEN l < hi THEN 'mid' ELSE 'long' END AS band FROM x JOIN e USING (question_id)")
+@query(f"WITH {C}, x AS (SELECT response_key, question_id, length(response_text) AS l, row_number() OVER (PARTITION BY question_id ORDER BY length(response_text), response_key) - 1 AS pos, count(*) OVER (PARTITION BY question_id) AS n FROM c WHERE response_text IS NOT NULL), e AS (SELECT question_id, max(l) FILTER (pos = n // 3) AS lo, max(l) FILTER (pos = (n * 2) // 3) AS hi FROM x GROUP BY 1) SELECT response_key, CASE WHEN l <= lo THEN 'short' WHEN l > hi THEN 'long' ELSE 'mid' END AS band FROM x JOIN e USING (question_id)")
 def wn11_length_terciles(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d, "question_id", "response_text").where("response_text IS NOT NULL")
     return sampling.length_tercile(c, ["question_id"], "response_text").select("response_key", "band")
@@ -379,19 +274,6 @@ def wn17_primary_sub_theme(spark: SparkSession, d: str) -> DataFrame:
     return sampling.primary_sub_theme(_members(spark, d).select("response_key", F.col("label_id").alias("sub_id")))
 
 
-@query("SELECT n, string_agg(CAST(i * n // 7 AS VARCHAR), ',' ORDER BY i) AS picks FROM (SELECT DISTINCT p_size AS n FROM part WHERE p_size >= 7), range(0, 7) t(i) GROUP BY 1")
-def wn16_spread_indices(spark: SparkSession, d: str) -> DataFrame:
-    sizes = read(spark, d, "part", F.col("p_size").alias("n")).where("n >= 7").distinct()
-    picks = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.floor(i * F.col("n") / 7).cast("string"))
-    return sizes.select("n", F.array_join(F.array_distinct(picks), ",").alias("picks"))
-
-
-@query(f"WITH {C}, {M}, n AS (SELECT question_id, label_id, count(*) AS n FROM m GROUP BY ALL) SELECT question_id, label_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY n DESC, label_id) AS INT) AS rank FROM n")
-def wn15_ordering(spark: SparkSession, d: str) -> DataFrame:
-    n = _members(spark, d).groupBy("question_id", "label_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("question_id", "label_id", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("n"), "label_id")).alias("rank"))
-
-
 # ---- plans ---------------------------------------------------------------------------------------------------------------------
 
 ROUTE = {
@@ -425,19 +307,6 @@ def route_quotes(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d, ROUTE)["quotes"]
 
 
-@query(f"WITH {C}, s AS (SELECT dataset_id FROM datasets WHERE status = 'ingested') SELECT dataset_id, CAST(count(*) AS BIGINT) AS n FROM c SEMI JOIN s USING (dataset_id) GROUP BY 1")
-def ev08_known_datasets(spark: SparkSession, d: str) -> DataFrame:
-    ok = read(spark, d, "datasets", "dataset_id", "status").where("status = 'ingested'")
-    return corpus(spark, d, "dataset_id").join(ok, "dataset_id", "left_semi").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("WITH p(label_id) AS (VALUES ('1_001'), ('4_001'), ('4_002')), s(label_id) AS (VALUES ('4_001'), ('9_001')) SELECT label_id, 'deselected' AS change FROM p ANTI JOIN s USING (label_id) UNION ALL SELECT label_id, 'added' FROM s ANTI JOIN p USING (label_id)")
-def jn18_selection_changes(spark: SparkSession, d: str) -> DataFrame:
-    made = routes.parse({"route": "categories", "candidates": ["1_001", "4_001", "4_002"]}, set(SCOPE))
-    gone, new = routes.changes(made, routes.from_selection(made, ["4_001", "9_001"], set(SCOPE)))
-    return spark.createDataFrame([(x, "deselected") for x in gone] + [(x, "added") for x in new], "label_id string, change string")
-
-
 def _rulings(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part", F.col("p_partkey").cast("string").alias("pair_key"), F.element_at(F.array(*map(F.lit, rulings.VERDICTS)), (F.col("p_size") % 3 + 1).cast("int")).alias("verdict"), F.when(F.col("p_partkey") % 10 == 0, "same").alias("override"), F.col("p_brand").alias("species"), (F.col("p_partkey") % 3).alias("g"))
 
@@ -475,12 +344,215 @@ def tx19_parse_rulings(spark: SparkSession, d: str) -> DataFrame:
     return rulings.parse(replies, pairs.withColumn("pair_key", F.concat(F.lit("k"), "number", F.lit(":"), "batch"))).select("pair_key", "verdict")
 
 
-@query()
+# ---- reviews, pairs, incremental runs --------------------------------------------------------------------------------------------
+
+EDITS = [
+    {"op": "merge", "from": "4_001", "into": "4_003"}, {"op": "merge", "from": "4_001", "into": "4_002"}, {"op": "merge", "from": "9_001", "into": "9_002"}, {"op": "delete", "label_id": "1_001"},
+    {"op": "add_parent", "parent_id": "4_P90", "name": "Reviewed"}, {"op": "reparent", "label_id": "4_003", "parent_id": "4_P90"}, {"op": "rename", "label_id": "4_003", "name": "Renamed"},
+    {"op": "rename", "parent_id": "4_P90", "name": "Checked"}, {"op": "add_label", "label_id": "4_900", "parent_id": "4_P90", "name": "Added"}, {"op": "reparent", "label_id": "4_004", "parent_id": None},
+]
+
+
+def _review(spark: SparkSession, d: str) -> review.Review:
+    t = _named_taxonomy(spark, d)
+    parents = t.select("parent_id", F.concat(F.lit("Parent "), "parent_id").alias("name")).distinct()
+    return review.Review.of(t.withColumn("name", F.coalesce("name", F.lit("unnamed"))), parents).apply(EDITS)
+
+
+@query(f"WITH {C}, {M}, y AS (SELECT response_key, question_id, CASE WHEN label_id IN ('4_001', '4_003') THEN '4_002' WHEN label_id = '9_001' THEN '9_002' ELSE label_id END AS l FROM m WHERE label_id <> '1_001') SELECT l AS label_id, CAST(count(DISTINCT response_key) AS BIGINT) AS n FROM y GROUP BY 1")
+def tx07_apply_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Merges, one of them of a merged label, and a deletion; counts come from the united members."""
+    c = _review(spark, d).assignments(corpus(spark, d, "label_ids", "uncategorized"))
+    return c.select("response_key", F.explode("label_ids").alias("label_id")).groupBy("label_id").agg(F.count_distinct("response_key").alias("n"))
+
+
+@query(
+    f"WITH {_NT} SELECT label_id, CASE WHEN label_id = '4_002' THEN '4_P90' WHEN label_id = '4_004' THEN NULL ELSE parent_id END AS parent_id, CASE WHEN label_id = '4_002' THEN 'Renamed' ELSE coalesce(name, 'unnamed') END AS name, "
+    "CASE WHEN label_id = '4_002' THEN 'Checked' WHEN label_id = '4_004' THEN NULL ELSE 'Parent ' || parent_id END AS parent_name FROM nt WHERE label_id NOT IN ('4_001', '4_003', '9_001', '1_001') UNION ALL SELECT '4_900', '4_P90', 'Added', 'Checked'"
+)
+def tx07_edited_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    """Renames, new parents, reparenting and new labels; an edit of a merged label means the one it went to."""
+    return _review(spark, d).taxonomy(spark).drop("description")
+
+
+@query("WITH e AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events), m AS (SELECT event_id, 'a_hot' AS l FROM e WHERE k < 50 UNION ALL SELECT event_id, 'b_warm' FROM e WHERE k < 60 UNION ALL SELECT event_id, 'c_all' FROM e WHERE k < 95 UNION ALL SELECT event_id, 'd_odd' FROM e WHERE k % 10 = 1 UNION ALL SELECT event_id, 'e_far' FROM e WHERE k >= 97) SELECT 'merge' AS op, l AS label_id, 'c_all' AS \"into\" FROM (VALUES ('a_hot'), ('b_warm')) v(l) UNION ALL SELECT 'merge', 'g_twin', 'e_far' UNION ALL SELECT 'delete', 'f_none', NULL")
+def tx08_suggested_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Categories made of event properties: two inside a third of their parent, one of another parent inside it too, one without members, one of a used name."""
+    k = F.col("k")
+    e = read(spark, d, "events", F.col("event_id").cast("string").alias("response_key"), F.from_json("props", "k int")["k"].alias("k"))
+    made = (("a_hot", k < 50), ("b_warm", k < 60), ("c_all", k < 95), ("d_odd", k % 10 == 1), ("e_far", k >= 97))
+    ids = F.array_compact(F.array(*[F.when(c, n) for n, c in made]))
+    members = e.select("response_key", F.explode(ids).alias("label_id"))
+    t = [(1, "a_hot", "p", "hot"), (1, "b_warm", "p", "warm"), (1, "c_all", "p", "all"), (1, "d_odd", "q", "odd"), (1, "e_far", "p", "far"), (1, "f_none", "p", "none"), (1, "g_twin", "q", "Far!")]
+    return review.suggested_edits(spark.createDataFrame(t, "question_id long, label_id string, parent_id string, name string"), members)
+
+
+_PLACE = "SELECT response_key, label_id, place FROM (SELECT response_key, unnest(label_ids) AS label_id, CASE WHEN len(locations) > 0 THEN locations[1] END AS place FROM c)"
+
+
+def _quotes(spark: SparkSession, d: str) -> DataFrame:
+    return corpus(spark, d, "label_ids", "locations").select("response_key", F.explode("label_ids").alias("label_id"), F.get("locations", F.lit(0)).alias("location"))
+
+
+@query(f"WITH {C}, q AS ({_PLACE}) SELECT coalesce(place, 'no place named') AS group_name, CAST(count(*) AS BIGINT) AS n FROM q GROUP BY 1")
+def tx17_sources_by_place(spark: SparkSession, d: str) -> DataFrame:
+    return tallies.sources(_quotes(spark, d), _named_taxonomy(spark, d), by_place=True)
+
+
+@query(f"WITH {_NT}, q AS ({_PLACE}) SELECT coalesce(name, q.label_id) AS group_name, CAST(count(*) AS BIGINT) AS n FROM q LEFT JOIN nt USING (label_id) GROUP BY 1")
+def tx17_sources_by_category(spark: SparkSession, d: str) -> DataFrame:
+    return tallies.sources(_quotes(spark, d), _named_taxonomy(spark, d), by_place=False)
+
+
+@query(f"WITH {_NT}, h(heading) AS (VALUES ('Large brushed rings'), ('Small bolts'), ('Nothing of the sort')), k AS (SELECT question_id, label_id, {_tokens_sql('name', PLAN_STOPWORDS)} AS t FROM nt WHERE name IS NOT NULL), g AS (SELECT heading, {_tokens_sql('heading', PLAN_STOPWORDS)} AS g FROM h), s AS (SELECT question_id, heading, label_id, len(list_intersect(t, g)) AS i, len(list_distinct(list_concat(t, g))) AS u FROM g, k WHERE len(list_intersect(t, g)) > 0) SELECT question_id, heading, label_id FROM s WHERE 100 * i > 34 * u QUALIFY row_number() OVER (PARTITION BY question_id, heading ORDER BY i / u DESC, label_id) = 1")
+def tx16_heading_match(spark: SparkSession, d: str) -> DataFrame:
+    """Each of a few headings with the category of most similar name of every question, similarity above 0.34."""
+    heads = spark.createDataFrame([("Large brushed rings",), ("Small bolts",), ("Nothing of the sort",)], "heading string")
+    return taxonomy.headings(heads, _named_taxonomy(spark, d).where("name IS NOT NULL"))
+
+
+_COUNTED = f"{_NT}, n AS (SELECT label_id, count(*) AS n FROM m GROUP BY 1), o AS (SELECT nt.question_id, nt.label_id, nt.name, coalesce(n.n, 0) AS n, len(coalesce(nt.name, '')) % 5 AS score FROM nt LEFT JOIN n USING (label_id) WHERE nt.name IS NOT NULL)"
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    n = _members(spark, d).groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
+    return _named_taxonomy(spark, d).where("name IS NOT NULL").join(n, "label_id", "left").na.fill(0, ["n"]).withColumn("score", F.length("name") % 5)
+
+
+@query(f"WITH {_COUNTED} SELECT question_id, label_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY n DESC, lower(name), label_id) AS INT) AS by_name, CAST(row_number() OVER (PARTITION BY question_id ORDER BY n DESC, label_id) AS INT) AS by_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, label_id) AS INT) AS by_score FROM o")
+def wn15_orderings(spark: SparkSession, d: str) -> DataFrame:
+    """All three orders."""
+    out = _counted(spark, d)
+    for how in taxonomy.ORDERS:
+        out = taxonomy.ordering(out, how, ["question_id"]).withColumnRenamed("rank", f"by_{how}")
+    return out.select("question_id", "label_id", *[f"by_{how}" for how in taxonomy.ORDERS])
+
+
+@query("SELECT n, string_agg(DISTINCT CAST(i * n // least(7, n) AS VARCHAR), ',' ORDER BY CAST(i * n // least(7, n) AS VARCHAR)) AS picks FROM (SELECT DISTINCT p_size AS n FROM part), range(0, 7) t(i) WHERE i < least(7, n) GROUP BY 1")
+def wn16_spread_indices(spark: SparkSession, d: str) -> DataFrame:
+    sizes = read(spark, d, "part", F.col("p_size").alias("n")).distinct()
+    return sizes.select("n", F.array_join(F.array_sort(F.transform(sampling.spread_positions(F.col("n"), 7), lambda x: x.cast("string"))), ",").alias("picks"))
+
+
+@query("WITH a AS (SELECT DISTINCT respondent_key, field, trim(value) AS value FROM respondents) SELECT field, value, CAST(count(DISTINCT respondent_key) AS BIGINT) AS n FROM a WHERE (field = 'Age band' AND value IN ('18-24', '25-34')) OR (field = 'Tenure' AND value = 'Rent') GROUP BY ALL")
+def ev08_checked_demographics(spark: SparkSession, d: str) -> DataFrame:
+    """A filter as it was asked for, with blanks; an unknown value would raise."""
+    a = attributes(spark, d)
+    clean = filters.check_demographics(a, {"Age band": ["18-24", "", "25-34"], "Tenure": ["Rent", " "], "District": []})
+    asked = spark.createDataFrame([(f, v) for f, vs in clean.items() for v in vs], "field string, value string")
+    return tallies.attribute_counts(a.join(asked, ["field", "value"], "left_semi"))
+
+
+_PROPOSED = "p AS (SELECT question_id, label_id FROM t WHERE CAST(split_part(label_id, '_', 2) AS INT) % 3 <> 0), s AS (SELECT question_id, label_id FROM t WHERE CAST(split_part(label_id, '_', 2) AS INT) % 4 <> 0)"
+
+
+@query(f"WITH {C}, {M}, {T}, {_PROPOSED} SELECT question_id, label_id, 'deselected' AS change FROM p ANTI JOIN s USING (question_id, label_id) UNION ALL SELECT question_id, label_id, 'added' FROM s ANTI JOIN p USING (question_id, label_id)")
+def jn18_selection_changes(spark: SparkSession, d: str) -> DataFrame:
+    t = corpora.taxonomy(corpus(spark, d, "dataset_id", "question_id", "label_ids"))
+    number = F.split("label_id", "_")[1].cast("int")
+    return routes.changed_labels(t.where(number % 3 != 0), t.where(number % 4 != 0), ["question_id"])
+
+
+@query(
+    f"WITH {_OVER}, {T}, nt AS (SELECT t.*, p.p_name AS name FROM t LEFT JOIN part p ON p.p_partkey = CAST(split_part(label_id, '_', 2) AS BIGINT) * 3 % 97 + 1), k AS (SELECT question_id, label_id, {_tokens_sql('name', REVIEW_STOPWORDS)} AS t FROM nt WHERE name IS NOT NULL), g AS (SELECT label_id, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 5), "
+    "y AS (SELECT a.question_id, a.label_id AS label_a, b.label_id AS label_b, len(list_intersect(a.t, b.t)) AS i, len(list_distinct(list_concat(a.t, b.t))) AS u FROM k a JOIN k b ON a.question_id = b.question_id AND a.label_id < b.label_id), z AS (SELECT * FROM y WHERE i > 0 AND 100 * i >= 40 * u), "
+    "w AS (SELECT o.label_a, o.label_b, o.shared, least(ga.n, gb.n) AS s, ka.question_id FROM o JOIN g ga ON ga.label_id = label_a JOIN g gb ON gb.label_id = label_b JOIN k ka ON ka.label_id = label_a JOIN k kb ON kb.label_id = label_b AND kb.question_id = ka.question_id WHERE 100 * o.shared >= 40 * least(ga.n, gb.n)), "
+    "f AS (SELECT coalesce(z.question_id, w.question_id) AS question_id, coalesce(z.label_a, w.label_a) AS label_a, coalesce(z.label_b, w.label_b) AS label_b, coalesce(i, 0) AS i, coalesce(u, 0) AS u, coalesce(shared, 0) AS shared, coalesce(s, 0) AS s FROM z FULL JOIN w ON z.label_a = w.label_a AND z.label_b = w.label_b) "
+    "SELECT question_id, label_a, label_b, CAST(row_number() OVER (PARTITION BY question_id ORDER BY greatest(CASE WHEN u > 0 THEN i / u ELSE 0 END, CASE WHEN s > 0 THEN shared / s ELSE 0 END) DESC, label_a, label_b) AS INT) AS rank FROM f QUALIFY rank <= 8"
+)
+def jn11_duplicate_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """By name or by members, the eight closest pairs of a question."""
+    return taxonomy.duplicate_candidates(_named_taxonomy(spark, d).where("name IS NOT NULL"), _members(spark, d)).select("question_id", "label_a", "label_b", "rank")
+
+
+_ITEMS = f"WITH {_NT}, k AS (SELECT question_id, parent_id, label_id, {_tokens_sql('name', PLAN_STOPWORDS)} AS t FROM nt WHERE name IS NOT NULL), p AS (SELECT a.label_id AS label_a, b.label_id AS label_b, a.question_id AS qa, b.question_id AS qb, a.parent_id AS ca, b.parent_id AS cb, len(list_intersect(a.t, b.t)) AS i, len(list_distinct(list_concat(a.t, b.t))) AS u FROM k a JOIN k b ON a.label_id < b.label_id)"
+_SPECIES_SQL = {"category": "qa <> qb", "category_sameq": "qa = qb", "subtheme_xcat": "qa = qb AND ca <> cb", "subtheme_xq": "qa <> qb"}
+
+
+@query(_ITEMS + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT label_a, label_b, '{s}' AS species, CAST(i AS INT) AS n_shared, CAST(u AS INT) AS n_union, (label_a = '4_001' AND label_b = '4_009') OR (label_a = '1_001' AND label_b = '4_001') AS forced FROM p WHERE ({w}) AND ((i > 0 AND 100 * i >= 40 * u) OR (label_a = '4_001' AND label_b = '4_009') OR (label_a = '1_001' AND label_b = '4_001'))" for s, w in _SPECIES_SQL.items()) + ")")
+def jn12_nominated_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All four species, with two pairs forced."""
+    items = _named_taxonomy(spark, d).where("name IS NOT NULL").withColumnRenamed("parent_id", "category_id")
+    forced = spark.createDataFrame([("4_009", "4_001"), ("1_001", "4_001")], "label_a string, label_b string")
+    out = [taxonomy.nominate(items, s, 40, forced) for s in taxonomy.SPECIES]
+    whole = out[0]
+    for one in out[1:]:
+        whole = whole.unionByName(one)
+    return whole
+
+
+@query(f"WITH {C}, {M}, x AS (SELECT DISTINCT question_id, label_id, CAST(split_part(response_key, ':', 3) AS INT) // 50 AS chunk FROM m), s AS (SELECT question_id, label_id AS name, count(*) AS chunk_support, CASE WHEN CAST(split_part(label_id, '_', 2) AS INT) % 4 > 0 THEN 'Theme ' || CAST(split_part(label_id, '_', 2) AS INT) % 4 END AS parent FROM x GROUP BY ALL), d AS (SELECT DISTINCT question_id, parent FROM s WHERE parent IS NOT NULL), q AS (SELECT *, question_id || '_P' || lpad(CAST(row_number() OVER (PARTITION BY question_id ORDER BY parent) AS VARCHAR), 2, '0') AS parent_id FROM d) SELECT s.question_id, s.question_id || '_' || lpad(CAST(row_number() OVER (PARTITION BY s.question_id ORDER BY chunk_support DESC, name) AS VARCHAR), 3, '0') AS label_id, name, parent_id, CAST(chunk_support AS BIGINT) AS chunk_support, chunk_support = 1 AS singleton, chunk_support = 1 AS needs_review FROM s LEFT JOIN q ON q.question_id = s.question_id AND q.parent = s.parent")
+def tx06_assemble_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    """Ids by support and name, parents by name, labels without a theme left to review."""
+    m = _members(spark, d).withColumn("chunk", F.floor(F.split("response_key", ":")[2].cast("int") / 50))
+    labels = m.groupBy("question_id", F.col("label_id").alias("name")).agg(F.count_distinct("chunk").alias("chunk_support"))
+    theme = F.split("name", "_")[1].cast("int") % 4
+    return taxonomy.assemble(labels.withColumn("parent", F.when(theme > 0, F.concat(F.lit("Theme "), theme.cast("string")))), 5)
+
+
+_BLANKS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"  # what Python takes for blanks
+
+
+def _line_numbers(user: str) -> list[tuple[int, str]]:
+    return [(int(n), t) for n, _, t in (line.partition("\t") for line in user.splitlines())]
+
+
+def _label_by_length(system: str, user: str) -> str:
+    """A stand-in that labels by the length of a text; what is divisible by five has no category, until there is an incremental one."""
+    import json
+
+    rows = [{"n": n, "label_ids": [] if len(t) % 5 == 0 else ["1" if len(t) % 2 else "2"], "uncategorized": len(t) % 5 == 0, "fit": 3} for n, t in _line_numbers(user)]
+    return json.dumps({"results": rows})
+
+
+def _propose_by_length(system: str, user: str) -> str:
+    """A stand-in that proposes one category for all it sees, one under a known name, and cites a number that is not there."""
+    import json
+
+    shown = [n for n, _ in _line_numbers(user)]
+    return json.dumps({"candidates": [{"name": "Left over", "description": "all", "include": ["x"], "evidence": [*shown[:3], 9999]}, {"name": "Known Label", "evidence": shown[:1]}, {"name": " "}]})
+
+
+@query(
+    f"WITH {C}, r AS (SELECT question_id, response_key, trim(regexp_replace(response_text, '{_BLANKS}', ' ', 'g')) AS t, uncategorized FROM c WHERE response_text IS NOT NULL), n AS (SELECT count(*) FILTER (uncategorized IS NULL) AS n FROM r) "
+    "SELECT question_id, CASE WHEN uncategorized IS NOT NULL THEN 'kept' WHEN length(t) % 5 = 0 THEN 'relabelled' ELSE 'labelled' END AS how, CAST(count(*) AS BIGINT) AS n FROM (SELECT question_id, uncategorized, t FROM r) GROUP BY ALL"
+)
 def tx10_incremental_run(spark: SparkSession, d: str) -> DataFrame:
-    """New responses labelled, the uncovered pool gathered, and the relabelled pool laid over both."""
-    c = corpus(spark, d, "question_id", "uncategorized", "fit")
-    fresh = labeling.never_labelled(c, corpora.coded(c)).withColumn("how", F.lit("labelled now"))
-    prior = corpora.coded(c).withColumn("how", F.lit("kept"))
-    whole = labeling.overlay(prior, fresh)
-    pool = whole.where(filters.is_uncovered(F.col("uncategorized"), F.col("fit"))).withColumn("how", F.lit("relabelled"))
-    return labeling.overlay(whole, pool).groupBy("question_id", "how").agg(F.count(F.lit(1)).alias("n"))
+    """New responses labelled, the uncovered pool given a proposed category and labelled again, all laid over the prior records."""
+    c = corpus(spark, d, "question_id", "response_text", "label_ids", "uncategorized", "fit").where("response_text IS NOT NULL")
+    rows = c.select("question_id", "response_key", F.col("response_text").alias("text"))
+    prior = corpora.coded(c).select("question_id", "response_key", "label_ids", "uncategorized", "fit")
+    labels = c.select("question_id").distinct().select("question_id", F.explode(F.array(F.lit("001"), F.lit("002"))).alias("n"))
+    known = labels.select("question_id", F.concat_ws("_", "question_id", "n").alias("label_id"), F.lit(None).cast("string").alias("parent_id"), F.when(F.col("n") == "001", "Known label").otherwise("Other label").alias("name"))
+    run = induction.run_incremental(rows, known, prior, labeling.EchoClient(_label_by_length), labeling.EchoClient(_propose_by_length))
+    return run.records.groupBy("question_id", "how").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH {C}, r AS (SELECT question_id, response_key, sha256('7:' || response_key) AS o FROM c WHERE response_text IS NOT NULL), k AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY o, response_key) - 1 AS pos, count(*) OVER (PARTITION BY question_id) AS n FROM r), b AS (SELECT question_id, pos % CAST(ceil(n / 120) AS BIGINT) AS batch, count(*) AS size FROM k GROUP BY ALL) "
+    "SELECT question_id, CAST(batch AS INT) AS batch, CAST(size AS BIGINT) AS n_responses, CAST(2 AS BIGINT) AS n_candidates, CAST(1 AS BIGINT) AS n_invalid, FALSE AS batch_failed FROM b"
+)
+def ml01_map_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """One call per seeded chunk of 120 responses of every question; what each chunk gave."""
+    rows = corpus(spark, d, "question_id", "response_text").where("response_text IS NOT NULL").select("question_id", "response_key", F.col("response_text").alias("text"))
+    got = induction.map_candidates(rows, ["question_id"], labeling.EchoClient(_propose_by_length))
+    return got.report.select("question_id", "batch", "n_responses", "n_candidates", "n_invalid", "batch_failed")
+
+
+@query(
+    f"WITH {C}, r AS (SELECT question_id, count(*) AS n FROM c WHERE response_text IS NOT NULL GROUP BY 1), l AS (SELECT question_id, unnest(['Known Label', 'Left over']) AS name, CAST(ceil(n / 120) AS BIGINT) AS k FROM r) SELECT question_id, name, k AS chunk_support, k = 1 AS singleton FROM l"
+)
+def ml01_induced_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of all chunks united by name into a first taxonomy."""
+    rows = corpus(spark, d, "question_id", "response_text").where("response_text IS NOT NULL").select("question_id", "response_key", F.col("response_text").alias("text"))
+    return induction.induce(rows, labeling.EchoClient(_propose_by_length))[0].select("question_id", "name", "chunk_support", "singleton")
+
+
+@query(f"WITH {C}, {M}, s AS (SELECT m.label_id, c.response_key, trim(regexp_replace(response_text, '{_BLANKS}', ' ', 'g')) AS t FROM m JOIN c USING (response_key) WHERE response_text IS NOT NULL) SELECT label_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (length(t) % 5 <> 0 AND length(t) % 2 = 1) AS BIGINT) AS first, CAST(count(*) FILTER (length(t) % 5 = 0) AS BIGINT) AS generic FROM s GROUP BY 1")
+def ml04_sub_label_run(spark: SparkSession, d: str) -> DataFrame:
+    """The members of every category labelled with two sub-themes of its own."""
+    c = corpus(spark, d, "dataset_id", "question_id", "response_text", "label_ids").where("response_text IS NOT NULL")
+    m = corpora.members(c).select("response_key", "label_id").join(c.select("response_key", F.col("response_text").alias("text")), "response_key")
+    subs = m.select("label_id").distinct().select("label_id", F.explode(F.array(F.lit("_s_1"), F.lit("_s_2"))).alias("s")).select("label_id", F.concat("label_id", "s").alias("sub_id"))
+    out = induction.sub_label(m, subs, labeling.EchoClient(_label_by_length))
+    return out.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.get("sub_ids", F.lit(0)).endswith("_s_1")).alias("first"), F.count_if(F.size("sub_ids") == 0).alias("generic"))

@@ -158,19 +158,12 @@ def pr05_encoding_repair(spark: SparkSession, d: str) -> DataFrame:
 _NA = ", ".join("'" + v.replace("'", "''") + "'" for v in text.NON_ANSWERS)
 
 
-@query(rf"WITH {C}, s AS (SELECT response_key, regexp_replace(lower(regexp_replace(response_text, '^\s+|\s+$', '', 'g')), '^[ \t.!?]+|[ \t.!?]+$', '', 'g') AS s FROM c WHERE response_text IS NOT NULL AND NOT regexp_matches(response_text, '[^\x00-\x7F]')) SELECT response_key, s = '' OR s IN ({_NA}) AS is_nonanswer FROM s")
+@query(rf"WITH {C}, s AS (SELECT response_key, regexp_replace(lower(regexp_replace(response_text, '^{_OUTER}|{_OUTER}$', '', 'g')), '^[ \t.!?]+|[ \t.!?]+$', '', 'g') AS s FROM c WHERE response_text IS NOT NULL) SELECT response_key, s = '' OR s IN ({_NA}) AS is_nonanswer FROM s")
 def pr06_nonanswers(spark: SparkSession, d: str) -> DataFrame:
-    """Plain ASCII texts, as the two engines differ on what else is white space."""
-    c = corpus(spark, d, "response_text").where(F.col("response_text").isNotNull() & ~F.col("response_text").rlike(r"[^\x00-\x7F]"))
+    c = corpus(spark, d, "response_text").where("response_text IS NOT NULL")
     return c.select("response_key", text.is_nonanswer(F.col("response_text")).alias("is_nonanswer"))
 
 
-@query()
-def pr06_nonanswers_all(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus(spark, d, "question_id", "response_text").where("response_text IS NOT NULL")
-    return c.groupBy("question_id").agg(F.count_if(text.is_nonanswer(F.col("response_text"))).alias("n_nonanswers"))
-
-
 @query(
     f"WITH {_WIDE}, l AS (SELECT dataset_id, row_index, source_column, v FROM (SELECT dataset_id, row_index, district, age_band, submitted FROM w) UNPIVOT INCLUDE NULLS (v FOR source_column IN (district, age_band, submitted))) "
     "SELECT dataset_id, source_column, CAST(count(*) FILTER (trim(v) <> '') AS BIGINT) AS n_filled, coalesce(string_agg(v, '|' ORDER BY row_index) FILTER (trim(v) <> '' AND row_index < 5), '') AS sample FROM l GROUP BY ALL"
@@ -239,10 +232,13 @@ def pr17_json_in_prose(spark: SparkSession, d: str) -> DataFrame:
 # ---- joins ---------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {C}, {A}, f AS (SELECT respondent_key, min(value) AS district FROM a WHERE field = 'District' GROUP BY 1) SELECT c.response_key, f.district FROM c LEFT JOIN f USING (respondent_key)")
-def jn01_left_attributes(spark: SparkSession, d: str) -> DataFrame:
-    f = attributes(spark, d).where("field = 'District'").groupBy("respondent_key").agg(F.min("value").alias("district"))
-    return corpus(spark, d, "respondent_key").join(f, "respondent_key", "left").select("response_key", "district")
+@query(f"WITH {C}, l AS (SELECT response_key, fit, actionability, row_number() OVER (PARTITION BY response_key ORDER BY run_id DESC) AS r FROM (SELECT response_key, fit, actionability, 'r2' AS run_id FROM c WHERE uncategorized IS NOT NULL AND source_row_index % 3 <> 0 UNION ALL SELECT response_key, 9, 'old', 'r1' FROM c WHERE source_row_index % 4 <> 0)) SELECT c.response_key, l.fit, l.actionability FROM c LEFT JOIN l ON l.response_key = c.response_key AND l.r = 1")
+def jn01_latest_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """Responses with the block of the later of two runs, null where neither covers one."""
+    c = corpus(spark, d, "source_row_index", "uncategorized", "fit", "actionability")
+    late = c.where("uncategorized IS NOT NULL AND source_row_index % 3 <> 0").select("response_key", "fit", "actionability", F.lit("r2").alias("run_id"))
+    early = c.where("source_row_index % 4 <> 0").select("response_key", F.lit(9).cast("long").alias("fit"), F.lit("old").alias("actionability"), F.lit("r1").alias("run_id"))
+    return corpora.with_labels(c.select("response_key"), late.unionByName(early)).select("response_key", "fit", "actionability")
 
 
 @query(f"WITH {C}, {A}, f AS (SELECT respondent_key, min(coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y'))) AS day FROM a WHERE field = 'Survey date' GROUP BY 1) SELECT c.response_key, strftime(f.day, '%Y-%m-%d') AS day FROM c LEFT JOIN f USING (respondent_key)")
