@@ -1,8 +1,12 @@
 import json
+import threading
+import time
 
 import pytest
 
-from voxframe.engine import Engine
+from voxframe.__main__ import main
+from voxframe.engine import Busy as Busy_
+from voxframe.engine import Engine, Memo
 from voxframe.models import stages
 from voxframe.models.client import Busy, CannedClient, RetryingClient
 from voxframe.plans import render, route
@@ -32,7 +36,14 @@ def test_upload_append_ask_delete(spark, tmp_path):
     blocks = e.answer(1, r)
     assert blocks["unique"].first().n_unique == 1 and blocks["denominators"].first().n == 1
     assert e.cache_key(1, "What's up?") == e.cache_key(1, "whats up") != e.cache_key(1, "other")
-    assert e.deletion_preview(1)["files"] > 4
+    assert [q["n_rows"] for q in e.questions(1)] == [3, 5]
+    before = e.cache_key(1, "What's up?")
+    assert e.cached_answer(1, before, lambda: {"text": "first"}) == ({"text": "first"}, False) and e.cached_answer(1, before, lambda: {"text": "second"}) == ({"text": "first"}, True)
+    e.label(1, spark.createDataFrame([("1:2:2", ["2_001"], False, "specific")], "response_key string, label_ids array<string>, uncategorized boolean, actionability string"), "r3")
+    assert e.cache_key(1, "What's up?") != before
+    assert e.context(1)["labelled"] == 2
+    preview = e.deletion_preview(1)[str(tmp_path / "root")]
+    assert preview["files"] > 4 and preview["bytes"] > 100
     with pytest.raises(ValueError):
         e.delete(1, "wrong")
     e.delete(1, "City")
@@ -42,6 +53,97 @@ def test_upload_append_ask_delete(spark, tmp_path):
         e.upload(first, "City", ["no such"])
 
 
+def test_any_file_system(spark, tmp_path):
+    """A root with a scheme is the same place."""
+    e = Engine(spark, f"file://{tmp_path}/root", roots=(f"file://{tmp_path}/other",))
+    e.upload(write(tmp_path / "one.csv", ["1,More parks,Dark streets,D1"]), "City", ["better_city"], [], "respondent_id")
+    e.files.write_json({"micro_usd": 7}, f"{tmp_path}/other/1/runs/r1/manifest.json")
+    assert [d["name"] for d in Engine(spark, f"{tmp_path}/root").datasets()] == ["City"]
+    assert e.deletion_preview(1)[f"file://{tmp_path}/other"] == {"files": 1, "bytes": e.files.walk(f"{tmp_path}/other")[0][1], "runs": 1, "micro_usd": 7}
+    e.reset(1, "City")
+    e.delete(1, "City")
+    assert e.datasets() == [] and not e.files.exists(f"{tmp_path}/other/1")
+
+
+def test_many_partitions_keep_file_order(spark, tmp_path):
+    rows = [(f"r{i}",) for i in range(300)]
+    e = Engine(spark, str(tmp_path))
+    got = e.hashed(spark.createDataFrame(rows, "a string").repartition(1).repartitionByRange(7, "a")).collect()
+    assert sorted(x.row_index for x in got) == list(range(300))
+
+
+def test_config_is_checked(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    assert e.config() == {} and e.put_config({"batch": 40, "label_model": "m"}) == {"batch": 40, "label_model": "m"}
+    assert e.put_config({"batch": None}) == {"label_model": "m"} == e.config()
+    for bad in ({"no": 1}, {"batch": 0}, {"batch": "x"}, {"label_model": " "}, {"batch": True}):
+        with pytest.raises(ValueError):
+            e.put_config({"seed": 3} | bad)
+    assert "seed" not in e.config()
+    runs = spark.createDataFrame([(1, "r1", 900, 100), (1, "r2", 500, 250), (2, "r1", 10, 5)], "question_id long, run_id string, amount long, base long")
+    assert e.recalibrate(runs) == {"amount": 500, "base": 250, "n_runs": 1}
+    assert e.recalibrate(runs.limit(0)) == {"amount": 500, "base": 250, "n_runs": 1}
+
+
+def test_one_job_at_a_time(spark, tmp_path):
+    e, go = Engine(spark, str(tmp_path)), threading.Event()
+    job = e.run_job(1, [stages.Stage("a", lambda: go.wait(20) and 1.0), stages.Stage("b", lambda: 2.0)], wait=False)
+    with pytest.raises(Busy_):
+        e.run_job(1, [])
+    assert e.run_job(2, [stages.Stage("c", lambda: 0.5)]).cost == 0.5
+    job.cancel()
+    go.set()
+    while job.is_active:
+        time.sleep(0.01)
+    assert [s["status"] for s in e.job(1).report()["stages"]] == ["done", "skipped"]
+    assert not e.run_job(1, []).is_active
+
+
+def test_a_memo_lasts_a_while():
+    now, made = [0.0], []
+    m = Memo(120, lambda: now[0])
+    make = lambda: made.append(1) or len(made)
+    assert m.get("k", make) == m.get("k", make) == 1
+    now[0] = 121
+    assert m.get("k", make) == 2 and m.get("other", make) == 3
+    m.forget()
+    assert m.get("k", make) == 4
+
+
+def test_second_round_of_deduplication():
+    """Labels of different batches meet, whatever their number."""
+    labels = [stages.Label(f"n{i}") for i in range(9)]
+    seen = []
+
+    class Client:
+        def complete(self, system, user):
+            seen.append(user.count("\n") + 1)
+            return json.dumps({"groups": [{"name": "all", "members": list(range(1, seen[-1] + 1))}]} if len(seen) == 4 else {"groups": []})
+
+    got = stages.dedup_theme(Client(), "t", labels, batch=3)
+    assert seen == [3, 3, 3, 9] and [x.name for x in got] == ["all"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    root = str(tmp_path / "root")
+    path = write(tmp_path / "one.csv", ["1,More parks,Dark streets,D1", "2,Lower rent,,D2"])
+    main(["--root", root, "upload", path, "--name", "City", "--question", "better_city", "--attribute", "district", "--respondent", "respondent_id"])
+    main(["--root", root, "questions", "1"])
+    main(["--root", root, "config", "batch=30"])
+    main(["--root", root, "induce", "1", "--client", "voxframe.models.client:FirstWords"])
+    main(["--root", root, "label", "1", "--client", "voxframe.models.client:FirstWords"])
+    (tmp_path / "edits.json").write_text(json.dumps([{"op": "rename", "label_id": "1_001", "name": "Renamed"}]))
+    main(["--root", root, "review", "1", "--edits", str(tmp_path / "edits.json")])
+    (tmp_path / "route.json").write_text(json.dumps({"candidates": ["1_001"]}))
+    main(["--root", root, "ask", "1", str(tmp_path / "route.json")])
+    for command in ("review", "summarize", "build-lexicon", "build-locations", "history"):
+        main(["--root", root, command, "1"])
+    main(["--root", root, "reset", "1", "--name", "City"])
+    main(["--root", root, "delete", "1", "--name", "City"])
+    out = capsys.readouterr().out
+    assert '"n_rows": 2' in out and '"batch": 30' in out and "Renamed" in out and "unique responses: 1" in out
+
+
 def test_retries_and_usage():
     waits = []
 

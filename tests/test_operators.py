@@ -220,37 +220,42 @@ def test_proper_nouns_like_python(spark):
     assert got == dict(want)
 
 
-class Unsteady:
-    """Fails on the first call of every prompt that holds a word, for good on another."""
+def unsteady(once, always):
+    """A client that fails on the first call of every prompt that holds a word, and for good on another; local, so that it reaches the workers by value."""
 
-    def __init__(self, once, always):
-        self.once, self.always, self.seen = once, always, set()
+    class Client:
+        def __init__(self):
+            self.seen = set()
 
-    def complete(self, system, user):
-        if self.always in user or (self.once in user and user not in self.seen):
-            self.seen.add(user)
-            raise RuntimeError("busy")
-        rows = [{"n": int(line.split("\t")[0]), "label_ids": ["1"], "fit": 3} for line in user.splitlines()]
-        return __import__("json").dumps({"results": rows, "candidates": [{"name": "One", "evidence": [1, 99]}]})
+        def complete(self, system, user):
+            import json
+
+            if always in user or (once in user and user not in self.seen):
+                self.seen.add(user)
+                raise RuntimeError("busy")
+            rows = [{"n": int(line.split("\t")[0]), "label_ids": ["1"], "fit": 3} for line in user.splitlines()]
+            return json.dumps({"results": rows, "candidates": [{"name": "One", "evidence": [1, 99]}]})
+
+    return Client()
 
 
 def test_label_run_sweeps_failed_batches(spark):
     rows = spark.createDataFrame([(1, f"1:1:{i:02d}", t) for i, t in enumerate(["good"] * 3 + ["once a", "once b", "never", "fine"])] + [(1, "1:1:99", None)], "question_id long, response_key string, text string")
     labels = spark.createDataFrame([(1, "1_001")], "question_id long, label_id string")
-    got = {x.response_key: x for x in induction.label_run(rows, labels, Unsteady("once", "never"), size=1).collect()}
+    got = {x.response_key: x for x in induction.label_run(rows, labels, unsteady("once", "never"), size=1).collect()}
     assert len(got) == 7 and all(x.label_ids == ["1_001"] and not x.batch_failed for k, x in got.items() if k != "1:1:05")
     assert got["1:1:05"].batch_failed and got["1:1:05"].label_ids == []
 
 
 def test_induction_discloses_failed_chunks(spark):
     rows = spark.createDataFrame([(1, f"1:1:{i:02d}", "never" if i == 3 else f"text {i}") for i in range(12)], "question_id long, response_key string, text string")
-    got = induction.map_candidates(rows, ["question_id"], Unsteady("once", "never"), size=4)
+    got = induction.map_candidates(rows, ["question_id"], unsteady("once", "never"), size=4)
     assert sorted((x.n_responses, x.n_candidates, x.n_invalid, x.batch_failed) for x in got.report.collect()) == [(4, 0, 0, True), (4, 1, 1, False), (4, 1, 1, False)]
     assert all(len(x.evidence) == 1 for x in got.candidates.collect())
-    taxonomy_, _ = induction.induce(rows, Unsteady("once", "never"), size=4)
+    taxonomy_, _ = induction.induce(rows, unsteady("once", "never"), size=4)
     assert [(x.label_id, x.name, x.chunk_support) for x in taxonomy_.collect()] == [("1_001", "One", 2)]
     with pytest.raises(induction.NothingInduced):
-        induction.map_candidates(rows, ["question_id"], Unsteady("once", "te"), size=4)
+        induction.map_candidates(rows, ["question_id"], unsteady("once", "te"), size=4)
 
 
 def test_incremental_run_outcomes(spark):

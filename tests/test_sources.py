@@ -3,6 +3,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from voxframe.sources.files import Files
 from voxframe.sources import readers, sinks
 from voxframe.streaming import append
 
@@ -53,12 +54,17 @@ def test_fixed_schema_and_lists(spark, tmp_path):
     assert all(p.read_bytes().startswith(b"\xef\xbb\xbf") for p in (tmp_path / "e.csv").glob("part-*.csv"))
 
 
-def test_json(tmp_path):
-    sinks.write_json({"a": "é"}, str(tmp_path / "x" / "a.json"))
-    sinks.append_jsonl({"a": 1}, str(tmp_path / "x" / "log.jsonl"))
-    sinks.append_jsonl({"a": 2}, str(tmp_path / "x" / "log.jsonl"))
-    assert (tmp_path / "x" / "log.jsonl").read_text().count("\n") == 2
-    assert [p.name for p in (tmp_path / "x").iterdir() if p.suffix == ".part"] == []
+def test_json(spark, tmp_path):
+    files, place = Files(spark), str(tmp_path / "x")
+    files.write_json({"a": 1}, f"{place}/a.json")
+    files.write_json({"a": "é"}, f"{place}/a.json")
+    files.append_jsonl({"a": 1}, f"{place}/log.jsonl")
+    files.append_jsonl({"a": 2}, f"file://{place}/log.jsonl")
+    assert files.read_json(f"{place}/a.json") == {"a": "é"} and files.read_text(f"{place}/log.jsonl").count("\n") == 2
+    assert [p.rsplit("/", 1)[1] for p, _ in files.walk(place)] == ["a.json", "log.jsonl"]
+    sinks.answer_artifacts(files, place, "Dark [1]", {"route": "categories"})
+    assert files.read_text(f"{place}/answer.md") == "Dark [1]" and files.folders(str(tmp_path)) == ["x"] and files.modified(place) > 0 == files.modified(f"{place}/none")
+    assert files.delete(place) and not files.exists(place) and files.walk(place) == [] and files.folders(place) == []
 
 
 def test_runs_are_appended(spark, tmp_path):
@@ -69,17 +75,30 @@ def test_runs_are_appended(spark, tmp_path):
     assert runs.count() == 2 and readers.latest_run(runs, ["dataset_id", "question_id"]).first().run_id == "r2"
 
 
-def test_cache_misses_when_the_corpus_changes(spark, tmp_path):
+def test_cache_misses_when_anything_changes(spark, tmp_path):
     calls = []
 
     def build(c):
         calls.append(1)
-        return c
+        return c.withColumn("concept", F.lit("x"))
 
     c = spark.createDataFrame([("k1", "a"), ("k2", "b")], "k string, t string")
-    for frame, hit in ((c, False), (c.repartition(3), True), (c.limit(1), False)):
-        assert readers.cached_matches(spark, str(tmp_path), frame, "k", "t", "v1", build)[1] is hit
-    assert len(calls) == 2
+    x = {"x": ["one", "two"]}
+    for frame, version, concepts, hit in (
+        (c, "v1", x, False), (c.repartition(3), "v1", {"x": ["two", "one"]}, True), (c.limit(1), "v1", x, False), (c, "v2", x, False), (c, "v1", {"x": ["one"]}, False), (c, "v1", x | {"y": ["z"]}, False),
+    ):
+        assert readers.cached_matches(spark, str(tmp_path), frame, "k", "t", version, concepts, build)[1] is hit
+    assert len(calls) == 5
+    assert readers.cached_matches(spark, str(tmp_path), c, "k", "t", "v1", {"w": ["one"]}, build)[1] is False
+    assert readers.cached_matches(spark, str(tmp_path), c, "k", "t", "v1", {"w": ["one"]}, build)[1] is False  # what is stored names a concept nobody has
+
+
+def test_what_is_stored_is_not_taken_for_nothing(spark, tmp_path):
+    (tmp_path / "held").mkdir()
+    (tmp_path / "held" / "part.parquet").write_text("no parquet")
+    rows = spark.createDataFrame([(1, 1, 0, "a")], append.ROW)
+    with pytest.raises(Exception, match="parquet|Parquet|PARQUET|FAILED_READ"):
+        append.append_new(rows, 1, str(tmp_path / "held"))
 
 
 def test_append_stream_is_a_multiset(spark, tmp_path):
@@ -104,6 +123,6 @@ def test_period_stream(spark, tmp_path):
     rows = [("2023-09-19", dt.datetime(2023, 10, 1)), ("9/20/2023", dt.datetime(2023, 10, 1)), ("2024-01-02", dt.datetime(2024, 1, 3))]
     spark.createDataFrame(rows, "d string, loaded timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("d string, loaded timestamp").parquet(str(tmp_path / "in"))
-    q = append.period_stream(stream, "d", "loaded", "quarter").writeStream.outputMode("complete").format("memory").queryName("periods").trigger(availableNow=True).start()
+    q = append.period_stream(stream, "d", "quarter").writeStream.outputMode("complete").format("memory").queryName("periods").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {r.period: r.n for r in spark.sql("SELECT period, sum(n) AS n FROM periods GROUP BY period").collect()} == {"2023 Q3": 2, "2024 Q1": 1}
+    assert {r.period: r.n for r in spark.table("periods").collect()} == {"2023 Q3": 2, "2024 Q1": 1}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import threading
 import time
@@ -71,3 +72,14 @@ class CannedClient:
     def complete(self, system: str, user: str) -> str:
         self.asked.append((system, user))
         return self.replies.pop(0) if len(self.replies) > 1 else self.replies[0]
+
+
+class FirstWords:
+    """A stand-in that needs no service: a category per first word of a text; it labels every text with the category of that number."""
+
+    def complete(self, system: str, user: str) -> str:
+        lines = [line.partition("\t") for line in user.splitlines()]
+        first = {t.split()[0].lower(): int(n) for n, _, t in lines if t.split()}
+        places = {w: i for i, w in enumerate(sorted(first), 1)}
+        results = [{"n": int(n), "label_ids": [str(places[t.split()[0].lower()])], "fit": 3} for n, _, t in lines if t.split()]
+        return json.dumps({"candidates": [{"name": w, "evidence": [n]} for w, n in sorted(first.items())], "results": results})

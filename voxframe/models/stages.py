@@ -59,10 +59,12 @@ def unite(labels: list[Label], name: str | None = None) -> Label:
 def vocabulary(document: dict, cap: int = 12) -> list[str]:
     """TX-02: theme names, each once, at most ``cap``; none at all is an error."""
     names = [str(t.get("name", "") if isinstance(t, dict) else t).strip() for t in document.get("themes") or []]
-    out = list({n.lower(): n for n in reversed([n for n in names if n])}.values())[::-1]
-    if not out:
+    first: dict[str, str] = {}
+    for n in filter(None, names):
+        first.setdefault(n.lower(), n)
+    if not first:
         raise BadReply("no themes")
-    return out[:cap]
+    return list(first.values())[:cap]
 
 
 def _groups(document: dict, n: int) -> list[tuple[str | None, list[int]]]:
@@ -86,14 +88,12 @@ def dedup(document: dict, labels: list[Label]) -> list[Label]:
 
 
 def dedup_theme(client: ModelClient, theme: str, labels: list[Label], batch: int = 60) -> list[Label]:
-    """TX-04, ML-02: one call, or with more than ``batch`` labels one per batch and a last one over what is left."""
+    """TX-04, ML-02: one call, or with more than ``batch`` labels one per batch and always a second round over all that is left, so that labels of
+    different batches meet whatever their number."""
     if len(labels) < 2:
         return labels
     if len(labels) > batch:
-        parts = [dedup_theme(client, theme, labels[i : i + batch], batch) for i in range(0, len(labels), batch)]
-        labels = [x for p in parts for x in p]
-        if len(labels) > batch:
-            return labels
+        labels = [x for i in range(0, len(labels), batch) for x in dedup_theme(client, theme, labels[i : i + batch], batch)]
     return dedup(ask_json(client, f"Group labels of one meaning. Theme: {theme}", numbered(labels)), labels)
 
 
@@ -232,27 +232,35 @@ class Stage:
 
 @dataclass
 class Job:
-    """API-03, API-09: stages one after the other; a failure or a cancellation skips the rest."""
+    """API-03, API-09: stages one after the other; a failure or a cancellation skips the rest, a stage that runs is not torn off."""
 
     stages: list[Stage] = field(default_factory=list)
     cancelled: bool = False
+    is_active: bool = False
 
     def start(self) -> Job:
-        stop = False
-        for s in self.stages:
-            if stop or self.cancelled:
-                s.status = "skipped"
-                continue
-            s.status = "running"
-            try:
-                s.cost = float(s.run() or 0)
-                s.status = "done"
-            except Exception as e:
-                s.status, stop = f"failed: {e}"[:160], True
+        self.is_active, stop = True, False
+        try:
+            for s in self.stages:
+                if stop or self.cancelled:
+                    s.status = "skipped"
+                    continue
+                s.status = "running"
+                try:
+                    s.cost = float(s.run() or 0)
+                    s.status = "done"
+                except Exception as e:
+                    s.status, stop = f"failed: {e}"[:160], True
+        finally:
+            self.is_active = False
         return self
 
+    def cancel(self) -> None:
+        self.cancelled = True
+
     @property
     def cost(self) -> float:
         return sum(s.cost for s in self.stages)
 
-
+    def report(self) -> dict:
+        return {"is_active": self.is_active, "cancelled": self.cancelled, "cost": self.cost, "stages": [{"name": s.name, "status": s.status, "cost": s.cost} for s in self.stages]}

@@ -136,6 +136,12 @@ def round_robin(members: DataFrame, cap: int = 6, by: str = "label_id", pool: st
     return picked.groupBy(by).agg(ordered.alias("examples"))
 
 
+def first_place(places: DataFrame, by: list[str], key: str = "response_key", place: str = "place") -> DataFrame:
+    """WN-07 where every place has room: each response once, under the place of its scope that most responses name; ties by name."""
+    sizes = places.groupBy(*by, place).agg(F.count_distinct(key).alias("_n"))
+    return places.join(sizes, [*by, place]).groupBy(*by, key).agg(F.min_by(place, F.struct(-F.col("_n"), F.col(place))).alias(place))
+
+
 def quote_once(picks: list[tuple[str, list[str]]], per_place: int) -> dict[str, list[str]]:
     """WN-07 (driver side, sampled quotes): a response is quoted once, under the place with most responses that still has room."""
     used: set[str] = set()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_FOLDERS: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -59,9 +61,31 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the application ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/voxframe-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone already: whoever owns the folder clears it
+        pass
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application keeps in the shared folder; results that were not written elsewhere can no longer be read."""
+    _remove(spark, _own_folder(spark))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh place for a query's own file in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}/{name}"
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def shared_table(df: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import corpus_fingerprint
+from ..functions.hashing import canonical_key, corpus_fingerprint
 from ..operators.estimate import newest_runs
 
 SUFFIXES = (".csv", ".xlsx", ".xls")
@@ -36,17 +37,20 @@ def check_upload(path: str) -> str:
     return suffix
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SC-01: every cell a string, blank cells blank (not null), line breaks inside quotes kept."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8", nullValue="\x00", emptyValue="")
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """SC-01: every cell a string, blank cells blank (not null), line breaks inside quotes kept.
+
+    A file whose cells hold line breaks can only be read by one task; without ``multiline`` a large file is split over many.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"', encoding="UTF-8", nullValue="\x00", emptyValue="")
     names = [c.lstrip("﻿") for c in df.columns]
     return df.toDF(*names).na.fill("")
 
 
-def read_wide(spark: SparkSession, path: str) -> DataFrame:
+def read_wide(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """SC-01, SC-02: a wide file by its suffix."""
     if check_upload(path) == ".csv":
-        return read_csv(spark, path)
+        return read_csv(spark, path, multiline)
     from .excel import read_excel
 
     return read_excel(spark, path)
@@ -101,12 +105,21 @@ def sub_members(sub_assignments: DataFrame, categories: DataFrame) -> DataFrame:
     return per.select("response_key", "label_id", F.explode("subs").alias("sub_id"))
 
 
-def cached_matches(spark: SparkSession, path: str, corpus: DataFrame, key: str, text: str, version: str, build) -> tuple[DataFrame, bool]:
-    """SC-13: a stored result is reused only while version and corpus are the ones it was made from; anything else is a miss."""
+def cached_matches(spark: SparkSession, path: str, corpus: DataFrame, key: str, text: str, version: str, concepts: dict[str, list[str]], build) -> tuple[DataFrame, bool]:
+    """SC-13: a stored result is reused only while version, corpus, concepts and the names in it are the ones it was made from; anything else is a miss.
+
+    The place carries the fingerprints of corpus and concepts; a result that holds a name no concept has is made anew.
+    """
     print_ = "-".join(str(v) for v in corpus_fingerprint(corpus, key, text).first())
-    place = f"{path.rstrip('/')}/{version}-{print_}"
+    sweep = canonical_key([[name, sorted(terms)] for name, terms in sorted(concepts.items())])
+    place = f"{path.rstrip('/')}/{version}-{sweep}-{print_}"
     try:
-        return spark.read.parquet(place), True
-    except Exception:
-        build(corpus).write.mode("overwrite").parquet(place)
-        return spark.read.parquet(place), False
+        stored = spark.read.parquet(place)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        if stored.where(~F.col("concept").isin(*concepts)).isEmpty():
+            return stored, True
+    build(corpus).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place), False

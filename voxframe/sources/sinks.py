@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import Files
 from .readers import CORPUS
 
 
@@ -62,29 +60,23 @@ def unmatched_keys(assignments: DataFrame, corpus: DataFrame) -> DataFrame:
     return assignments.select("response_key").distinct().join(corpus.select("response_key"), "response_key", "left_anti").agg(F.count(F.lit(1)).alias("n_unmatched"))
 
 
-def write_json(document: object, path: str) -> None:
-    """SK-05: written beside and moved into place, so a reader never sees half of it."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, part = tempfile.mkstemp(dir=target.parent, suffix=".part")
-    with os.fdopen(handle, "w", encoding="utf-8") as out:
-        json.dump(document, out, ensure_ascii=False, indent=1, sort_keys=True)
-    os.replace(part, target)
-
-
-def append_jsonl(document: object, path: str) -> None:
-    """SK-07: one line per answer or selection."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "a", encoding="utf-8") as out:
-        out.write(json.dumps(document, ensure_ascii=False, sort_keys=True) + "\n")
-
-
 def append_run(records: DataFrame, path: str, dataset_id: int, question_id: int, run_id: str) -> None:
     """SK-06: a run beside the earlier ones, never over them."""
     stamped = records.withColumns({"dataset_id": F.lit(dataset_id), "question_id": F.lit(question_id), "run_id": F.lit(run_id)})
     stamped.write.mode("append").partitionBy("dataset_id", "question_id", "run_id").parquet(path)
 
 
+def append_runs(records: DataFrame, path: str, run_id: str) -> None:
+    """SK-06 for records of many questions at once: a run beside the earlier ones, in folders by run and question."""
+    records.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id", "question_id").parquet(path)
+
+
+def answer_artifacts(files: Files, place: str, answer: str, manifest: dict) -> None:
+    """SK-07: the text of an answer, and beside it what it was made from (route, counts, quotes, checks), for whoever audits it."""
+    files.write_text(answer, f"{place.rstrip('/')}/answer.md")
+    files.write_json(manifest, f"{place.rstrip('/')}/manifest.json")
+
+
 def checkpoint_candidates(candidates: DataFrame, path: str) -> DataFrame:
     """SK-08: an induction's candidates, so that a broken run resumes after its expensive stage."""
     candidates.write.mode("overwrite").parquet(path)

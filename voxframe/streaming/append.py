@@ -6,10 +6,10 @@ with the stored multiplicities, and a replayed batch changes nothing.
 
 from __future__ import annotations
 
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.dates import bucket_label, parse_date
@@ -19,12 +19,21 @@ ROW = "dataset_id bigint, upload_id bigint, row_index bigint, row_hash string"
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    if Path(path).exists() or "://" in path:
-        try:
-            return spark.read.parquet(path)
-        except Exception:
-            pass
-    return spark.createDataFrame([], ROW + ", source_row_index bigint, batch_id bigint")
+    """What is held so far; only a path that is not there yet means nothing, any other failure is one."""
+    schema = T._parse_datatype_string(ROW + ", source_row_index bigint, batch_id bigint")
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], schema)
+
+
+def wave_numbers(rows: DataFrame) -> DataFrame:
+    """Rows (dataset_id, row_offset) with the number of their file in its dataset, ``wave`` from 1."""
+    files = rows.select("dataset_id", "row_offset").distinct()
+    numbered = files.withColumn("wave", F.row_number().over(Window.partitionBy("dataset_id").orderBy("row_offset")))
+    return rows.join(numbered, ["dataset_id", "row_offset"])
 
 
 def append_new(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -51,7 +60,9 @@ def unseen(stream: DataFrame, assignments: DataFrame) -> DataFrame:
     return stream.join(assignments.select(F.col("response_key").alias("_k")), F.col("response_key") == F.col("_k"), "left_anti")
 
 
-def period_stream(stream: DataFrame, date: str, loaded: str, granularity: str, late: str = "7 days") -> DataFrame:
-    """ST-04: responses per calendar period while they arrive; what is later than ``late`` on its loading time is dropped."""
-    day = parse_date(F.col(date))
-    return stream.withWatermark(loaded, late).groupBy(F.window(loaded, "1 day"), bucket_label(day, granularity).alias("period")).agg(F.count(F.lit(1)).alias("n"))
+def period_stream(stream: DataFrame, date: str, granularity: str) -> DataFrame:
+    """ST-04: responses per calendar period while they arrive, one total each (write with output mode complete or update).
+
+    The state is one count per period, which is as many as a survey has quarters or months, so none ever needs to be dropped and no row is too late.
+    """
+    return stream.groupBy(bucket_label(parse_date(F.col(date)), granularity).alias("period")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PLAN_STOPWORDS, REVIEW_STOPWORDS
+from ..functions.text import PLAN_STOPWORDS, QUESTION_STOPWORDS, REVIEW_STOPWORDS
 from ..operators import corpus as corpora
 from ..operators import filters, induction, labeling, review, sampling, tallies, taxonomy
 from ..plans import compile as compiler
@@ -13,7 +13,7 @@ from ..plans import route as routes
 from ..plans import rulings
 from ..registry import query
 from .base import C, M, T, attributes, corpus, read
-from .counts import CONCEPTS, SCOPE
+from .counts import _TUPLE, CONCEPTS, SCOPE
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -125,10 +125,16 @@ def tx15_category_search(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.search(_named_taxonomy(spark, d), "ring").select("label_id", "rank")
 
 
-@query()
+_ASKED = "Which small rings and large bolts do residents mention?"
+
+
+@query(
+    f"WITH {_NT}, q AS (SELECT list_filter({_tokens_sql("'" + _ASKED + "'", PLAN_STOPWORDS)}, lambda w: w NOT IN ({', '.join(repr(w) for w in QUESTION_STOPWORDS)})) AS asked), h AS (SELECT label_id, list_intersect(asked, {_tokens_sql("concat_ws(' ', name, description)", PLAN_STOPWORDS)}) AS hits FROM nt, q WHERE name IS NOT NULL AND label_id NOT IN {_TUPLE}) "
+    "SELECT label_id, CAST(len(hits) AS INT) AS score FROM h WHERE len(hits) >= 2 OR len(list_filter(hits, lambda x: length(x) >= 5)) > 0 ORDER BY score DESC, label_id LIMIT 12"
+)
 def sf10_candidate_misses(spark: SparkSession, d: str) -> DataFrame:
-    entries = _named_taxonomy(spark, d).where("name IS NOT NULL")
-    return taxonomy.candidate_misses(entries, "Which small rings and large bolts do residents mention?", list(SCOPE))
+    """The twelve categories a question seems to ask for that nobody selected."""
+    return taxonomy.candidate_misses(_named_taxonomy(spark, d).where("name IS NOT NULL"), _ASKED, list(SCOPE))
 
 
 @query(f"WITH {C}, {M} SELECT label_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(response_text)) AS BIGINT) AS chars FROM m JOIN (SELECT response_key, CASE WHEN length(response_text) > 600 THEN rtrim(substr(response_text, 1, 600), ' ') || '…' ELSE response_text END AS response_text FROM c WHERE response_text IS NOT NULL) USING (response_key) GROUP BY 1")
@@ -263,9 +269,15 @@ def wn09_composite_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.composite_sample(_tagged(spark, d), 10, 7)
 
 
-@query()
+@query(
+    f"WITH {C}, {M}, s AS (SELECT a.label_id, a.response_key, b.label_id AS sub_id FROM m a JOIN m b ON a.response_key = b.response_key AND a.label_id <> b.label_id), n AS (SELECT label_id, sub_id, count(*) AS n FROM s GROUP BY ALL), "
+    "o AS (SELECT s.label_id, response_key, s.sub_id, n, sha256('7:' || response_key) AS o FROM s JOIN n ON n.label_id = s.label_id AND n.sub_id = s.sub_id QUALIFY row_number() OVER (PARTITION BY s.label_id, response_key ORDER BY n DESC, s.sub_id) = 1), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY label_id, sub_id ORDER BY o) <= 2 AS first FROM o), p AS (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY first DESC, n DESC, sub_id, o) AS p FROM r) SELECT label_id, response_key, sub_id, CASE WHEN first THEN 'stratum' ELSE 'fill' END AS reason FROM p WHERE p <= 10"
+)
 def wn10_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    rows = _tagged(spark, d).select("label_id", "response_key", F.explode("tags").alias("sub_id"))
+    """Strata are the labels a response has beside the one sampled for."""
+    m = _members(spark, d).select("response_key", "label_id")
+    rows = m.join(m.withColumnRenamed("label_id", "sub_id"), "response_key").where("label_id <> sub_id")
     return sampling.stratified_sample(rows, 10, 2, 7)
 
 

@@ -296,18 +296,29 @@ def jn08_three_table_join(spark: SparkSession, d: str) -> DataFrame:
 _FILES = "l AS (SELECT upload_id AS file_id, column_name, fingerprint FROM column_fingerprints WHERE upload_id % 2 = 0), r AS (SELECT upload_id, column_name, fingerprint FROM column_fingerprints WHERE upload_id % 2 = 1), q AS (SELECT DISTINCT file_id, upload_id FROM l JOIN r USING (fingerprint))"
 
 
-@query(
-    f"WITH {_FILES}, a AS (SELECT file_id, q.upload_id, column_name, fingerprint AS ff FROM l JOIN q USING (file_id)), b AS (SELECT file_id, q.upload_id, column_name, fingerprint AS sf FROM r JOIN q USING (upload_id)), n AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(a.upload_id, b.upload_id) AS upload_id, coalesce(a.column_name, b.column_name) AS column_name, ff, sf FROM a FULL JOIN b ON a.file_id = b.file_id AND a.upload_id = b.upload_id AND a.column_name = b.column_name), "
+_MATCHED = (
+    f"{_FILES}, a AS (SELECT file_id, q.upload_id, column_name, fingerprint AS ff FROM l JOIN q USING (file_id)), b AS (SELECT file_id, q.upload_id, column_name, fingerprint AS sf FROM r JOIN q USING (upload_id)), n AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(a.upload_id, b.upload_id) AS upload_id, coalesce(a.column_name, b.column_name) AS column_name, ff, sf FROM a FULL JOIN b ON a.file_id = b.file_id AND a.upload_id = b.upload_id AND a.column_name = b.column_name), "
     "x AS (SELECT file_id, upload_id, sf AS fp, row_number() OVER (PARTITION BY file_id, upload_id, sf ORDER BY column_name) AS k, column_name AS sn FROM n WHERE ff IS NULL), y AS (SELECT file_id, upload_id, ff AS fp, row_number() OVER (PARTITION BY file_id, upload_id, ff ORDER BY column_name) AS k, column_name AS fn FROM n WHERE sf IS NULL) "
     "SELECT file_id, upload_id, CASE WHEN ff = sf THEN 'matched' ELSE 'changed' END AS kind, column_name AS stored_name, column_name AS file_name FROM n WHERE ff IS NOT NULL AND sf IS NOT NULL UNION ALL "
     "SELECT coalesce(x.file_id, y.file_id), coalesce(x.upload_id, y.upload_id), CASE WHEN sn IS NULL THEN 'added' WHEN fn IS NULL THEN 'missing' ELSE 'renamed' END, coalesce(sn, ''), coalesce(fn, '') FROM x FULL JOIN y ON x.file_id = y.file_id AND x.upload_id = y.upload_id AND x.fp = y.fp AND x.k = y.k"
 )
+
+
+@query(f"WITH {_MATCHED}")
 def ag23_column_matches(spark: SparkSession, d: str) -> DataFrame:
     f = read(spark, d, "column_fingerprints", "upload_id", "column_name", "fingerprint")
     return matching.column_matches(f.where("upload_id % 2 = 0").withColumnRenamed("upload_id", "file_id"), f.where("upload_id % 2 = 1"))
 
 
-@query()
+_STEPS, _PAIRED = _MATCHED.split(" SELECT file_id, upload_id, CASE WHEN ff = sf", 1)
+_KINDS = ("matched", "changed", "renamed", "missing", "added")
+
+
+@query(
+    f"WITH {_STEPS}, mm AS (SELECT file_id, upload_id, CASE WHEN ff = sf{_PAIRED}), k AS (SELECT file_id, upload_id, " + ", ".join(f"CAST(count(*) FILTER (kind = '{x}') AS BIGINT) AS {x}" for x in _KINDS) + " FROM mm GROUP BY ALL), "
+    "lf AS (SELECT file_id, count(*) AS n FROM l GROUP BY 1), rf AS (SELECT upload_id, count(*) AS n FROM r GROUP BY 1) "
+    "SELECT k.*, CAST(lf.n AS BIGINT) AS n_file, CAST(rf.n AS BIGINT) AS n_stored, matched + renamed >= 2 AND 2 * (matched + renamed) >= greatest(lf.n, rf.n) AS is_alike FROM k JOIN lf USING (file_id) JOIN rf USING (upload_id)"
+)
 def jn09_column_report(spark: SparkSession, d: str) -> DataFrame:
     f = read(spark, d, "column_fingerprints", "upload_id", "column_name", "fingerprint")
     a, b = f.where("upload_id % 2 = 0").withColumnRenamed("upload_id", "file_id"), f.where("upload_id % 2 = 1")
