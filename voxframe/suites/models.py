@@ -526,8 +526,8 @@ def _propose_by_length(system: str, user: str) -> str:
 
 
 @query(
-    f"WITH {C}, r AS (SELECT question_id, response_key, trim(regexp_replace(response_text, '{_BLANKS}', ' ', 'g')) AS t, uncategorized FROM c WHERE response_text IS NOT NULL), n AS (SELECT count(*) FILTER (uncategorized IS NULL) AS n FROM r) "
-    "SELECT question_id, CASE WHEN uncategorized IS NOT NULL THEN 'kept' WHEN length(t) % 5 = 0 THEN 'relabelled' ELSE 'labelled' END AS how, CAST(count(*) AS BIGINT) AS n FROM (SELECT question_id, uncategorized, t FROM r) GROUP BY ALL"
+    f"WITH {C}, r AS (SELECT question_id, response_key, trim(regexp_replace(response_text, '{_BLANKS}', ' ', 'g')) AS t, uncategorized FROM c WHERE response_text IS NOT NULL), p AS (SELECT count(*) >= 20 AS enough FROM r WHERE uncategorized IS NULL AND length(t) % 5 = 0) "
+    "SELECT question_id, CASE WHEN uncategorized IS NOT NULL THEN 'kept' WHEN length(t) % 5 = 0 AND enough THEN 'relabelled' ELSE 'labelled' END AS how, CAST(count(*) AS BIGINT) AS n FROM r, p GROUP BY ALL"
 )
 def tx10_incremental_run(spark: SparkSession, d: str) -> DataFrame:
     """New responses labelled, the uncovered pool given a proposed category and labelled again, all laid over the prior records."""
