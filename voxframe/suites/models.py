@@ -358,20 +358,27 @@ def tx19_parse_rulings(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- reviews, pairs, incremental runs --------------------------------------------------------------------------------------------
 
-EDITS = [
-    {"op": "merge", "from": "4_001", "into": "4_003"}, {"op": "merge", "from": "4_001", "into": "4_002"}, {"op": "merge", "from": "9_001", "into": "9_002"}, {"op": "delete", "label_id": "1_001"},
-    {"op": "add_parent", "parent_id": "4_P90", "name": "Reviewed"}, {"op": "reparent", "label_id": "4_003", "parent_id": "4_P90"}, {"op": "rename", "label_id": "4_003", "name": "Renamed"},
-    {"op": "rename", "parent_id": "4_P90", "name": "Checked"}, {"op": "add_label", "label_id": "4_900", "parent_id": "4_P90", "name": "Added"}, {"op": "reparent", "label_id": "4_004", "parent_id": None},
-]
+def _edits(q: int, z: int) -> list[dict]:
+    """Every operation, over two questions; one merge is of a label merged already."""
+    return [
+        {"op": "merge", "from": f"{q}_001", "into": f"{q}_003"}, {"op": "merge", "from": f"{q}_001", "into": f"{q}_002"}, {"op": "merge", "from": f"{z}_001", "into": f"{z}_002"}, {"op": "delete", "label_id": f"{z}_003"},
+        {"op": "add_parent", "parent_id": "R1", "name": "Reviewed"}, {"op": "reparent", "label_id": f"{q}_003", "parent_id": "R1"}, {"op": "rename", "label_id": f"{q}_003", "name": "Renamed"},
+        {"op": "rename", "parent_id": "R1", "name": "Checked"}, {"op": "add_label", "label_id": f"{q}_900", "parent_id": "R1", "name": "Added"}, {"op": "reparent", "label_id": f"{q}_004", "parent_id": None},
+    ]
+
+
+_ENDS = "e AS (SELECT CAST(min(question_id) AS VARCHAR) AS q, CAST(max(question_id) AS VARCHAR) AS z FROM (SELECT question_id FROM t GROUP BY 1 HAVING count(*) >= 4))"
 
 
 def _review(spark: SparkSession, d: str) -> review.Review:
+    """The first and the last question of four labels or more, reviewed."""
     t = _named_taxonomy(spark, d)
+    ends = t.groupBy("question_id").count().where("count >= 4").agg(F.min("question_id"), F.max("question_id")).first()
     parents = t.select("parent_id", F.concat(F.lit("Parent "), "parent_id").alias("name")).distinct()
-    return review.Review.of(t.withColumn("name", F.coalesce("name", F.lit("unnamed"))), parents).apply(EDITS)
+    return review.Review.of(t.withColumn("name", F.coalesce("name", F.lit("unnamed"))), parents).apply(_edits(*ends))
 
 
-@query(f"WITH {C}, {M}, y AS (SELECT response_key, question_id, CASE WHEN label_id IN ('4_001', '4_003') THEN '4_002' WHEN label_id = '9_001' THEN '9_002' ELSE label_id END AS l FROM m WHERE label_id <> '1_001') SELECT l AS label_id, CAST(count(DISTINCT response_key) AS BIGINT) AS n FROM y GROUP BY 1")
+@query(f"WITH {C}, {M}, {T}, {_ENDS}, y AS (SELECT response_key, CASE WHEN label_id IN (q || '_001', q || '_003') THEN q || '_002' WHEN label_id = z || '_001' THEN z || '_002' ELSE label_id END AS l FROM m, e WHERE label_id <> z || '_003') SELECT l AS label_id, CAST(count(DISTINCT response_key) AS BIGINT) AS n FROM y GROUP BY 1")
 def tx07_apply_edits(spark: SparkSession, d: str) -> DataFrame:
     """Merges, one of them of a merged label, and a deletion; counts come from the united members."""
     c = _review(spark, d).assignments(corpus(spark, d, "label_ids", "uncategorized"))
@@ -379,8 +386,8 @@ def tx07_apply_edits(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_NT} SELECT label_id, CASE WHEN label_id = '4_002' THEN '4_P90' WHEN label_id = '4_004' THEN NULL ELSE parent_id END AS parent_id, CASE WHEN label_id = '4_002' THEN 'Renamed' ELSE coalesce(name, 'unnamed') END AS name, "
-    "CASE WHEN label_id = '4_002' THEN 'Checked' WHEN label_id = '4_004' THEN NULL ELSE 'Parent ' || parent_id END AS parent_name FROM nt WHERE label_id NOT IN ('4_001', '4_003', '9_001', '1_001') UNION ALL SELECT '4_900', '4_P90', 'Added', 'Checked'"
+    f"WITH {_NT}, {_ENDS} SELECT label_id, CASE WHEN label_id = q || '_002' THEN 'R1' WHEN label_id = q || '_004' THEN NULL ELSE parent_id END AS parent_id, CASE WHEN label_id = q || '_002' THEN 'Renamed' ELSE coalesce(name, 'unnamed') END AS name, "
+    "CASE WHEN label_id = q || '_002' THEN 'Checked' WHEN label_id = q || '_004' THEN NULL ELSE 'Parent ' || parent_id END AS parent_name FROM nt, e WHERE label_id NOT IN (q || '_001', q || '_003', z || '_001', z || '_003') UNION ALL SELECT q || '_900', 'R1', 'Added', 'Checked' FROM e"
 )
 def tx07_edited_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     """Renames, new parents, reparenting and new labels; an edit of a merged label means the one it went to."""
