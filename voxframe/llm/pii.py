@@ -304,8 +304,8 @@ def cued_candidates(text: str, cues: frozenset[int], sure: frozenset[str]) -> li
     return list(found.values())
 
 
-_NAMES = ("row_kind", "key", "places", "text_hash", "pii_kind", "begin", "end", "word", "other", "seeded", "cased", "contexts", "n", "slots", "streets")
-_SCHEMA = "row_kind string, key {kind}, places array<struct<field_name:string,shift:int>>, text_hash bigint, pii_kind string, begin int, `end` int, word string, other string, seeded boolean, cased boolean, contexts array<bigint>, n bigint, slots bigint, streets bigint"
+_NAMES = ("row_kind", "key", "places", "text_hash", "pii_kind", "begin", "end", "word", "other", "seeded", "cased", "contexts", "words", "n", "slots", "streets")
+_SCHEMA = "row_kind string, key {kind}, places array<struct<field_name:string,shift:int>>, text_hash bigint, pii_kind string, begin int, `end` int, word string, other string, seeded boolean, cased boolean, contexts array<bigint>, words array<string>, n array<bigint>, slots array<bigint>, streets array<bigint>"
 
 
 def _is_evidence(rest: str, begin: int, end: int, other: str | None) -> bool:
@@ -331,7 +331,7 @@ def _each(batch: dict[str, list], key: str, fields: tuple[str, ...], read) -> li
             if made:
                 h = xxhash.xxh3_64_intdigest(core) - (1 << 63)
                 # found in the restored text, reported where they stand
-                rows += [("span", k, where, h, kind, *((origin[b], origin[e]) if origin else (b, e)), *more, None, None, None) for kind, b, e, *more in made]
+                rows += [("span", k, where, h, kind, *((origin[b], origin[e]) if origin else (b, e)), *more, None, None, None, None) for kind, b, e, *more in made]
     return rows
 
 
@@ -376,9 +376,10 @@ def scan(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
             return made
 
         rows = _each(batch, key, fields, read)
-        none = (None,) * 6
-        rows += [("count", *none, w, None, None, None, None, n, slots[w], streets[w]) for w, n in total.items()]
-        rows += [("context", *none, None, None, None, None, [c], n, None, None) for c, n in seen.items()]
+        # one row for all counts of the batch, unpacked where they are summed
+        none, words = (None,) * 10, list(total)
+        rows.append(("count", *none, None, words, list(total.values()), [slots[w] for w in words], [streets[w] for w in words]))
+        rows.append(("context", *none, list(seen), None, list(seen.values()), None, None))
         return _columns(rows)
 
     return map_columns(df.select(key, *fields), run, _SCHEMA.format(kind=dict(df.dtypes)[key]))
@@ -475,11 +476,12 @@ def spans(df: DataFrame, key: str = "response_key", fields: tuple[str, ...] = FI
     """All spans of personal information: ``key, field_name, pii_kind, begin, end`` (end exclusive)."""
     made = shared_checkpoint(scan(df, key, fields))
     place = ["key", "places", "text_hash", "begin", "end"]
-    first = made.where("row_kind = 'count'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("slots").alias("slots"), F.sum("streets").alias("streets"))
+    counted = made.where("row_kind = 'count'").select(F.inline(F.arrays_zip(F.col("words").alias("word"), "n", "slots", "streets")))
+    first = counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("slots").alias("slots"), F.sum("streets").alias("streets"))
     first = shared_checkpoint(first)
     found = made.where("row_kind = 'span'")
     names = found.where("pii_kind = 'name'").select(*place, "word", "other", "seeded", "cased", "contexts")
-    totals = made.where("row_kind = 'context'").groupBy(F.col("contexts")[0].alias("c")).agg(F.sum("n").alias("n"))
+    totals = made.where("row_kind = 'context'").select(F.inline(F.arrays_zip(F.col("contexts").alias("c"), "n"))).groupBy("c").agg(F.sum("n").alias("n"))
     cues = learned_contexts(names, first, totals)
     # which candidates are introduced, by a seed or a learned context
     listed = F.array(*map(F.lit, cues)).cast("array<bigint>") if cues else F.array().cast("array<bigint>")
