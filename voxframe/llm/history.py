@@ -49,7 +49,7 @@ TEXT_FIELDS = ("answer_a", "answer_b")
 
 def points(rows: DataFrame, keys: list[str], cells: str = "cells", fields: tuple[str, ...] = TEXT_FIELDS, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row with enough words: keys and the hashes of its different words; expressions only, nothing leaves the JVM."""
-    parsed = F.from_json(F.col(cells), "map<string,string>")
+    parsed = F.from_json(F.col(cells), ", ".join(f"`{f}` string" for f in fields))
     text = F.concat_ws(" ", *[parsed[f] for f in fields])
     words = rows.select(*keys, F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0)).alias("_words")).where(F.size("_words") >= min_words)
     return words.select(*keys, F.array_sort(F.array_distinct(F.transform("_words", lambda w: F.xxhash64(w)))).alias("hashes"))
