@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import NON_WORD_PATTERN, WORD_PATTERN, map_columns, shared_checkpoint, spread
 
 MIN_WORDS = 20
@@ -198,28 +199,6 @@ def near_duplicates(
     return links, members
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``c, root``: every end of an edge (``a, b``) with the smallest end it is linked to, directly or not; a root itself is not listed.
-
-    Alternating stars: a round ties all larger neighbours of an end to its smallest one, then all smaller ones, so distances shrink
-    by a factor a round and a chain of any length takes a number of rounds that grows with its logarithm.  Only minima are
-    aggregated, no neighbourhood is collected; each round is written to the shared folder.
-    """
-    state = edges.where("a <> b").select("a", "b")
-    mark = None
-    while True:
-        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = shared_checkpoint(small.unionByName(low.withColumnRenamed("m", "b")).distinct())
-        after = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if after == mark:
-            return state.select(F.col("a").alias("c"), F.col("b").alias("root"))
-        mark = after
-
-
 def near_pairs(responses: DataFrame, key: str = "response_key", **options) -> DataFrame:
     """Pairs of keys, the smaller first, of near-duplicate texts that differ when squeezed."""
     links, members = near_duplicates(responses, key=key, **options)
