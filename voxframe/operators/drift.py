@@ -50,12 +50,15 @@ _DAYS = (
 )
 
 
+#: Characters of the shortest notation of a day, ``1/1/20``.
+_DAY_LENGTH = 6
 _DAY_LIKE = r"^\d{1,4}[-/.][\dA-Za-z]{1,9}[-/.]\d{1,4}|^\d{1,2} [A-Za-z]{3,9} \d{4}$|^[A-Za-z]{3,9} \d{1,2}, \d{4}$"
 
 
 def _value(v: Column) -> Column:
     """Trimmed, blanks joined; null where a cell says nothing."""
-    plain = F.trim(F.regexp_replace(v, r"[\s ]+", " "))
+    # most cells have nothing to join; finding that out costs less than replacing
+    plain = F.trim(F.when(v.rlike(r"[\s\u00a0]{2}|[^\S ]|\u00a0"), F.regexp_replace(v, r"[\s\u00a0]+", " ")).otherwise(v))
     return F.when(~F.lower(plain).isin("", "n/a", "-"), plain)
 
 
@@ -66,19 +69,24 @@ def _days(v: Column) -> list[Column]:
 def _meanings(v: Column, days: Column) -> Column:
     """All a value can be read as: text, number, yes/no, day (also as days from 1899-12-30)."""
     low = F.lower(v)
-    number = F.when(v.rlike(_NUMBER), F.regexp_replace(v, ",", ".").cast("double"))
-    serial = F.when(v.rlike(r"^\d{5}([.,]0+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.substring(v, 1, 5).try_cast("int")))
+    number = F.when(_begins_a_number(v) & v.rlike(_NUMBER), F.translate(v, ",", ".").cast("double"))
+    serial = F.when(_begins_a_number(v) & (F.length(v) >= 5) & v.rlike(r"^\d{5}([.,]0+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.substring(v, 1, 5).try_cast("int")))
     answers = F.when(low.isin(*_YES, "1"), "yes").when(low.isin(*_NO, "0"), "no")
     plain = F.array_compact(F.array(F.concat(F.lit("t:"), low), F.concat(F.lit("n:"), number.cast("string")), F.concat(F.lit("b:"), answers), F.concat(F.lit("d:"), serial.cast("string"))))
     as_days = F.transform(F.coalesce(days, F.array().cast("array<date>")), lambda d: F.concat(F.lit("d:"), d.cast("string")))
     return F.when(v.isNotNull(), F.concat(plain, as_days))
 
 
+def _begins_a_number(v: Column) -> Column:
+    """A digit or a sign comes first: what spares texts the patterns of numbers."""
+    return F.ascii(v).between(ord("0"), ord("9")) | F.ascii(v).isin(ord("+"), ord("-"))
+
+
 def _kind(v: Column, days: Column) -> Column:
     return (
         F.when(v.isNull(), None)
-        .when(v.rlike(_WHOLE), "whole")
-        .when(v.rlike(_NUMBER), "decimal")
+        .when(_begins_a_number(v) & v.rlike(_WHOLE), "whole")
+        .when(_begins_a_number(v) & v.rlike(_NUMBER), "decimal")
         .when(F.lower(v).isin(*_YES, *_NO), "yes/no")
         .when(F.size(days) > 0, "date")
         .otherwise("text")
@@ -100,7 +108,7 @@ def long_cells(wave_rows: DataFrame) -> DataFrame:
     said = long.withColumn("value", _value(F.col("value")))
     v = F.col("value")
     # days are read only where a value looks like one, and read once
-    read = said.withColumn("days", F.when(v.rlike(_DAY_LIKE), F.array_distinct(F.array_compact(F.array(*_days(v))))))
+    read = said.withColumn("days", F.when((F.length(v) >= _DAY_LENGTH) & v.rlike(_DAY_LIKE), F.array_distinct(F.array_compact(F.array(*_days(v))))))
     return read.withColumn("kind", _kind(v, F.col("days"))).withColumn("meanings", _meanings(v, F.col("days")))
 
 
