@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ZERO, ONE = "\x00", "\x01"
 
@@ -24,10 +28,30 @@ def array_hash(values: Column) -> Column:
 def ordered_fingerprint(df: DataFrame, by: list[str], order: str, value: Column) -> DataFrame:
     """SF-02: SHA-256 over a group's values in the order of ``order``, a zero byte after each.
 
-    A group is one column of one file, so it is as long as the file; for files beyond memory use ``block_fingerprint``.
+    A group is one column of one file.  Its hash runs over all of it in order, so it is one task's work, but a stream: rows are sorted on disk if need
+    be and only the running hash is held, whatever the length of the file.  ``block_fingerprint`` splits the work as well.
     """
-    cell = F.struct(F.col(order).alias("at"), F.concat(F.coalesce(value, F.lit("")), F.lit(ZERO)).alias("cell"))
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["cell"]), ""), 256).alias("fingerprint"))
+    laid = df.select(*by, F.col(order).alias("_at"), F.coalesce(value, F.lit("")).alias("_cell")).repartition(*by).sortWithinPartitions(*by, "_at")
+    kinds = dict(df.dtypes)
+    schema = T._parse_datatype_string(", ".join(f"`{c}` {kinds[c]}" for c in by) + ", fingerprint string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, running = None, None
+        for batch in batches:
+            done: list[tuple] = []
+            for *now, cell in zip(*(batch.column(c).to_pylist() for c in [*by, "_cell"])):
+                if now != key:
+                    if running is not None:
+                        done.append((*key, running.hexdigest()))
+                    key, running = now, hashlib.sha256()
+                running.update(cell.encode("utf-8") + b"\x00")
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip([*by, "fingerprint"], d)) for d in done], schema=arrow)
+        if running is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip([*by, "fingerprint"], (*key, running.hexdigest())))], schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    return laid.mapInArrow(run, schema)
 
 
 def block_fingerprint(df: DataFrame, by: list[str], order: str, value: Column, block: int = 10_000) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import corpus as corpora
 from ..operators import estimate, labeling, matching, sampling, tallies, taxonomy
 from ..plans import verify
 from ..registry import query
-from ..session import ship_package
+from ..session import shared_table, ship_package
 from .base import A, C, M, T, attributes, corpus, read
 from .counts import _CONCEPT_SQL, _PARSED, _SPAN, _STOP, CONCEPTS, PERIODS
 
@@ -118,7 +118,7 @@ def jn13_sweep_106(spark: SparkSession, d: str) -> DataFrame:
 
     The concepts are the 106 most frequent spans, a bounded list.
     """
-    c = corpus(spark, d, "question_id", "response_text", "locations")
+    c = shared_table(corpus(spark, d, "question_id", "response_text", "locations"))  # deliveries are reduced once for both passes
     spans = [r[0] for r in tallies.top_spans(tallies.span_counts(c), floor=1, cap=106).collect()]
     return tallies.concept_matches(c, {s: [s] for s in spans}).groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
 
