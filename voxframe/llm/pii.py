@@ -143,7 +143,7 @@ CASED = r"\p{Lu}[\p{L}\p{M}]*\p{Ll}"
 _CUE_WORDS = sorted({max(re.split(r"[\s'’]", c), key=len) for c in INTRODUCTIONS})
 _TITLE_WORDS = frozenset(TITLES)
 _EVERYDAY_TITLES = frozenset("dr miss m don dona seu ms".split())
-_STREET_KINDS, _MARKS = frozenset(STREETS), ".,;:!?)…–-"
+_STREET_KINDS, _MARKS, _DIGIT = frozenset(STREETS), ".,;:!?)…–-", frozenset("0123456789")
 _NO_NAME = frozenset(STREETS + PLACES + PLACE_PREFIXES)
 #: Words a name can take, which is how far back from what follows it one is looked for.
 _NAME_WORDS = 8
@@ -193,22 +193,23 @@ def key_of(token: str) -> str:
 
 def beside_streets(low: str) -> Iterator[str]:
     """Words before a kind of street or a number: the evidence that they name streets."""
-    before = ""
-    for word in low.split():
-        if before and (word[0].isdigit() or word in _STREET_KINDS or word.rstrip(_MARKS) in _STREET_KINDS):
-            yield key_of(before)
-        before = word if word[-1].isalpha() else ""
+    words = low.split()
+    for at, word in enumerate(words):
+        if word[0] in _DIGIT or word in _STREET_KINDS or (word[-1] in _MARKS and word.rstrip(_MARKS) in _STREET_KINDS):
+            before = words[at - 1] if at else ""
+            if before and before[-1].isalpha():
+                yield key_of(before)
 
 
 class Contexts:
     """What stands around a place of a text: one and two words (or marks) before and after, as numbers."""
 
     def __init__(self, low: str):
-        self.tokens = [(m.start(), m.end(), m.group()) for m in _TOKENS.finditer(low)]
-        self.starts = [t[0] for t in self.tokens]
+        self.words = _TOKENS.findall(low)
+        self.starts = [m.start() for m in _TOKENS.finditer(low)]
 
     def _word(self, at: int) -> str:
-        return self.tokens[at][2] if 0 <= at < len(self.tokens) else "^"
+        return self.words[at] if 0 <= at < len(self.words) else "^"
 
     def before(self, at: int) -> list[int]:
         """Of the place before token ``at``."""
@@ -288,8 +289,9 @@ def cued_candidates(text: str, cues: frozenset[int], sure: frozenset[str]) -> li
             c = _candidate(m, slot, shift)
             found.setdefault(c[:2], c)
 
-    words = [t[2] for t in around.tokens]
-    for at, (begin, end, word) in enumerate(around.tokens):
+    words = around.words
+    for at, (begin, word) in enumerate(zip(starts, words)):
+        end = begin + len(word)
         if word[0].isalpha():
             if not cues.isdisjoint(around.before(at)):
                 add(_NAME_THERE.match(text, begin), True)
@@ -299,7 +301,7 @@ def cued_candidates(text: str, cues: frozenset[int], sure: frozenset[str]) -> li
     for at, word in enumerate(words):
         if word in sure:
             for since in range(max(0, at - 3), at + 1):
-                if (m := _NAME_THERE.match(text, starts[since])) and m.end() >= around.tokens[at][1] and word in _candidate(m, False)[2:4]:
+                if (m := _NAME_THERE.match(text, starts[since])) and m.end() >= starts[at] + len(word) and word in _candidate(m, False)[2:4]:
                     add(m, False)
     return list(found.values())
 
@@ -346,26 +348,28 @@ def scan(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
         slots: Counter[str] = Counter()
         streets: Counter[str] = Counter()
         seen: Counter[int] = Counter()
+        met: list[int] = []
+        said: list[str] = []
 
         def read(plain: str) -> list[tuple]:
             shapes, rest = shaped(plain)
             low = rest.lower()
             words = _WORDS.findall(low)
-            total.update(words)
+            said.extend(words)
             streets.update(beside_streets(plain.lower()))
             # words of what was blanked out count as well, where they have to disclose a street
-            total.update(w for *_, w in shapes if w)
+            said.extend(w for *_, w in shapes if w)
             made = [(kind, b, e, w, plain[b:e] if kind in ("email", "phone", "id_number") else None, None, None, None) for kind, b, e, w in shapes]
             found, places = _read_candidates(rest, words)
             around = Contexts(low) if (found or places) and len(low) == len(rest) else None
             if around:  # such a pair speaks against a context
                 for begin, end in places:
-                    seen.update(around.around(begin, end))
+                    met.extend(around.around(begin, end))
             taken: list[tuple[int, int]] = []
             for begin, end, word, other, seeded in found:
                 cased = _is_evidence(rest, begin, end, other)
                 contexts = around.around(begin, end) if around and cased else []
-                seen.update(contexts)
+                met.extend(contexts)
                 made.append(("name", begin, end, word, other, seeded, cased, contexts))
                 # a place counts once as evidence, by its first reading
                 if seeded and cased and not any(begin < e and b < end for b, e in taken):
@@ -376,6 +380,8 @@ def scan(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
             return made
 
         rows = _each(batch, key, fields, read)
+        total.update(said)
+        seen.update(met)
         # one row for all counts of the batch, unpacked where they are summed
         none, words = (None,) * 10, list(total)
         rows.append(("count", *none, None, words, list(total.values()), [slots[w] for w in words], [streets[w] for w in words]))
