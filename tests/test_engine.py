@@ -197,6 +197,20 @@ def test_guards():
         stages.vocabulary({"themes": []})
 
 
+def test_calls_around_the_guards():
+    subs = [("s1", "Lamps", 3), ("s2", "Lights", 9), ("s3", "Dark", 1)]
+    client = CannedClient('{"duplicates": [["s1", "s2"]], "restatements": ["s3"]}')
+    assert stages.review_call(client, "Light", subs, [("s1", "s2")]) == {"s3": None, "s1": "s2"} and stages.review_call(client, "Light", subs[:1]) == {}
+    got, dropped = stages.build_lexicon(CannedClient('{"concepts": [{"name": "bus", "terms": ["Bus", "Tram", "bus stop"]}]}'), {"words": [("bus", 5), ("tram", 2)], "pairs": [("bus stop", 3)]}, most=2)
+    assert got == [{"name": "bus", "terms": ["bus", "bus stop"]}] and dropped == {"invented": 1, "reused": 0}  # a share of one term a kind
+    places, _ = stages.build_places(CannedClient('{"concepts": [{"name": "Main", "spans": ["main st"], "kind": "street"}, {"name": "P", "spans": ["park"], "kind": "planet"}]}'), [("main st", 4), ("park", 2)])
+    assert [(p["name"], p["kind"]) for p in places] == [("main", "street"), ("p", "place")] and stages.build_places(client, []) == ([], {"invented": 0, "reused": 0})
+    asked = CannedClient('{"candidates": ["a", "zz"]}', '{"include": ["c", "a", "q"]}')
+    r = stages.route_call(asked, "Why?", "summary", {"a", "b", "c"}, missed=lambda chosen: ["c"])
+    assert r.labels == ("a", "c") and r.dropped == {"labels": 1}
+    assert stages.route_call(CannedClient('{"answerable": false}'), "Why?", "", {"a"}, missed=lambda chosen: ["a"]).route == "unanswerable"
+
+
 def test_jobs_stop_at_a_failure():
     def fail():
         raise RuntimeError("x")
@@ -211,5 +225,9 @@ def test_rendering():
     block, numbered = render.quotes_block([("Lights", "k1", "dark"), ("Lights", "k2", "x" * 5000)])
     assert numbered[1] == "dark" and block.count("## Lights") == 1 and "…" in block
     assert render.section_plan([("a", 3), ("b", 2)], 7, 1).endswith("Everything else — 7 responses")
+    text = render.summary_text([(1, "Why?", [("a", "Lights", 1), ("b", "buses", 2)]), (2, "How?", [])], {"bus": 3}, {"park": 1, "hall": 4})
+    assert text.splitlines() == ["Q1: Why?", "  b buses (2)", "  a Lights (1)", "Q2: How?", "  (no categories)", "Concepts: bus (3)", "Places: hall (4), park (1)"]
+    text = render.review_report({"n_labels": 3, "coded": 8, "pool": 2}, [("a", "b", 1, 4), ("a", "c", 3, 4)], {"x": ["a", "b"]}, ["c"], ["a"], [(f"k{i}", "t" * 200) for i in range(12)])
+    assert text.splitlines()[:4] == ["3 categories, 8 coded responses, 2 uncovered (25%)", "overlap: a and c share 3 of 4 (75%)", "overlap: a and b share 1 of 4 (25%)", "one name: x: a, b"] and text.endswith("and 2 more uncovered")
     r = route.parse({"candidates": ["a", "zz"], "time_filter": "day"}, {"a"}, available={"time"})
     assert render.process_note(r, 3, 1) == "Searched 1 categories; 3 responses matched; 1 quoted. Filters: day. Left out: 1 labels."

@@ -11,6 +11,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from ..plans.route import Route, from_selection
+from ..plans.route import parse as parse_route
 from ..plans.rulings import VERDICTS
 from .client import ModelClient
 
@@ -164,6 +166,14 @@ def review_sub_themes(document: dict, ids: list[str], counts: dict[str, int]) ->
     return out
 
 
+def review_call(client: ModelClient, category: str, subs: list[tuple[str, str, int]], doubtful: list[tuple[str, str]] = ()) -> dict[str, str | None]:
+    """ML-05: one call over the sub-themes of a category (id, name, count), with the pairs that code finds doubtful (JN-11) named one by one."""
+    if len(subs) < 2:
+        return {}
+    shown = "\n".join(f"{i}. {name} ({n})" for i, name, n in subs) + "".join(f"\nSame or not: {a} and {b}?" for a, b in doubtful)
+    return review_sub_themes(ask_json(client, f"Which sub-themes of {category} are duplicates, which only restate it?", shown), [i for i, *_ in subs], {i: n for i, _, n in subs})
+
+
 def apply_review(records: dict[str, list[str]], id_map: dict[str, str | None], least: int = 2) -> tuple[dict[str, list[str]], str]:
     """TX-20: records under a review's id map; a category left with fewer than ``least`` sub-themes no longer decomposes."""
     new = {k: list(dict.fromkeys(x for i in ids if (x := id_map.get(i, i)) is not None)) for k, ids in records.items()}
@@ -193,6 +203,35 @@ def grouped_terms(document: dict, candidates: list[str], kinds: tuple[str, ...]
     return out, dropped
 
 
+def build_lexicon(client: ModelClient, candidates: dict[str, list[tuple[str, int]]], most: int = 240) -> tuple[list[dict], dict[str, int]]:
+    """ML-06: concepts out of candidate terms by kind (proper, words, pairs; AG-18), each kind with an equal share of what one call is shown."""
+    share = most // max(1, len(candidates))
+    shown = {kind: terms[:share] for kind, terms in candidates.items()}
+    text = "\n".join(f"[{kind}] " + ", ".join(f"{t} ({n})" for t, n in terms) for kind, terms in shown.items())
+    return grouped_terms(ask_json(client, "Group terms of one concept.", text), [t for terms in shown.values() for t, _ in terms])
+
+
+#: What a place can be (ML-07).
+PLACE_KINDS = ("place", "street", "area", "facility")
+
+
+def build_places(client: ModelClient, spans: list[tuple[str, int]], most: int = 300) -> tuple[list[dict], dict[str, int]]:
+    """ML-07: places out of the most frequent spans (AG-17), each with its kind; without any span there is nothing to ask."""
+    if not spans:
+        return [], {"invented": 0, "reused": 0}
+    shown = spans[:most]
+    return grouped_terms(ask_json(client, "Group spellings of one place.", "\n".join(f"{s} ({n})" for s, n in shown)), [s for s, _ in shown], PLACE_KINDS)
+
+
+def route_call(client: ModelClient, question: str, summary: str, labels: set[str], missed: Callable[[list[str]], list[str]] | None = None, **known: object) -> Route:
+    """ML-08: one call makes a route of a question, checked against what there is; categories that code thinks were missed (SF-10) are put to a second call,
+    which can only add."""
+    made = parse_route(ask_json(client, "Which categories answer the question?", f"{question}\n\n{summary}"), labels, **known)
+    offered = missed(list(made.labels)) if missed and made.route not in ("aggregate_direct", "unanswerable") else []
+    wider = ratify(client, question, offered, list(made.labels))
+    return made if wider == list(made.labels) else from_selection(made, wider, labels)
+
+
 def ratify(client: ModelClient, question: str, missed: list[str], selected: list[str]) -> list[str]:
     """ML-08: which of the missed categories to add; it can only add, and only what was offered."""
     if not missed:

@@ -45,3 +45,25 @@ def process_note(route: Route, unique: int, cited: int) -> str:
     if route.dropped:
         parts.append("Left out: " + ", ".join(f"{n} {k}" for k, n in sorted(route.dropped.items())) + ".")
     return " ".join(parts)
+
+
+def summary_text(questions: list[tuple[int, str, list[tuple[str, str, int]]]], concepts: dict[str, int] | None = None, places: dict[str, int] | None = None, shown: int = 200) -> str:
+    """SF-23: what a model is told of a dataset before it makes a route: every question with its categories, largest first, then concepts and places."""
+    out = []
+    for number, wording, labels in questions:
+        out.append(f"Q{number}: {wording[:shown]}")
+        out += [f"  {label} {name} ({n})" for label, name, n in sorted(labels, key=lambda x: (-x[2], x[1].lower(), x[0]))] or ["  (no categories)"]
+    for title, counts in (("Concepts", concepts), ("Places", places)):
+        if counts:
+            out.append(f"{title}: " + ", ".join(f"{c} ({n})" for c, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))))
+    return "\n".join(out)
+
+
+def review_report(counts: dict[str, int], overlaps: list[tuple[str, str, int, int]], twice: dict[str, list[str]], empty: list[str], orphans: list[str], pool: list[tuple[str, str]], shown: int = 10) -> str:
+    """SF-23: the diagnostics of a taxonomy (AG-21, JN-10) for the person who reviews it; ``overlaps`` are label, label, shared, smaller."""
+    out = [f"{counts.get('n_labels', 0)} categories, {counts.get('coded', 0)} coded responses, {counts.get('pool', 0)} uncovered{share(counts.get('pool', 0), counts.get('coded', 0))}"]
+    out += [f"overlap: {a} and {b} share {n} of {smaller}{share(n, smaller)}" for a, b, n, smaller in sorted(overlaps, key=lambda o: (-o[2] / max(1, o[3]), o[0], o[1]))]
+    out += [f"one name: {name}: {', '.join(ids)}" for name, ids in sorted(twice.items())]
+    out += [f"no members: {x}" for x in empty] + [f"no parent: {x}" for x in orphans]
+    out += [f"uncovered: {key}: {text[:160].rstrip() + '…' if len(text) > 160 else text}" for key, text in pool[:shown]]
+    return "\n".join(out + ([f"and {len(pool) - shown} more uncovered"] if len(pool) > shown else []))
