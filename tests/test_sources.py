@@ -67,6 +67,25 @@ def test_json(spark, tmp_path):
     assert files.delete(place) and not files.exists(place) and files.walk(place) == [] and files.folders(place) == []
 
 
+def test_many_documents(spark, tmp_path):
+    """Written and read in seconds, not a command of the system for each; what is replaced leaves no checksum and no half-written file."""
+    files, place = Files(spark), f"file://{tmp_path}/x"
+    spark.createDataFrame([("old",)], "value string").coalesce(1).write.text(f"{place}/1")
+    old = files.matching(f"{place}/1/part-*.txt")[0]
+    files.write_text("new", old)
+    assert files.read_text(old) == "new" and [r.value for r in spark.read.text(old).collect()] == ["new"]
+    began = time.time()
+    for name in ("old", "né"):
+        files.each(files.write_json, [({"n": n, "name": name}, f"{place}/{n}/d.json") for n in range(2, 802)])
+    files.each(files.append_jsonl, [({"n": n}, f"{place}/{n}/log.jsonl") for n in range(2, 802)])
+    assert time.time() - began < 20
+    found = files.matching(f"{place}/*/d.json")
+    assert files.each(files.read_json, [(p,) for p in found]) == [{"n": int(p.split("/")[-2]), "name": "né"} for p in found] and len(found) == 800
+    assert files.matching(f"{place}/*/*.part") == files.matching(f"{place}/none/*") == []
+    with pytest.raises(ZeroDivisionError):
+        files.each(lambda n: 1 // n, [(1,), (0,)])
+
+
 def test_runs_are_appended(spark, tmp_path):
     r = spark.createDataFrame([("k", 1)], "response_key string, fit int")
     for run in ("r1", "r2"):
