@@ -72,3 +72,12 @@ def test_a_thousand_new_labels_have_ids_of_their_own(spark):
 def test_every_dataset_is_appended(spark, small):
     got = Counter(r[0] for r in QUERIES["se06_append"](spark, small).collect())
     assert len(got) == corpus(spark, small).count() and set(got.values()) == {1}
+
+
+def test_a_proposal_for_every_question_meets_them_once_a_name(spark):
+    """A hundred copies of a name are one before they meet the questions; the ids are those of proposals made question by question."""
+    known = spark.createDataFrame([(4, "4_001", "old"), (7, "7_i012", "name 3"), (9, "9_001", None)], "question_id long, label_id string, name string")
+    names = spark.range(0, 40_000).selectExpr("concat('Name ', id % 20, repeat('!', cast(id % 3 as int))) AS name", "id AS position").unionByName(spark.sql("SELECT 'Old' AS name, -1L AS position"))
+    each = names.crossJoin(known.select("question_id"))
+    got, want = ({tuple(r) for r in taxonomy.extend(known, p).collect()} for p in (names, each))
+    assert got == want and len(got) == 20 + 1 + 20 + 20 and (4, "4_i001", "Name 0") in got and (7, "7_i013", "Old") in got

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PLAN_STOPWORDS, QUESTION_STOPWORDS, REVIEW_STOPWORDS, normalized_name, shared_tokens, tokens
+from ..session import shared_table
 
 
 def label_overlaps(members: DataFrame, least: int = 4) -> DataFrame:
@@ -169,8 +170,13 @@ def extend(taxonomy: DataFrame, proposed: DataFrame) -> DataFrame:
     """TX-09, SF-15: proposals with a new name get the next incremental ids of their question, the others are dropped.
 
     A proposal may name a ``parent``: one the taxonomy has (``parent_id``) is taken, any other leaves the label an orphan for review.
+    Proposals without ``question_id`` are made for every question of the taxonomy; of each name only the first meets the questions.
     """
     norm = normalized_name(F.col("name"))
+    if "question_id" not in proposed.columns:
+        firsts = [F.min_by(c, "position").alias(c) for c in proposed.columns if c not in ("norm", "position")]
+        each = proposed.withColumn("norm", norm).groupBy("norm").agg(*firsts, F.min("position").alias("position")).drop("norm")
+        proposed = shared_table(each).crossJoin(shared_table(taxonomy.select("question_id").distinct()))
     new = proposed.withColumn("norm", norm).join(taxonomy.where("name IS NOT NULL").select("question_id", norm.alias("norm")).distinct(), ["question_id", "norm"], "left_anti")
     seq = F.row_number().over(Window.partitionBy("question_id").orderBy("position"))
     # the first proposal of a name stands for it; ids beyond 999 grow a digit

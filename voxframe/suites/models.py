@@ -12,6 +12,7 @@ from ..plans import compile as compiler
 from ..plans import route as routes
 from ..plans import rulings
 from ..registry import query
+from ..session import shared_table
 from .base import C, M, T, attributes, corpus, read
 from .counts import _TUPLE, CONCEPTS, SCOPE
 
@@ -115,8 +116,8 @@ def sf16_remap_labels(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_NT}, p AS (SELECT question_id, p_name AS name, p_partkey AS position FROM part, (SELECT DISTINCT question_id FROM t)), x AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g')) AS norm FROM p), o AS (SELECT DISTINCT question_id, norm FROM x ANTI JOIN (SELECT question_id AS q, trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g')) AS nn FROM nt) e ON e.q = x.question_id AND e.nn = x.norm) SELECT question_id, CAST(count(*) AS BIGINT) AS n_new, CAST(count(*) AS BIGINT) AS n_ids FROM o GROUP BY 1")
 def tx09_extend_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     """Every part proposed for every question."""
-    t = _named_taxonomy(spark, d)
-    proposed = F.broadcast(t.select("question_id").distinct()).crossJoin(read(spark, d, "part", F.col("p_name").alias("name"), F.col("p_partkey").alias("position")))
+    t = shared_table(_named_taxonomy(spark, d))
+    proposed = read(spark, d, "part", F.col("p_name").alias("name"), F.col("p_partkey").alias("position"))
     return taxonomy.extend(t, proposed).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_new"), F.count_distinct("label_id").alias("n_ids"))
 
 
