@@ -81,3 +81,23 @@ def test_a_proposal_for_every_question_meets_them_once_a_name(spark):
     each = names.crossJoin(known.select("question_id"))
     got, want = ({tuple(r) for r in taxonomy.extend(known, p).collect()} for p in (names, each))
     assert got == want and len(got) == 20 + 1 + 20 + 20 and (4, "4_i001", "Name 0") in got and (7, "7_i013", "Old") in got
+
+
+def test_all_species_at_once_in_blocks(spark, monkeypatch):
+    """Against plain Python, names in several blocks, one forced pair alike anyway and one not."""
+    monkeypatch.setattr(taxonomy, "BLOCK_LABELS", 3)
+    names = ["bus lane", "lane bus", "bus lanes", "red bus lane", "park", "the", None]
+    items = [(f"L{i:02d}", i % 4, f"c{i % 3}", names[i % 7]) for i in range(40)]
+    words = {i: {w.removesuffix("s") if len(w) > 3 else w for w in (n or "").split() if w != "the"} for i, _, _, n in items}
+    forced = {("L00", "L01"), ("L00", "L04")}
+    want = set()
+    for a in items:
+        for b in items:
+            i, u = len(words[a[0]] & words[b[0]]), len(words[a[0]] | words[b[0]])
+            if a[0] < b[0] and ((i and 100 * i >= 40 * u) or (a[0], b[0]) in forced):
+                fits = ["category", "subtheme_xq"] if a[1] != b[1] else ["category_sameq", *["subtheme_xcat"] * (a[2] != b[2])]
+                want |= {(a[0], b[0], s, i, u, (a[0], b[0]) in forced) for s in fits}
+    rows = spark.createDataFrame(items, "label_id string, question_id long, category_id string, name string")
+    asked = spark.createDataFrame([("L01", "L00"), ("L00", "L04")], "label_a string, label_b string")
+    got = [tuple(r) for r in taxonomy.nominate(rows, taxonomy.SPECIES, 40, asked).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

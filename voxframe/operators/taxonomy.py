@@ -67,30 +67,74 @@ def duplicate_candidates(labels: DataFrame, members: DataFrame, percent: int = 4
 SPECIES = ("category", "category_sameq", "subtheme_xcat", "subtheme_xq")
 
 
-def nominate(items: DataFrame, species: str, percent: int = 40, forced: DataFrame | None = None) -> DataFrame:
+#: How many labels of one name at most meet those of another in one row of the join.
+BLOCK_LABELS = 1024
+
+
+def nominate(items: DataFrame, species: str | tuple[str, ...], percent: int = 40, forced: DataFrame | None = None) -> DataFrame:
     """JN-12: pairs worth a ruling, of names with ``percent`` hundredths of their words in common, or forced.
 
     ``items``: question_id, label_id, name (and category_id for sub-themes).  Species: categories of different questions, categories of one question,
-    sub-themes of different categories of one question, sub-themes of different questions.  ``forced``: label_a, label_b in either order; it never
-    breaks the species.
+    sub-themes of different categories of one question, sub-themes of different questions; of several species each gives its rows.  ``forced``:
+    label_a, label_b in either order; it never breaks the species.
+
+    Word sets are compared, each once, not labels.  Labels are held in blocks by their set, blocks of similar sets meet, and pairs are formed in that
+    join: they grow with the square of the labels that share a name, so none is shuffled.
     """
-    if species not in SPECIES:
-        raise ValueError(f"no such species: {species}")
-    near = similar_names(items, [], percent, PLAN_STOPWORDS).select("label_a", "label_b", "n_shared", "n_union", F.lit(False).alias("forced"))
+    asked = (species,) if isinstance(species, str) else tuple(species)
+    if unknown := [s for s in asked if s not in SPECIES]:
+        raise ValueError(f"no such species: {', '.join(unknown)}")
+    extra = ["category_id"] if "category_id" in items.columns else []
+    if "subtheme_xcat" in asked and not extra:
+        raise ValueError("sub-themes of different categories need a category_id")
+    held = shared_table(items.select("label_id", "question_id", *extra, tokens(F.col("name"), PLAN_STOPWORDS).alias("t")))
+    rows, named = held, None
     if forced is not None:
-        asked = forced.select(F.least("label_a", "label_b").alias("label_a"), F.greatest("label_a", "label_b").alias("label_b")).distinct()
-        t = lambda s: items.select(F.col("label_id").alias(f"label_{s}"), tokens(F.col("name"), PLAN_STOPWORDS).alias(f"t_{s}"))
+        named = forced.select(F.least("label_a", "label_b").alias("label_a"), F.greatest("label_a", "label_b").alias("label_b")).distinct()
+        named = shared_table(named)
+        rows = rows.join(named.groupBy(F.col("label_a").alias("label_id")).agg(F.collect_list("label_b").alias("_named")), "label_id", "left")
+    rows = rows.withColumn("t", F.array_sort("t"))
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK_LABELS)
+    sets = shared_table(rows.groupBy("t").agg(blocks.alias("blocks")).where(F.size("t") > 0).withColumn("_set", F.monotonically_increasing_id()))
+    words = sets.select("_set", "t", F.explode("t").alias("w"))
+    x, y = words.alias("x"), words.alias("y")
+    inter, union = shared_tokens(F.col("x.t"), F.col("y.t"))
+    near = (
+        x.join(y, F.col("x.w") == F.col("y.w")).where(F.col("x._set") <= F.col("y._set")).where(100 * inter >= percent * union)
+        .select(F.col("x._set").alias("set_a"), F.col("y._set").alias("set_b"), inter.alias("n_shared"), union.alias("n_union")).distinct()
+    )
+    in_block = F.pmod(F.xxhash64("label_id"), F.col("blocks").cast("long"))
+    one = F.struct("label_id", "question_id", *extra, *(["_named"] if named is not None else []))
+    held_blocks = shared_table(rows.join(sets, "t").withColumn("_block", in_block).groupBy("_set", "_block").agg(F.collect_list(one).alias("_labels")))
+    side = lambda s: held_blocks.select(F.col("_set").alias(f"set_{s}"), F.col("_block").alias(f"block_{s}"), F.col("_labels").alias(f"labels_{s}"))
+    within = F.col("set_a") == F.col("set_b")
+    ids = lambda s: held_blocks.select(F.col("_set").alias(f"set_{s}"), F.col("_block").alias(f"block_{s}"))
+    meeting = shared_table(near.join(ids("a"), "set_a").join(ids("b"), "set_b").where(~within | (F.col("block_a") <= F.col("block_b"))))
+    met = meeting.join(side("a"), ["set_a", "block_a"]).join(side("b"), ["set_b", "block_b"])
+    met = met.withColumn("_own", within & (F.col("block_a") == F.col("block_b")))
+    # a row stands for up to BLOCK_LABELS squared pairs: a few rows a task, however few bytes they are
+    met = met.repartition(min(10_000, meeting.count() // 2 + 1), "set_a", "block_a", "set_b", "block_b")
+    pair = met.select("n_shared", "n_union", "_own", "labels_b", F.explode("labels_a").alias("a")).select("n_shared", "n_union", "_own", "a", F.explode("labels_b").alias("b"))
+    a, b = F.col("a.label_id"), F.col("b.label_id")
+    pair = pair.where(F.when(F.col("_own"), a < b).otherwise(a != b))
+    if named is not None:
+        there = lambda p, q: F.coalesce(F.array_contains(F.col(f"{p}._named"), F.col(f"{q}.label_id")), F.lit(False))
+        pair = pair.where(~there("a", "b") & ~there("b", "a"))
+    fields = ["label_id", "question_id", *extra]
+    pair = pair.select(*[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in fields], "n_shared", "n_union", F.lit(False).alias("forced"))
+    if named is not None:
+        t = lambda s: held.select(*[F.col(c).alias(f"{s}_{c}") for c in fields], F.col("t").alias(f"t_{s}"))
         inter, union = shared_tokens(F.col("t_a"), F.col("t_b"))
-        named = asked.join(t("a"), "label_a").join(t("b"), "label_b").select("label_a", "label_b", inter.alias("n_shared"), union.alias("n_union"), F.lit(True).alias("forced"))
-        near = near.join(named.select("label_a", "label_b"), ["label_a", "label_b"], "left_anti").unionByName(named)
-    extra = ["category_id"] if "category_id" in items.columns else []
-    side = lambda s: items.select(F.col("label_id").alias(f"label_{s}"), F.col("question_id").alias(f"q_{s}"), *[F.col(c).alias(f"c_{s}") for c in extra])
-    both = near.join(side("a"), "label_a").join(side("b"), "label_b")
-    same = F.col("q_a") == F.col("q_b")
-    fits = {"category": ~same, "category_sameq": same, "subtheme_xq": ~same}.get(species)
-    if fits is None:
-        fits = same & (F.col("c_a") != F.col("c_b"))
-    return both.where(fits).select("label_a", "label_b", F.lit(species).alias("species"), "n_shared", "n_union", "forced")
+        both = named.toDF("a_label_id", "b_label_id").join(t("a"), "a_label_id").join(t("b"), "b_label_id")
+        pair = pair.unionByName(both.select(*pair.columns[: 2 * len(fields)], inter.alias("n_shared"), union.alias("n_union"), F.lit(True).alias("forced")))
+    same = F.col("a_question_id") == F.col("b_question_id")
+    listed = lambda kinds: F.array(*[F.lit(s) for s in asked if s in kinds]).cast("array<string>")
+    fits = F.when(~same, listed(("category", "subtheme_xq")))
+    if extra:
+        fits = fits.when(same & (F.col("a_category_id") != F.col("b_category_id")), listed(("category_sameq", "subtheme_xcat")))
+    fits = fits.when(same, listed(("category_sameq",)))
+    a, b = F.col("a_label_id"), F.col("b_label_id")
+    return pair.select(F.least(a, b).alias("label_a"), F.greatest(a, b).alias("label_b"), F.explode(fits).alias("species"), "n_shared", "n_union", "forced")
 
 
 def diagnostics(taxonomy: DataFrame, members: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -494,11 +494,7 @@ def jn12_nominated_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All four species, with two pairs forced."""
     items = _named_taxonomy(spark, d).where("name IS NOT NULL").withColumnRenamed("parent_id", "category_id")
     forced = spark.createDataFrame([("4_009", "4_001"), ("1_001", "4_001")], "label_a string, label_b string")
-    out = [taxonomy.nominate(items, s, 40, forced) for s in taxonomy.SPECIES]
-    whole = out[0]
-    for one in out[1:]:
-        whole = whole.unionByName(one)
-    return whole
+    return taxonomy.nominate(items, taxonomy.SPECIES, 40, forced)
 
 
 @query(f"WITH {C}, {M}, x AS (SELECT DISTINCT question_id, label_id, CAST(split_part(response_key, ':', 3) AS INT) // 50 AS chunk FROM m), s AS (SELECT question_id, label_id AS name, count(*) AS chunk_support, CASE WHEN CAST(split_part(label_id, '_', 2) AS INT) % 4 > 0 THEN 'Theme ' || CAST(split_part(label_id, '_', 2) AS INT) % 4 END AS parent FROM x GROUP BY ALL), d AS (SELECT DISTINCT question_id, parent FROM s WHERE parent IS NOT NULL), q AS (SELECT *, question_id || '_P' || lpad(CAST(row_number() OVER (PARTITION BY question_id ORDER BY parent) AS VARCHAR), 2, '0') AS parent_id FROM d) SELECT s.question_id, s.question_id || '_' || lpad(CAST(row_number() OVER (PARTITION BY s.question_id ORDER BY chunk_support DESC, name) AS VARCHAR), 3, '0') AS label_id, name, parent_id, CAST(chunk_support AS BIGINT) AS chunk_support, chunk_support = 1 AS singleton, chunk_support = 1 AS needs_review FROM s LEFT JOIN q ON q.question_id = s.question_id AND q.parent = s.parent")
